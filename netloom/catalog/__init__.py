@@ -1,3 +1,3 @@
-from netloom.catalog import flows, registry, reports  # noqa: F401
+from netloom.catalog import detect, flows, packets, registry, reports, rules  # noqa: F401
 
 QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
