@@ -1,3 +1,5 @@
-from netloom.catalog import detect, flows, packets, registry, reports, rules  # noqa: F401
+from netloom.catalog import (  # noqa: F401
+    detect, flows, packets, registry, reports, rules, segments,
+)
 
 QUERIES, ORACLES = registry.QUERIES, registry.ORACLES

@@ -41,18 +41,18 @@ def _beacon_sql(source: str, key: str, least: int, cv: float) -> str:
     return f"""RECURSIVE WITH f AS ({source}),
     g AS (SELECT src_ip, dst_key, count(*) AS n, arg_min(dst_ip, id) AS first_ip, bool_or({_UNUSUAL}) AS unusual, bool_and(dst_port IN (443, 80)) AS safe FROM f GROUP BY src_ip, dst_key),
     c AS (SELECT * FROM g WHERE n >= {least} AND NOT {TRUSTED_SQL.format('first_ip')} AND NOT ({SEMI_SQL.format('first_ip')} AND NOT unusual AND safe)),
-    st AS (SELECT DISTINCT f.src_ip, f.dst_key, epoch_us(f.start_time) AS at FROM f JOIN c USING (src_ip, dst_key)),
-    nx AS (SELECT a.src_ip, a.dst_key, a.at, b.at AS nxt FROM (SELECT *, at + 1000001 AS later FROM st) a ASOF LEFT JOIN st b ON a.src_ip = b.src_ip AND a.dst_key = b.dst_key AND a.later <= b.at),
-    kept AS (SELECT src_ip, dst_key, min(at) AS at FROM st GROUP BY src_ip, dst_key
-             UNION ALL SELECT nx.src_ip, nx.dst_key, nx.nxt FROM kept k JOIN nx ON nx.src_ip = k.src_ip AND nx.dst_key = k.dst_key AND nx.at = k.at WHERE nx.nxt IS NOT NULL),
-    iv AS (SELECT src_ip, dst_key, (at - lag(at) OVER (PARTITION BY src_ip, dst_key ORDER BY at)) / 1e6 AS gap FROM kept),
+    st AS (SELECT DISTINCT f.src_ip, f.dst_key, epoch_us(f.start_time) AS t0 FROM f JOIN c USING (src_ip, dst_key)),
+    nx AS (SELECT src_ip, dst_key, t0, min(t0) OVER (PARTITION BY src_ip, dst_key ORDER BY t0 RANGE BETWEEN 1000001 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM st),
+    kept AS (SELECT src_ip, dst_key, min(t0) AS t0 FROM st GROUP BY src_ip, dst_key
+             UNION ALL SELECT nx.src_ip, nx.dst_key, nx.nxt FROM kept k JOIN nx ON nx.src_ip = k.src_ip AND nx.dst_key = k.dst_key AND nx.t0 = k.t0 WHERE nx.nxt IS NOT NULL),
+    iv AS (SELECT src_ip, dst_key, (t0 - lag(t0) OVER (PARTITION BY src_ip, dst_key ORDER BY t0)) / 1e6 AS gap FROM kept),
     v AS (SELECT src_ip, dst_key, count(*) AS kept, avg(gap) AS mean, stddev_samp(gap) / avg(gap) AS cv FROM iv GROUP BY src_ip, dst_key HAVING count(*) >= {least})
-    SELECT DISTINCT f.src_ip, f.dst_ip, f.dst_key, v.kept, round(v.mean, 4) AS mean, round(v.cv, 6) AS cv, 'high' AS severity FROM f JOIN v USING (src_ip, dst_key) WHERE v.cv < {cv} AND v.mean >= 1"""
+    SELECT DISTINCT f.src_ip, f.dst_ip, f.dst_key, v.kept, round(v.mean * (v.kept - 1), 3) AS span, round(v.cv, 6) AS cv, 'high' AS severity FROM f JOIN v USING (src_ip, dst_key) WHERE v.cv < {cv} AND v.mean >= 1"""
 
 
 def _shown(df):
     return df.select(
-        "src_ip", "dst_ip", "dst_key", "kept", F.round("mean", 4).alias("mean"), F.round("cv", 6).alias("cv"),
+        "src_ip", "dst_ip", "dst_key", "kept", F.round(F.col("mean") * (F.col("kept") - 1), 3).alias("span"), F.round("cv", 6).alias("cv"),
         F.lit("high").alias("severity"),
     )
 
@@ -82,7 +82,7 @@ def d01_bursts(s):
 
 
 @query("d01_beaconing_flows", with_views("connections", _beacon_sql("SELECT *, dst_ip AS dst_key FROM connections", "dst_ip", 20, 1.05).replace(
-    "SELECT DISTINCT f.src_ip, f.dst_ip, f.dst_key, v.kept, round(v.mean, 4) AS mean, round(v.cv, 6) AS cv, 'high' AS severity FROM",
+    "SELECT DISTINCT f.src_ip, f.dst_ip, f.dst_key, v.kept, round(v.mean * (v.kept - 1), 3) AS span, round(v.cv, 6) AS cv, 'high' AS severity FROM",
     "SELECT f.id, 'beaconing' AS tag, 'high' AS severity, v.kept || ' connections to ' || f.dst_key || ', interval ~' || printf('%.1f', v.mean) || 's (CV=' || printf('%.3f', v.cv) || ')' AS reason FROM")))
 def d01_flows(s):
     return D.detect_beaconing(s.plain_connections, NETWORKS, TUNING)
@@ -153,7 +153,7 @@ _TAG_TUNING = dc.replace(TUNING, beaconing=BeaconConfig(min_connections=20, cv_t
 
 def _tag_sql() -> str:
     beacon = _beacon_sql(_CUR, "dst_ip", 20, 1.05).removeprefix("RECURSIVE WITH ")
-    head, _, _ = beacon.partition("SELECT DISTINCT f.src_ip")
+    head, _, _ = beacon.rpartition("SELECT DISTINCT f.src_ip")
     return f"""RECURSIVE WITH {head.rstrip()},
     bp AS (SELECT src_ip, dst_key AS dst_ip FROM v WHERE v.cv < 1.05 AND v.mean >= 1),
     {_KNOWN.replace('r AS', 'ro AS').replace('FROM r ', 'FROM ro ')},

@@ -9,11 +9,15 @@ from pyspark.sql import Column, functions as F
 
 _OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _V4 = rf"^{_OCTET}(\.{_OCTET}){{3}}$"
-_V4_TAIL = r"^(.*:)([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)$"
 _GROUPS = r"([0-9a-f]{1,4}:)*[0-9a-f]{1,4}"
 _V6 = rf"^({_GROUPS})?(::({_GROUPS})?)?$"
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it in ``body`` as often as needed."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _hex_byte(text: Column) -> Column:
     return F.lpad(F.lower(F.hex(text.try_cast("int"))), 2, "0")
 
@@ -23,27 +27,37 @@ def _v4_key(ip: Column) -> Column:
     return F.concat(F.lit("4"), F.array_join(octets, ""))
 
 
-def _v6_key(ip: Column) -> Column:
-    text = F.regexp_replace(F.lower(ip), "%.+$", "")
-    tail = F.regexp_extract(text, r":([0-9.]+)$", 1)
-    part = [F.regexp_extract(text, _V4_TAIL, n) for n in range(1, 6)]
-    rewritten = F.concat(
-        part[0], _hex_byte(part[1]), _hex_byte(part[2]), F.lit(":"),
-        _hex_byte(part[3]), _hex_byte(part[4]),
-    )
-    dotted = text.contains(".")
-    text = F.when(dotted & tail.rlike(_V4), rewritten).when(~dotted, text)
-    gap = text.contains("::")
+def _without_dots(text: Column) -> Column:
+    """Write a dotted tail as two hex groups; null when the tail is no IPv4."""
+    head, last = F.regexp_extract(text, "^(.*:)", 1), F.regexp_extract(text, "([^:]*)$", 1)
+    bytes_ = F.transform(F.split(last, r"\."), _hex_byte)
+    tail = F.concat_ws(":", F.array_join(F.slice(bytes_, 1, 2), ""), F.array_join(F.slice(bytes_, 3, 2), ""))
+    return F.when(~text.contains("."), text).when(last.rlike(_V4), F.concat(head, tail))
+
+
+def _groups(text: Column, n: int) -> Column:
+    part = F.split_part(text, F.lit("::"), F.lit(n))
+    return F.filter(F.split(part, ":"), lambda g: g != "")
+
+
+def _fill(text: Column) -> Column:
+    """All 32 hex digits of valid text, null otherwise."""
 
-    def groups(n: int) -> Column:
-        return F.filter(F.split(F.split_part(text, F.lit("::"), F.lit(n)), ":"), lambda g: g != "")
+    def joined(sides: Column) -> Column:
+        left, right = sides["left"], sides["right"]
+        missing = F.lit(8) - F.size(left) - F.size(right)
+        valid = F.when(text.contains("::"), missing >= 1).otherwise(missing == 0)
+        gap = F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0)))
+        padded = F.transform(F.concat(left, gap, right), lambda g: F.lpad(g, 4, "0"))
+        return F.when(valid, F.concat(F.lit("6"), F.array_join(padded, "")))
 
-    left, right = groups(1), groups(2)
-    missing = F.lit(8) - F.size(left) - F.size(right)
-    valid = text.rlike(_V6) & F.when(gap, missing >= 1).otherwise(missing == 0)
-    filled = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)
-    padded = F.transform(filled, lambda g: F.lpad(g, 4, "0"))
-    return F.when(valid, F.concat(F.lit("6"), F.array_join(padded, "")))
+    sides = F.struct(_groups(text, 1).alias("left"), _groups(text, 2).alias("right"))
+    return F.when(text.rlike(_V6), _let(sides, joined))
+
+
+def _v6_key(ip: Column) -> Column:
+    plain = F.regexp_replace(F.lower(ip), "%.+$", "")
+    return _let(_let(plain, _without_dots), _fill)
 
 
 def address_key(ip: Column) -> Column:
@@ -66,12 +80,8 @@ def network_range(cidr: str) -> tuple[str, str] | None:
     return f"{net.version}{first:0{width}x}", f"{net.version}{last:0{width}x}"
 
 
-def in_networks(ip: Column, cidrs: Iterable[str], key: Column | None = None) -> Column:
-    """Is the address in any of the networks? False for a bad address.
-
-    The list is driver-side configuration (tens of entries), so it becomes a
-    literal range predicate. Apply it to aggregated or distinct addresses.
-    """
+def _inside(cidrs: Iterable[str]):
+    """Test of a key against the merged ranges of a network list."""
     nets = []
     for cidr in cidrs:
         try:
@@ -81,12 +91,37 @@ def in_networks(ip: Column, cidrs: Iterable[str], key: Column | None = None) ->
     merged = []
     for version in (4, 6):
         merged += ipaddress.collapse_addresses(n for n in nets if n.version == version)
-    key = address_key(ip) if key is None else key
-    test = F.lit(False)
-    for net in merged:
-        low, high = network_range(str(net))
-        test = test | key.between(low, high)
-    return F.coalesce(test, F.lit(False))
+    bounds = [network_range(str(net)) for net in merged]
+
+    def test(key: Column) -> Column:
+        found = F.lit(False)
+        for low, high in bounds:
+            found = found | key.between(low, high)
+        return F.coalesce(found, F.lit(False))
+
+    return test
+
+
+def in_networks(ip: Column, cidrs: Iterable[str]) -> Column:
+    """Is the address in any of the networks? False for a bad address.
+
+    The list is driver-side configuration (tens of entries), so it becomes a
+    literal range predicate. Apply it to aggregated or distinct addresses.
+    """
+    return F.exists(F.array(address_key(ip)), _inside(cidrs))
+
+
+def first_network_list(ip: Column, lists: dict[str, Iterable[str]]) -> Column:
+    """Name of the first list that holds the address, else null."""
+    tests = {name: _inside(cidrs) for name, cidrs in lists.items()}
+
+    def pick(key: Column) -> Column:
+        found = F.lit(None).cast("string")
+        for name, test in reversed(tests.items()):
+            found = F.when(test(key), name).otherwise(found)
+        return found
+
+    return _let(address_key(ip), pick)
 
 
 # fixed values: one anchored pattern per variant of the private-address test

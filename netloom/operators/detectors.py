@@ -12,7 +12,7 @@ from netloom.functions.address import is_private
 from netloom.functions.rounding import fixed_text
 from netloom.operators.baseline import destination_means
 from netloom.operators.beacons import beacon_pairs
-from netloom.operators.trust import is_unusual, trust_tier
+from netloom.operators.trust import after, is_unusual, trust_tier
 from netloom.sources.networks import SEMI_TRUSTED, TRUSTED, Networks
 
 # fixed values: tags in the order they are attached
@@ -37,12 +37,13 @@ def destination_totals(flows: DataFrame, networks: Networks, tuning: Tuning) ->
     unusual = is_unusual(F.col("protocol"), tuning.semi_trusted)
     public = F.coalesce(~is_private(F.col("dst_ip")), F.lit(False))
     totals = flows.filter(public).groupBy("dst_ip").agg(
+        F.count("*").alias("flows"),
         F.sum("total_bytes").alias("bytes"),
         F.max(unusual).alias("unusual"),
         F.sum(F.when(outgoing, F.col("total_bytes"))).alias("out_bytes"),
         F.max(F.when(outgoing, unusual)).alias("out_unusual"),
     )
-    return totals.withColumn("tier", trust_tier(F.col("dst_ip"), networks))
+    return totals.withColumn("tier", trust_tier(after("dst_ip", "flows"), networks))
 
 
 def exfil_destinations(totals: DataFrame, tuning: Tuning) -> DataFrame:

@@ -5,21 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from netloom.config import SemiTrustedConfig
-from netloom.functions.address import address_key, in_networks
+from netloom.functions.address import first_network_list
 from netloom.sources.networks import SEMI_TRUSTED, TRUSTED, Networks
 
 
 def trust_tier(ip: Column, networks: Networks) -> Column:
     """D6: 'trusted', 'semi_trusted' or null, trusted tested first.
 
-    Use it on one row per address (after an aggregate), not per flow.
+    Use it on one row per address (after an aggregate), not per flow. A filter
+    on a grouping column moves below its aggregate and would be evaluated per
+    flow again; ``after`` ties the address to an aggregate's result instead.
     """
-    key = address_key(ip)
-    return F.when(in_networks(ip, networks.trusted, key), TRUSTED).when(
-        in_networks(ip, networks.semi_trusted, key), SEMI_TRUSTED
+    return first_network_list(
+        ip, {TRUSTED: networks.trusted, SEMI_TRUSTED: networks.semi_trusted}
     )
 
 
+def after(ip: str, count: str) -> Column:
+    """The address of a group, tied to the group's row count."""
+    return F.when(F.col(count) > 0, F.col(ip))
+
+
 def is_unusual(protocol: Column, cfg: SemiTrustedConfig) -> Column:
     """A non-empty label outside the standard list, ignoring case."""
     standard = [p.upper() for p in cfg.standard_protocols]
