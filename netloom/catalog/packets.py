@@ -29,11 +29,15 @@ parsed AS (
 """
 
 
-def packet_lines(s) -> DataFrame:
+def packet_lines(s, damaged: bool = True) -> DataFrame:
     """The packet view written as dissected lines, some of them damaged."""
     c = F.col
     p = s.packets
-    mac = c("k") % 17 == 0
+
+    def every(n: int, column: str = "frame_number"):
+        return (c(column) % n == 0) if damaged else F.lit(False)
+
+    mac = every(17, "k")
     us = F.unix_micros(c("ts").cast("timestamp"))
     epoch = F.format_string("%d.%06d000", F.floor(us / 1000000), F.pmod(us, F.lit(1000000)))
     letters = (
@@ -41,8 +45,9 @@ def packet_lines(s) -> DataFrame:
         .when(c("tcp_flags") == "ACK", "·······A····").when(c("tcp_flags") == "PSH, ACK", "·······AP···")
         .when(c("tcp_flags") == "FIN, ACK", "·······A···F").when(c("tcp_flags") == "RST", "·········R··").otherwise("")
     )
-    tls = (c("protocol") == "TLSv1.2") & (c("supported_version") != "")
-    unknown = (c("protocol") == "SSH") & (c("k") % 13 == 0)
+    versions = c("supported_version") if damaged else F.lit("")
+    tls = (c("protocol") == "TLSv1.2") & (versions != "")
+    unknown = (c("protocol") == "SSH") & every(13, "k")
 
     def ip(column: str, six: bool):
         return F.when(~mac & (c(column).contains(":") == six), c(column)).otherwise("")
@@ -50,19 +55,20 @@ def packet_lines(s) -> DataFrame:
     def port(column: str, transport: str):
         shown = c(column).cast("string")
         if column == "src_port":
-            shown = F.when(c("frame_number") % 53 == 0, "http").otherwise(shown)
+            shown = F.when(every(53), "http").otherwise(shown)
         return F.when(c("transport") == transport, shown).otherwise("")
 
     fields = [
-        F.when(c("frame_number") % 43 == 0, "x").otherwise(c("frame_number").cast("string")), epoch,
+        F.when(every(43), "x").otherwise(c("frame_number").cast("string")), epoch,
         c("relative_time").cast("string"), ip("src_ip", False), ip("src_ip", True), ip("dst_ip", False), ip("dst_ip", True),
         port("src_port", "TCP"), port("src_port", "UDP"), port("dst_port", "TCP"), port("dst_port", "UDP"),
         F.when(tls, "TLSv1").otherwise(c("protocol")),
-        F.when(c("frame_number") % 41 == 0, "abc").otherwise(c("packet_length").cast("string")), letters,
-        c("supported_version"), F.concat(F.lit("aa:bb:cc:00:00:0"), (c("k") % 10).cast("string")), F.lit("aa:bb:cc:00:00:ff"),
+        F.when(every(41), "abc").otherwise(c("packet_length").cast("string")), letters,
+        versions, F.concat(F.lit("aa:bb:cc:00:00:0"), (c("k") % 10).cast("string")), F.lit("aa:bb:cc:00:00:ff"),
         F.when(unknown, "Ignored Unknown Record").otherwise(c("info")),
     ]
-    line = F.when(c("frame_number") % 47 == 0, F.concat_ws("\t", *fields[:9])).otherwise(F.concat_ws("\t", *fields))
+    kept = F.slice(F.array(*fields), 1, F.when(every(47), 9).otherwise(len(fields)))
+    line = F.concat_ws("\t", kept)
     # lines come from files; the exchange stands for that boundary
     return p.select("session_id", line.alias("value")).repartition("value")
 

@@ -189,7 +189,7 @@ def _relative_group(segments: DataFrame, scan) -> DataFrame:
     low32 = F.lit(0xFFFFFFFF).cast("bigint")
     seq_base, ack_base = base(_own, _peer), base(_peer, _own)
     scale = _own("_w")["win_scale"]
-    scaled = c("win") * F.shiftleft(F.lit(1).cast("bigint"), F.coalesce(scale, F.lit(0)))
+    scaled = c("win") * F.call_function("shiftleft", F.lit(1).cast("bigint"), F.coalesce(scale, F.lit(0)))
     return rows.select(
         "session_id",
         "frame_number",
