@@ -10,7 +10,8 @@ from netloom.functions import address, codes, fmt, packet as P, predicates as Q
 from netloom.operators.dns import ip_domains
 from netloom.operators.tls import propagate_tls
 from netloom.sources.ids import parse_ids_lines
-from netloom.sources.packets import parse_packets
+from netloom.session import fresh_path
+from netloom.sources.packets import read_packets
 
 # what is done to the packets before they are written as lines
 _MARKED = """
@@ -69,12 +70,14 @@ def packet_lines(s, damaged: bool = True) -> DataFrame:
     ]
     kept = F.slice(F.array(*fields), 1, F.when(every(47), 9).otherwise(len(fields)))
     line = F.concat_ws("\t", kept)
-    # lines come from files; the exchange stands for that boundary
-    return p.select("session_id", line.alias("value")).repartition("value")
+    return p.select("session_id", line.alias("value"))
 
 
 def parsed(s) -> DataFrame:
-    return parse_packets(packet_lines(s), LOCAL_IPS)
+    """The lines as text files, one folder per session, read back as packets."""
+    path = fresh_path(s.spark, "lines")
+    packet_lines(s).repartition("value").write.partitionBy("session_id").text(path)
+    return read_packets(s.spark, path, local_ips=LOCAL_IPS)
 
 
 def _parsed(name: str, columns: str):

@@ -248,27 +248,28 @@ def limit_rate(alerts: DataFrame, limits: Sequence[RateLimit]) -> DataFrame:
     """At most ``count`` alerts per signature, tracked end and time window.
 
     Windows are aligned to the epoch. Alerts without a limit pass by without a
-    shuffle; the rank filter of the others limits each task before the shuffle.
+    shuffle. The limits of the others are literal lookups, so one rank serves
+    all rules; its largest count limits each task before the shuffle.
     """
-    if not limits:
+    rules = {rule.signature_id: rule for rule in limits}  # one per signature
+    if not rules:
         return alerts
-    limits = list({rule.signature_id: rule for rule in limits}.values())  # one per signature
-    bare = alerts.filter(~F.coalesce(F.col("signature_id").isin(*[r.signature_id for r in limits]), F.lit(False)))
-    parts = [bare]
+
+    def setting(field: str) -> Column:
+        pairs = [F.lit(v) for sid, r in rules.items() for v in (sid, getattr(r, field))]
+        return F.try_element_at(F.create_map(*pairs), F.col("signature_id").cast("int"))
+
+    limited = F.coalesce(F.col("signature_id").isin(*rules), F.lit(False))
     second = F.unix_seconds(F.col("timestamp").cast("timestamp"))
-    shapes = sorted({(r.track, r.count, r.seconds) for r in limits})
-    for track, count, seconds in shapes:
-        ids = [r.signature_id for r in limits if (r.track, r.count, r.seconds) == (track, count, seconds)]
-        slot = F.floor(second / seconds)
-        order = W.partitionBy("signature_id", _tracked(track), "_slot").orderBy("timestamp", "id")
-        ranked = (
-            alerts.filter(F.col("signature_id").isin(*ids))
-            .withColumn("_slot", slot)
-            .withColumn("_rank", F.row_number().over(order))
-            .filter(F.col("_rank") <= count)
-        )
-        parts.append(ranked.select(*alerts.columns))
-    return reduce(DataFrame.unionByName, parts)
+    tracked = F.when(setting("track") == "by_src", F.col("src_ip")).otherwise(F.col("dst_ip"))
+    keyed = alerts.filter(limited).withColumns(
+        {"_who": tracked, "_slot": F.floor(second / setting("seconds")), "_most": setting("count")}
+    )
+    order = W.partitionBy("signature_id", "_who", "_slot").orderBy("timestamp", "id")
+    most = max(rule.count for rule in rules.values())
+    ranked = keyed.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= most)
+    kept = ranked.filter(F.col("_rank") <= F.col("_most")).select(*alerts.columns)
+    return alerts.filter(~limited).unionByName(kept)
 
 
 def severity_counts(alerts: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from netloom.config import Tuning
 from netloom.functions.address import is_multicast_key
 from netloom.functions.rounding import fixed_text
-from netloom.operators.trust import is_unusual, trust_tier
+from netloom.operators.trust import after, is_unusual, trust_tier
 from netloom.sources.networks import SEMI_TRUSTED, TRUSTED, Networks
 
 RANGE_SECONDS = 3600
@@ -37,32 +37,33 @@ def pair_groups(flows: DataFrame, domains: DataFrame | None, networks: Networks,
         F.max(is_unusual(F.col("protocol"), semi)).alias("unusual"),
     )
     if domains is None:
-        pairs = pairs.withColumn("dst_key", F.col("dst_ip"))
+        # a group is one address: no second aggregate is needed
+        groups = pairs.withColumns({"dst_key": F.col("dst_ip"), "first_dst": after("dst_ip", "n")})
     else:
         names = domains.select(F.col("ip").alias("dst_ip"), "domain")
         pairs = pairs.join(names, "dst_ip", "left").withColumn(
             "dst_key", F.coalesce("domain", "dst_ip")
         )
-    groups = (
-        pairs.groupBy("src_ip", "dst_key")
-        .agg(
+        groups = pairs.groupBy("src_ip", "dst_key").agg(
             F.sum("n").alias("n"),
             F.min_by("dst_ip", "first").alias("first_dst"),
             F.sum("ports").alias("ports"),
             F.sum("odd_ports").alias("odd_ports"),
             F.max("unusual").alias("unusual"),
         )
-        .filter((F.col("n") >= cfg.min_connections) & ~is_multicast_key(F.col("dst_key")))
-        .filter(
-            ~F.col("first_dst").isin(*cfg.always_suppress_destinations)
-            & ~F.col("dst_key").isin(*cfg.always_suppress_destinations)
-        )
-        .withColumn("tier", trust_tier(F.col("first_dst"), networks))
+    key = after("dst_key", "n")
+    suppressed = F.col("first_dst").isin(*cfg.always_suppress_destinations) | key.isin(
+        *cfg.always_suppress_destinations
     )
+    groups = groups.filter(
+        (F.col("n") >= cfg.min_connections) & ~is_multicast_key(key) & ~suppressed
+    ).withColumn("tier", trust_tier(F.col("first_dst"), networks))
     if cfg.suppress_whitelisted:
         usual = ~F.col("unusual") & (F.col("ports") > 0) & (F.col("odd_ports") == 0)
         dropped = (F.col("tier") == TRUSTED) | ((F.col("tier") == SEMI_TRUSTED) & usual)
         groups = groups.filter(~F.coalesce(dropped, F.lit(False)))
+    if domains is None:
+        return groups.select("src_ip", F.col("dst_key").alias("dst_ip"), "dst_key", "tier")
     chosen = groups.select("src_ip", "dst_key", "tier")
     return pairs.select("src_ip", "dst_ip", "dst_key").join(chosen, ["src_ip", "dst_key"])
 
@@ -205,15 +206,16 @@ def beacon_pairs(
     stats = interval_stats(counted)
     cv = F.col("stdev") / F.col("mean")
     # kept starts never exceed timed flows, so this covers both count rules
-    found = stats.filter((F.col("kept") >= cfg.min_connections) & (F.col("mean") >= 1.0)).withColumn("cv", cv)
-    floor = (F.col("cv") < cfg.cv_floor_for_trusted) & (F.coalesce("tier", F.lit("")) == TRUSTED)
+    found = stats.filter((F.col("kept") >= cfg.min_connections) & (F.col("mean") >= 1.0))
+    found = found.withColumn("cv", cv).filter(F.col("cv") < cfg.cv_threshold)
     reason = F.concat(
         F.col("kept").cast("string"), F.lit(" connections to "), F.col("dst_key"),
         F.lit(", interval ~"), fixed_text(F.col("mean"), 1), F.lit("s (CV="),
         fixed_text(F.col("cv"), 3), F.lit(")"),
     )
-    return (
-        pairs.join(found.filter(F.col("cv") < cfg.cv_threshold), ["src_ip", "dst_key"])
-        .filter(~floor)
-        .select("src_ip", "dst_ip", "dst_key", "kept", "mean", "cv", reason.alias("reason"))
-    )
+    shown = ("src_ip", "dst_ip", "dst_key", "kept", "mean", "cv", reason.alias("reason"))
+    if domains is None and cfg.suppress_whitelisted:
+        # trusted groups are gone already, and each group is its own address
+        return found.withColumn("dst_ip", F.col("dst_key")).select(*shown)
+    steady = (F.col("cv") < cfg.cv_floor_for_trusted) & (F.coalesce("tier", F.lit("")) == TRUSTED)
+    return pairs.join(found, ["src_ip", "dst_key"]).filter(~steady).select(*shown)

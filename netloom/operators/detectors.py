@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from netloom.config import MB, Tuning
 from netloom.functions.address import is_private
 from netloom.functions.rounding import fixed_text
-from netloom.operators.baseline import destination_means
 from netloom.operators.beacons import beacon_pairs
 from netloom.operators.trust import after, is_unusual, trust_tier
 from netloom.sources.networks import SEMI_TRUSTED, TRUSTED, Networks
@@ -35,19 +34,26 @@ def destination_totals(flows: DataFrame, networks: Networks, tuning: Tuning) ->
     """
     outgoing = F.col("direction") == "OUTGOING"
     unusual = is_unusual(F.col("protocol"), tuning.semi_trusted)
-    public = F.coalesce(~is_private(F.col("dst_ip")), F.lit(False))
-    totals = flows.filter(public).groupBy("dst_ip").agg(
+    totals = flows.groupBy("dst_ip").agg(
         F.count("*").alias("flows"),
         F.sum("total_bytes").alias("bytes"),
         F.max(unusual).alias("unusual"),
         F.sum(F.when(outgoing, F.col("total_bytes"))).alias("out_bytes"),
         F.max(F.when(outgoing, unusual)).alias("out_unusual"),
     )
-    return totals.withColumn("tier", trust_tier(after("dst_ip", "flows"), networks))
+    # address tests run once per destination, after the aggregate
+    address = after("dst_ip", "flows")
+    return totals.filter(~is_private(address)).withColumn("tier", trust_tier(address, networks))
 
 
-def exfil_destinations(totals: DataFrame, tuning: Tuning) -> DataFrame:
-    """Verdicts of D2: (dst_ip, severity, reason)."""
+def with_baseline(totals: DataFrame, known: DataFrame) -> DataFrame:
+    """Totals beside their baseline row; ``session_count`` is null for new ones."""
+    history = known.select(F.col("ip").alias("dst_ip"), "session_count", "total_bytes_avg")
+    return totals.join(history, "dst_ip", "left")
+
+
+def _exfil(tuning: Tuning) -> Column:
+    """Verdict of D2 on a row of totals: (tag, severity, reason) or null."""
     cfg, semi = tuning.data_exfil, tuning.semi_trusted
     total, is_semi = F.col("out_bytes"), _tier_is(SEMI_TRUSTED)
     severity = (
@@ -56,46 +62,48 @@ def exfil_destinations(totals: DataFrame, tuning: Tuning) -> DataFrame:
         .when(~is_semi & (total >= cfg.threshold_high_bytes), "high")
         .when(~is_semi & (total >= cfg.threshold_medium_bytes), "medium")
     )
-    judged = totals.filter(total.isNotNull())
     if cfg.suppress_whitelisted:
-        judged = judged.filter(~_tier_is(TRUSTED))
+        severity = F.when(~_tier_is(TRUSTED), severity)
     reason = F.concat(
         _megabytes(total), F.lit(" uploaded to "), F.col("dst_ip"),
         F.when(is_semi, " (semi-trusted)").otherwise(""),
     )
-    return judged.select("dst_ip", severity.alias("severity"), reason.alias("reason")).filter(
-        F.col("severity").isNotNull()
-    )
+    return _verdict("data_exfil", severity, reason)
 
 
-def anomaly_destinations(totals: DataFrame, known: DataFrame, tuning: Tuning) -> DataFrame:
-    """Verdicts of D4: (dst_ip, severity, reason, ratio)."""
+def _anomaly(tuning: Tuning) -> Column:
+    """Verdict of D4 on totals with baseline."""
     cfg, semi = tuning.traffic_anomaly, tuning.semi_trusted
-    judged = totals.filter(F.col("bytes") >= cfg.min_absolute_bytes)
+    total, mean = F.col("bytes"), F.col("total_bytes_avg")
+    ratio = total / mean
+    small = _tier_is(SEMI_TRUSTED) & (total < semi.suppress_max_bytes) & ~F.col("unusual")
+    odd = (
+        (total >= cfg.min_absolute_bytes) & ~small
+        & (F.col("session_count") >= cfg.min_observations)
+        & (mean >= cfg.min_average_bytes) & (ratio >= cfg.multiplier)
+    )
     if cfg.suppress_whitelisted:
-        judged = judged.filter(~_tier_is(TRUSTED))
-    small = _tier_is(SEMI_TRUSTED) & (F.col("bytes") < semi.suppress_max_bytes) & ~F.col("unusual")
-    means = destination_means(known, cfg.min_observations).withColumnRenamed("ip", "dst_ip")
-    mean, ratio = F.col("total_bytes_avg"), F.col("bytes") / F.col("total_bytes_avg")
+        odd = odd & ~_tier_is(TRUSTED)
     reason = F.concat(
-        F.col("dst_ip"), F.lit(": "), _megabytes(F.col("bytes")), F.lit(" this session vs "),
+        F.col("dst_ip"), F.lit(": "), _megabytes(total), F.lit(" this session vs "),
         _megabytes(mean), F.lit(" average ("), fixed_text(ratio, 1), F.lit("×)"),
     )
-    return (
-        judged.filter(~small)
-        .join(means.filter(mean >= cfg.min_average_bytes), "dst_ip")
-        .filter(ratio >= cfg.multiplier)
-        .select("dst_ip", F.lit("medium").alias("severity"), reason.alias("reason"), ratio.alias("ratio"))
-    )
+    return _verdict("traffic_anomaly", F.when(odd, "medium"), reason)
 
 
-def unknown_destinations(totals: DataFrame, known: DataFrame, tuning: Tuning) -> DataFrame:
-    """Public destinations without a baseline: (dst_ip, semi)."""
-    new = totals.join(known.select(F.col("ip").alias("dst_ip")), "dst_ip", "left_anti")
+def _unknown(tuning: Tuning) -> Column:
+    """D3 per destination: null when known or trusted, else whether semi-trusted
+    rules apply to its flows."""
     suppress = tuning.new_dest.suppress_whitelisted
+    new = F.col("session_count").isNull()
     if suppress:
-        new = new.filter(~_tier_is(TRUSTED))
-    return new.select("dst_ip", (_tier_is(SEMI_TRUSTED) & F.lit(suppress)).alias("semi"))
+        new = new & ~_tier_is(TRUSTED)
+    return F.when(new, _tier_is(SEMI_TRUSTED) & F.lit(suppress))
+
+
+def _verdict(tag: str, severity: Column, reason: Column) -> Column:
+    found = F.struct(F.lit(tag).alias("tag"), severity.alias("severity"), reason.alias("reason"))
+    return F.when(severity.isNotNull(), found)
 
 
 def _new_flow(tuning: Tuning, learning: bool) -> Column:
@@ -112,24 +120,38 @@ def _new_severity(tuning: Tuning, learning: bool) -> str:
     return tuning.new_dest.learning_period_severity if learning else "low"
 
 
-def _finding(flows: DataFrame, tag: str) -> DataFrame:
-    return flows.select("id", F.lit(tag).alias("tag"), "severity", "reason")
+def _finding(flows: DataFrame) -> DataFrame:
+    """One row per flow and finding ``f``."""
+    return flows.select("id", "f.tag", "f.severity", "f.reason")
 
 
 def detect_beaconing(
     flows: DataFrame, networks: Networks, tuning: Tuning = Tuning(), domains: DataFrame | None = None
 ) -> DataFrame:
     """(id, tag, severity, reason) of every flow in a beaconing group."""
-    found = beacon_pairs(flows, networks, tuning, domains).select("src_ip", "dst_ip", "reason")
-    tagged = flows.join(found, ["src_ip", "dst_ip"]).withColumn("severity", F.lit("high"))
-    return _finding(tagged, "beaconing")
+    found = beacon_pairs(flows, networks, tuning, domains).select("src_ip", "dst_ip", _beacon().alias("f"))
+    return _finding(flows.join(found, ["src_ip", "dst_ip"]))
+
+
+def _beacon() -> Column:
+    return _verdict("beaconing", F.lit("high"), F.col("reason"))
+
+
+def _join_verdict(flows: DataFrame, totals: DataFrame, verdict: Column) -> DataFrame:
+    found = totals.select("dst_ip", verdict.alias("f")).filter(F.col("f").isNotNull())
+    return flows.join(found, "dst_ip")
 
 
 def detect_data_exfil(flows: DataFrame, networks: Networks, tuning: Tuning = Tuning()) -> DataFrame:
     """D2."""
-    found = exfil_destinations(destination_totals(flows, networks, tuning), tuning)
+    totals = destination_totals(flows, networks, tuning)
     outgoing = flows.filter(F.col("direction") == "OUTGOING")
-    return _finding(outgoing.drop("severity").join(found, "dst_ip"), "data_exfil")
+    return _finding(_join_verdict(outgoing, totals, _exfil(tuning)))
+
+
+def _first_connection(tuning: Tuning, learning: bool) -> Column:
+    reason = F.concat(F.lit("First connection to "), F.col("dst_ip"))
+    return _verdict("new_dest", F.lit(_new_severity(tuning, learning)), reason)
 
 
 def detect_new_destination(
@@ -138,23 +160,18 @@ def detect_new_destination(
 ) -> DataFrame:
     """D3."""
     learning = tuning.learning(as_of)
-    totals = destination_totals(flows, networks, tuning)
-    found = flows.drop("severity").join(unknown_destinations(totals, known, tuning), "dst_ip")
-    found = found.filter(_new_flow(tuning, learning)).withColumns(
-        {
-            "severity": F.lit(_new_severity(tuning, learning)),
-            "reason": F.concat(F.lit("First connection to "), F.col("dst_ip")),
-        }
-    )
-    return _finding(found, "new_dest")
+    totals = with_baseline(destination_totals(flows, networks, tuning), known)
+    new = totals.select("dst_ip", _unknown(tuning).alias("semi")).filter(F.col("semi").isNotNull())
+    found = flows.join(new, "dst_ip").filter(_new_flow(tuning, learning))
+    return _finding(found.withColumn("f", _first_connection(tuning, learning)))
 
 
 def detect_traffic_anomaly(
     flows: DataFrame, known: DataFrame, networks: Networks, tuning: Tuning = Tuning()
 ) -> DataFrame:
     """D4."""
-    found = anomaly_destinations(destination_totals(flows, networks, tuning), known, tuning)
-    return _finding(flows.drop("severity").join(found.drop("ratio"), "dst_ip"), "traffic_anomaly")
+    totals = with_baseline(destination_totals(flows, networks, tuning), known)
+    return _finding(_join_verdict(flows, totals, _anomaly(tuning)))
 
 
 @dc.dataclass(frozen=True)
@@ -171,37 +188,28 @@ class Context:
 def tag_flows(flows: DataFrame, ctx: Context) -> DataFrame:
     """All detectors at once; adds ``findings``, ``tags`` and ``severity``.
 
-    Verdicts are per destination (or pair), so the flows are joined to two small
-    tables of verdicts and never regrouped. ``findings`` is an array of
-    (tag, severity, reason) in detector order.
+    Verdicts are per destination (or pair): one aggregate, joined once to the
+    baseline, gives those of D2-D4. Flows meet the two verdict tables and are
+    never regrouped. ``findings`` is an array of (tag, severity, reason) in
+    detector order.
     """
     tuning, learning = ctx.tuning, ctx.tuning.learning(ctx.as_of)
-    totals = destination_totals(flows, ctx.networks, tuning)
-    exfil = exfil_destinations(totals, tuning).select(
-        "dst_ip", F.struct(F.lit("data_exfil").alias("tag"), "severity", "reason").alias("exfil")
-    )
-    odd = anomaly_destinations(totals, ctx.known, tuning).select(
-        "dst_ip", F.struct(F.lit("traffic_anomaly").alias("tag"), "severity", "reason").alias("odd")
-    )
-    new = unknown_destinations(totals, ctx.known, tuning)
-    verdicts = exfil.join(odd, "dst_ip", "full").join(new, "dst_ip", "full")
+    totals = with_baseline(destination_totals(flows, ctx.networks, tuning), ctx.known)
+    verdicts = totals.select(
+        "dst_ip", _exfil(tuning).alias("exfil"), _anomaly(tuning).alias("odd"),
+        _unknown(tuning).alias("semi"),
+    ).filter("exfil IS NOT NULL OR odd IS NOT NULL OR semi IS NOT NULL")
     beacons = beacon_pairs(flows, ctx.networks, tuning, ctx.domains).select(
-        "src_ip", "dst_ip",
-        F.struct(F.lit("beaconing").alias("tag"), F.lit("high").alias("severity"), "reason").alias("beacon"),
+        "src_ip", "dst_ip", _beacon().alias("beacon")
     )
     joined = flows.drop("tags", "severity").join(verdicts, "dst_ip", "left").join(
         beacons, ["src_ip", "dst_ip"], "left"
     )
-    first_seen = F.struct(
-        F.lit("new_dest").alias("tag"),
-        F.lit(_new_severity(tuning, learning)).alias("severity"),
-        F.concat(F.lit("First connection to "), F.col("dst_ip")).alias("reason"),
-    )
     findings = F.array_compact(
         F.array(
             F.col("beacon"),
             F.when(F.col("direction") == "OUTGOING", F.col("exfil")),
-            F.when(_new_flow(tuning, learning), first_seen),
+            F.when(_new_flow(tuning, learning), _first_connection(tuning, learning)),
             F.col("odd"),
         )
     )

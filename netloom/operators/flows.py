@@ -17,15 +17,22 @@ def dedup_frames(packets: DataFrame, arrival: str | None = None) -> DataFrame:
     """One row per frame number of a session.
 
     The first to arrive when an ``arrival`` column exists, else the smallest
-    row, so the choice does not depend on the partitioning. It is an aggregate
-    rather than a window: copies collapse on the map side, so a frame number
-    held by a third of all rows is no hot task.
+    row, so the choice does not depend on the partitioning.
+
+    Repeated frames are rare. Only the frame numbers are counted and shuffled
+    for all rows; whole rows move only for numbers seen more than once. There
+    the choice is an aggregate, so copies collapse on the map side even when one
+    number (0, for unreadable ones) holds a third of all rows.
     """
     keys = ["session_id", "frame_number"]
     rest = [c for c in packets.columns if c not in keys and c != arrival]
+    repeated = packets.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > 1)
+    repeated = repeated.select(*keys)
+    single = packets.join(repeated, keys, "left_anti").select(*keys, *rest)
     row = F.struct(*rest)
     first = F.min(row) if arrival is None else F.min_by(row, F.struct(F.col(arrival), row))
-    return packets.groupBy(*keys).agg(first.alias("_r")).select(*keys, "_r.*")
+    copies = packets.join(repeated, keys, "left_semi").groupBy(*keys).agg(first.alias("_r"))
+    return single.unionByName(copies.select(*keys, "_r.*"))
 
 
 def _flags_text(packets: DataFrame) -> Column:
