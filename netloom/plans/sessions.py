@@ -48,8 +48,8 @@ def traffic_stats(connections: DataFrame, sessions: DataFrame | None = None) ->
 
     Sections are protocol, direction and total. Flows are read once into cells
     per (protocol, direction); the sections are grouping sets over the cells.
-    The total row is there even for no flows. With ``sessions`` a row with the
-    session count is added.
+    The total row is there even for no flows, which grouping sets alone would
+    not give. With ``sessions`` a row with the session count is added.
     """
     cells = connections.groupBy("protocol", "direction").agg(
         F.sum("total_packets").alias("p"), F.sum("total_bytes").alias("b"), F.count("*").alias("n")
@@ -68,13 +68,22 @@ def traffic_stats(connections: DataFrame, sessions: DataFrame | None = None) ->
         F.coalesce("bytes", zero).alias("bytes"),
         F.coalesce("flows", zero).alias("flows"),
     ).filter((F.col("section") != "direction") | (F.col("name") != ""))
+
+    def plain(section: str, flows: Column) -> list[Column]:
+        none = F.lit(0).cast("bigint")
+        return [
+            F.lit(section).alias("section"), F.lit("").alias("name"), none.alias("packets"),
+            none.alias("bytes"), flows.cast("bigint").alias("flows"),
+        ]
+
+    rows = rows.unionByName(connections.sparkSession.range(1).select(*plain("total", F.lit(0))))
+    rows = rows.groupBy("section", "name").agg(
+        *[F.sum(c).alias(c) for c in ("packets", "bytes", "flows")]
+    )
     if sessions is None:
         return rows
-    counted = sessions.agg(F.count("*").alias("flows")).select(
-        F.lit("sessions").alias("section"), F.lit("").alias("name"),
-        F.lit(0).cast("bigint").alias("packets"), F.lit(0).cast("bigint").alias("bytes"), "flows",
-    )
-    return rows.unionByName(counted)
+    counted = sessions.agg(F.count("*").alias("n"))
+    return rows.unionByName(counted.select(*plain("sessions", F.col("n"))))
 
 
 def session_stats(connections: DataFrame, sessions: DataFrame, session_id: int) -> DataFrame:
