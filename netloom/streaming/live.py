@@ -15,6 +15,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from netloom.functions.packet import is_tls
 from netloom.operators.alerts import (
     AlertRules, alerts_from_tags, apply_behaviour_rules, apply_ids_rules,
 )
@@ -69,9 +70,34 @@ def merge_parts(parts: DataFrame) -> DataFrame:
     )
 
 
+def _versions(hellos: DataFrame) -> DataFrame:
+    return hellos.groupBy(*PAIR).agg(
+        F.min("first13").alias("first13"), F.min("first12").alias("first12")
+    )
+
+
 def current_flows(spark: SparkSession, root: str) -> DataFrame:
-    """The snapshot of all flows seen so far."""
-    return decode_flows(merge_parts(spark.read.parquet(f"{root}/flow_parts")))
+    """The snapshot of all flows seen so far.
+
+    Parts logged before the hello that names their version arrived are relabelled
+    here when all their frames follow it, so files may arrive in any order. Only
+    a part whose frames lie on both sides of a late hello keeps the label it was
+    given; the rebuild of C8 settles those.
+    """
+    parts = spark.read.parquet(f"{root}/flow_parts")
+    versions = _versions(spark.read.parquet(f"{root}/hellos")).select(
+        "session_id", F.col("lo.ip").alias("lo_ip"), F.col("lo.port").alias("lo_port"),
+        F.col("hi.ip").alias("hi_ip"), F.col("hi.port").alias("hi_port"), "first13", "first12",
+    )
+    keys = ["session_id", "lo_ip", "lo_port", "hi_ip", "hi_port"]
+    tls, start = is_tls(F.col("label")), F.col("first_frame")
+    label = (
+        F.when(tls & (start >= F.col("first13")), "TLSv1.3")
+        .when(tls & (start >= F.col("first12")), "TLSv1.2")
+        .otherwise(F.col("label"))
+    )
+    relabelled = parts.join(versions, keys, "left").withColumn("label", label)
+    return decode_flows(merge_parts(relabelled))
 
 
 def current_domains(spark: SparkSession, root: str) -> DataFrame:
@@ -88,10 +114,7 @@ def flow_writer(root: str, on_batch: Callback | None = None) -> Callback:
         packets = batch.persist()
         _log(first_versions(packets), f"{root}/hellos", batch_id)
         hellos = spark.read.parquet(f"{root}/hellos").filter(F.col("batch_id") <= batch_id)
-        versions = hellos.groupBy(*PAIR).agg(
-            F.min("first13").alias("first13"), F.min("first12").alias("first12")
-        )
-        labelled = apply_versions(packets, versions)
+        labelled = apply_versions(packets, _versions(hellos))
         _log(aggregate_flows(flow_parts(labelled)), f"{root}/flow_parts", batch_id)
         replies = packets.filter((F.col("protocol") == "DNS") & F.col("info").contains("response"))
         found = replies.select("session_id", "frame_number", answers(F.col("info")).alias("a"))
