@@ -3,16 +3,22 @@
 
 from __future__ import annotations
 
+import dataclasses as dc
+
 from pyspark.sql import functions as F
 
 from netloom.catalog.detect import TUNING, _partly_known
 from netloom.catalog.flows import FLOW_COLUMNS, FLOWS_SQL
 from netloom.catalog.packets import _MARKED, ids_lines, packet_lines, parsed
 from netloom.catalog.registry import query
-from netloom.catalog.views import LOCAL_IPS, NETWORKS, with_views
+from netloom.catalog.views import (
+    LOCAL_IPS, NETWORKS, PRIVATE_SQL, SEMI_SQL, TRUSTED_SQL, with_views,
+)
+from netloom.config import BeaconConfig
 from netloom.functions.predicates import ConnectionFilter
 from netloom.operators import maintenance as M
 from netloom.operators.detectors import Context
+from netloom.operators.trust import after, matching_networks
 from netloom.schemas import CONNECTIONS, evolve_schema
 from netloom.session import fresh_path
 from netloom.sinks import exports as X, tables as T
@@ -124,16 +130,28 @@ def a09(s):
     return M.upsert_protocol_stats(old, new, "2024-02-01 00:00:00").drop("last_seen")
 
 
+# entries with inline comments, a host address, a malformed line and nested networks
+_NETWORK_FILE = """
+# [TRUSTED] first section
+142.250.0.0/15    # inline comment
+2404:6800::/32
+not-a-network
+142.250.1.2
+# [SEMI-TRUSTED]
+104.16.2.9/12
+64:ff9b::/96
+"""
+
+
 @query("a10_load_networks", with_views("connections", """
-    SELECT CASE tier WHEN 'trusted' THEN '142.250.1.' || n || '/32' ELSE '104.16.2.' || n || '/32' END AS cidr, tier FROM
-      (SELECT DISTINCT split_part(dst_ip, '.', 4) AS n, CASE WHEN dst_ip LIKE '142.%' THEN 'trusted' ELSE 'semi_trusted' END AS tier FROM connections WHERE dst_ip LIKE '142.250.1.%' OR dst_ip LIKE '104.16.2.%') x"""))
+    SELECT cidr, tier, count(*) AS flows FROM connections JOIN (VALUES ('142.250.0.0/15', 'trusted', '142.250.%'), ('2404:6800::/32', 'trusted', '2404:6800:%'), ('142.250.1.2/32', 'trusted', '142.250.1.2'),
+      ('104.16.0.0/12', 'semi_trusted', '104.16.%'), ('64:ff9b::/96', 'semi_trusted', '64:ff9b::%')) n(cidr, tier, pattern) ON dst_ip LIKE pattern GROUP BY cidr, tier"""))
 def a10(s):
-    """A network file whose entries are the listed destinations of the flows."""
-    ips = s.plain_connections.filter(F.col("dst_ip").rlike(r"^(142\.250\.1|104\.16\.2)\.")).select("dst_ip").distinct()
-    found = sorted(r.dst_ip for r in ips.collect())  # a network file is driver-side configuration
-    text = "# [TRUSTED]\n" + "\n".join(f"{i}  # inline" for i in found if i.startswith("142."))
-    text += "\nnot-a-network\n\n# [SEMI-TRUSTED]\n" + "\n".join(i for i in found if i.startswith("104."))
-    return parse_networks(text).to_df(s.spark)
+    """Flows per network of a parsed network file."""
+    networks = parse_networks(_NETWORK_FILE)
+    per_ip = s.plain_connections.groupBy("dst_ip").agg(F.count("*").alias("n"))
+    held = per_ip.select(F.explode(matching_networks(after("dst_ip", "n"), networks)).alias("net"), "n")
+    return held.groupBy("net.cidr", "net.tier").agg(F.sum("n").alias("flows"))
 
 
 @query("a11_capture_inventory", with_views("sessions packets", """
@@ -250,19 +268,29 @@ def s02(s):
     return _live_clean(s).select(*FLOW_COLUMNS)
 
 
-@query("s03_live_detection")
+_DOMAINS_SQL = """
+    w AS (SELECT session_id, frame_number, string_split(info, ' ') AS w FROM packets WHERE protocol = 'DNS' AND info LIKE '%response%'),
+    wa AS (SELECT w[8] AS ip, w[6] AS domain, session_id, frame_number FROM w UNION ALL SELECT w[10], w[6], session_id, frame_number FROM w),
+    names AS (SELECT ip, domain FROM (SELECT ip, domain, row_number() OVER (PARTITION BY ip ORDER BY session_id DESC, frame_number DESC, domain DESC) AS n FROM wa) x WHERE n = 1)"""
+_LIVE_TUNING = dc.replace(TUNING, beaconing=BeaconConfig(min_connections=1_000_000))
+
+
+@query("s03_live_detection", with_views("packets connections", FLOWS_SQL.rstrip() + ", " + _DOMAINS_SQL + f""",
+    hit AS (SELECT f.*, coalesce(domain, dst_ip) AS dst_display FROM folded f LEFT JOIN names ON ip = dst_ip
+      WHERE NOT {PRIVATE_SQL.format('dst_ip')} AND NOT {TRUSTED_SQL.format('dst_ip')} AND dst_ip NOT IN (SELECT dst_ip FROM connections WHERE session_id <= 4 AND dst_ip NOT LIKE '%1')
+        AND dst_port NOT IN (443, 80) AND NOT ({SEMI_SQL.format('dst_ip')} AND total_bytes < 60000000 AND upper(protocol) IN ('TCP', 'UDP', 'TLSV1.2', 'TLSV1.3', 'QUIC', 'HTTP', 'HTTPS', 'DNS')))
+    SELECT session_id, 'new_dest' AS tag, dst_display, arg_min(dst_ip, first_frame) AS dst_ip, 'LOW' AS severity, 3 AS severity_num, 0 AS batch_id FROM hit GROUP BY session_id, dst_display"""))
 def s03(s):
     """Two flushes of detection: the second raises nothing again."""
     root, source = fresh_path(s.spark, "live"), fresh_path(s.spark, "lines")
     _clean_lines(s).repartition("value").write.partitionBy("session_id").text(source)
     raw = s.spark.readStream.schema("value STRING, session_id INT").text(source)
     live.start_flows(live.live_packets(raw, LOCAL_IPS, "60 days"), root, once=True).awaitTermination()
-    known = _partly_known(s)
-    ctx = Context(known, NETWORKS, "2026-06-01", TUNING)
+    ctx = Context(_partly_known(s), NETWORKS, "2026-06-01", _LIVE_TUNING)
     for batch in (0, 1):
         live.detect_now(s.spark, root, ctx, batch, as_of="2024-02-01 00:00:00")
     logged = s.spark.read.parquet(f"{root}/behaviour_alerts")
-    return logged.select("session_id", "tag", "dst_display", "severity", "severity_num", "batch_id")
+    return logged.select("session_id", "tag", "dst_display", "dst_ip", "severity", "severity_num", "batch_id")
 
 
 @query("s04_live_ids_alerts", with_views("alerts", """

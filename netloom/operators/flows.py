@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from netloom.functions.packet import TRANSPORTS
 from netloom.functions.predicates import shown_in_feed
+from netloom.session import durable
 
 # fixed values; the position is the code held in aggregation buffers
 TRANSPORT_CODES = (*TRANSPORTS, "UNKNOWN")
@@ -13,21 +14,30 @@ DIRECTION_CODES = ("INCOMING", "OUTGOING", "")
 STATES = ("SYN_SENT", "ESTABLISHED", "FIN", "RST")
 
 
-def dedup_frames(packets: DataFrame, arrival: str | None = None) -> DataFrame:
+def dedup_frames(
+    packets: DataFrame, arrival: str | None = None, broadcast_keys: int = 1_000_000
+) -> DataFrame:
     """One row per frame number of a session.
 
     The first to arrive when an ``arrival`` column exists, else the smallest
     row, so the choice does not depend on the partitioning.
 
-    Repeated frames are rare. Only the frame numbers are counted and shuffled
-    for all rows; whole rows move only for numbers seen more than once. There
-    the choice is an aggregate, so copies collapse on the map side even when one
+    Repeated frames are rare, so only frame numbers are counted and shuffled
+    for all rows, once, when this is called. Whole rows then move only for
+    numbers seen more than once: their list is broadcast up to
+    ``broadcast_keys`` entries and joined by shuffle beyond. The choice among
+    copies is an aggregate, so copies collapse on the map side even when one
     number (0, for unreadable ones) holds a third of all rows.
     """
     keys = ["session_id", "frame_number"]
     rest = [c for c in packets.columns if c not in keys and c != arrival]
-    repeated = packets.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > 1)
-    repeated = repeated.select(*keys)
+    counts = packets.groupBy(*keys).agg(F.count("*").alias("_n"))
+    repeated = durable(counts.filter(F.col("_n") > 1).select(*keys))
+    found = repeated.count()
+    if not found:
+        return packets.select(*keys, *rest)
+    if found <= broadcast_keys:
+        repeated = F.broadcast(repeated)
     single = packets.join(repeated, keys, "left_anti").select(*keys, *rest)
     row = F.struct(*rest)
     first = F.min(row) if arrival is None else F.min_by(row, F.struct(F.col(arrival), row))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from netloom.config import SemiTrustedConfig
-from netloom.functions.address import first_network_list
+from netloom.functions.address import address_key, first_network_list, network_range
 from netloom.sources.networks import SEMI_TRUSTED, TRUSTED, Networks
 
 
@@ -31,3 +31,27 @@ def is_unusual(protocol: Column, cfg: SemiTrustedConfig) -> Column:
     standard = [p.upper() for p in cfg.standard_protocols]
     label = F.upper(F.coalesce(protocol, F.lit("")))
     return (label != "") & ~label.isin(*standard)
+
+
+def matching_networks(ip: Column, networks: Networks) -> Column:
+    """Array of (cidr, tier) of every listed network that holds the address.
+
+    The list is literal configuration; use it on one row per address.
+    """
+    listed = []
+    for tier, cidrs in ((TRUSTED, networks.trusted), (SEMI_TRUSTED, networks.semi_trusted)):
+        for cidr in cidrs:
+            low, high = network_range(cidr)
+            listed.append(
+                F.struct(
+                    F.lit(cidr).alias("cidr"), F.lit(tier).alias("tier"),
+                    F.lit(low).alias("low"), F.lit(high).alias("high"),
+                )
+            )
+    if not listed:
+        return F.array().cast("array<struct<cidr:string,tier:string>>")
+    key = F.array(address_key(ip))
+    held = F.flatten(
+        F.transform(key, lambda k: F.filter(F.array(*listed), lambda n: k.between(n["low"], n["high"])))
+    )
+    return F.transform(held, lambda n: F.struct(n["cidr"].alias("cidr"), n["tier"].alias("tier")))

@@ -22,6 +22,12 @@ def local_session(cpus: int | str = 8, name: str = "netloom") -> SparkSession:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        # pages deeper than this are sorted by the cluster, not held in memory
+        .config("spark.sql.execution.topKSortFallbackThreshold", "100000")
+        .config(
+            "spark.sql.streaming.stateStore.providerClass",
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        )
         .getOrCreate()
     )
 
@@ -36,6 +42,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         folder = spark.conf.get("netloom.local.shared", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors reach")
         folder = tempfile.mkdtemp(prefix="netloom-")
         spark.conf.set("netloom.local.shared", folder)
     return folder

@@ -70,6 +70,10 @@ def test_session_filter_reaches_the_partitions(static, tmp_path):
     assert re.search(r"PartitionFilters: \[isnotnull\(session_id#\d+\), \(session_id#\d+ = 2\)\]", plan)
 
 
-def test_dedup_shuffles_only_frame_numbers(static):
-    plan = operators(O.dedup_frames(packets(static, [packet(1)])))
-    assert "LeftAnti" in plan and "LeftSemi" in plan
+def test_dedup_moves_only_repeated_rows(static):
+    one = packets(static, [packet(1), packet(2)])
+    assert "Join" not in operators(O.dedup_frames(one)) and "Exchange" not in operators(O.dedup_frames(one))
+    two = packets(static, [packet(1), packet(1), packet(2)])
+    plan = operators(O.dedup_frames(two))
+    assert "BroadcastHashJoin" in plan and plan.count("Exchange hashpartitioning") == 1
+    assert "SortMergeJoin" in operators(O.dedup_frames(two, broadcast_keys=0))
