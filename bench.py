@@ -15,7 +15,7 @@ from netloom.session import local_session
 
 HEADLINE = (
     "a01_read_packets", "b06_tls_propagation", "b19_relative_numbers", "c1_frame_dedup",
-    "c2_flow_aggregation", "c5_running_counters", "c04k_segment_labels", "d01_beaconing",
+    "c2_flow_aggregation", "c2_tls_flows", "c5_running_counters", "c04k_segment_labels", "d01_beaconing",
     "d02_data_exfil", "d03_new_destination", "d04_traffic_anomaly", "d08_tag_assembly",
     "d09_baseline", "e01_tags_to_alerts", "e06_reclassification", "f04_cumulative_stats",
     "f12_top_talkers", "f15_threat_summary", "f20_alert_page", "f21_grouped_alerts",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from netloom.catalog.registry import query
 from netloom.catalog.views import with_views
 from netloom.operators import flows as O
+from netloom.operators.rebuild import build_tls_flows, rebuild
 
 # flows by window functions, a different form from the aggregate under test
 FLOWS_SQL = """
@@ -53,10 +54,10 @@ def c1(s):
 
 
 @query("c2_flow_aggregation", with_views("packets", FLOWS_SQL + f"""
-    SELECT {_SHOWN}, round(epoch_us(end_time) / 1e6 - epoch_us(start_time) / 1e6, 3) AS duration FROM folded"""))
+    SELECT {_SHOWN}, epoch_us(end_time) - epoch_us(start_time) AS duration_us FROM folded"""))
 def c2(s):
     flows = O.build_flows(s.packets)
-    return flows.select(*FLOW_COLUMNS, F.round("duration", 3).alias("duration"))
+    return flows.select(*FLOW_COLUMNS, F.round(F.col("duration") * 1000000).cast("bigint").alias("duration_us"))
 
 
 @query("c3_flow_state", with_views("packets", FLOWS_SQL + "SELECT state, count(*) AS flows FROM folded GROUP BY state"))
@@ -96,16 +97,37 @@ def c7(s):
     return O.packets_per_second(s.packets)
 
 
-@query("c8_full_rebuild", with_views("packets", FLOWS_SQL + """
-    SELECT session_id, count(*) AS flows, CAST(sum(total_packets) AS BIGINT) AS packets, CAST(sum(total_bytes) AS BIGINT) AS bytes
-    FROM folded GROUP BY session_id"""))
+# packets under their final label, by a running maximum over each pair
+RELABELLED_SQL = """
+WITH e AS (SELECT *, CASE WHEN src_ip || ':' || src_port <= dst_ip || ':' || dst_port THEN src_ip || src_port || dst_ip || dst_port ELSE dst_ip || dst_port || src_ip || src_port END AS pair,
+           CASE supported_version WHEN '' THEN 0 WHEN '0x0304' THEN 4 ELSE 3 END AS code FROM packets),
+relabelled AS (SELECT * REPLACE (CASE WHEN protocol NOT LIKE 'TLS%' THEN protocol ELSE
+      CASE max(code) OVER (PARTITION BY session_id, pair, protocol LIKE 'TLS%' ORDER BY frame_number) WHEN 4 THEN 'TLSv1.3' WHEN 3 THEN 'TLSv1.2' ELSE protocol END END AS protocol) FROM e),
+"""
+_TLS_FLOWS_SQL = RELABELLED_SQL + FLOWS_SQL.strip().removeprefix("WITH ").replace("FROM packets)", "FROM relabelled)")
+
+
+@query("c2_tls_flows", with_views("packets", _TLS_FLOWS_SQL + f" SELECT {_SHOWN} FROM folded"))
+def c2_tls(s):
+    """B6 and C2 together, without moving the packets to their pair."""
+    return build_tls_flows(s.packets).select(*FLOW_COLUMNS)
+
+
+@query("c8_full_rebuild", with_views("packets", _TLS_FLOWS_SQL + f" SELECT {_SHOWN} FROM folded"))
 def c8(s):
-    twice = s.packets.unionByName(s.packets)
-    flows, _ = O.rebuild(twice)
-    return flows.groupBy("session_id").agg(
-        F.count("*").alias("flows"), F.sum("total_packets").alias("packets"),
-        F.sum("total_bytes").alias("bytes"),
-    )
+    """Every packet is delivered twice."""
+    flows, _ = rebuild(s.packets.unionByName(s.packets))
+    return flows.select(*FLOW_COLUMNS)
+
+
+@query("c8_rebuilt_counters", with_views("packets", RELABELLED_SQL.rstrip().rstrip(",") + """
+    SELECT session_id, 'total' AS kind, '' AS name, count(*) AS packets, CAST(sum(packet_length) AS BIGINT) AS bytes FROM relabelled GROUP BY 1
+    UNION ALL SELECT session_id, 'transport', transport, count(*), CAST(sum(packet_length) AS BIGINT) FROM relabelled GROUP BY 1, 3
+    UNION ALL SELECT session_id, 'protocol', protocol, count(*), CAST(sum(packet_length) AS BIGINT) FROM relabelled GROUP BY 1, 3
+    UNION ALL SELECT session_id, 'direction', direction, count(*), CAST(sum(packet_length) AS BIGINT) FROM relabelled GROUP BY 1, 3"""))
+def c8_counters(s):
+    _, counters = rebuild(s.packets.unionByName(s.packets))
+    return counters
 
 
 @query("c9_live_override", with_views("packets connections", """

@@ -195,6 +195,11 @@ def f20b(s):
     return A.alert_page_counts(s.alerts, _WHERE, per_page=20)
 
 
+@query("f20_alert_protocols", with_views("alerts", "SELECT proto AS protocol FROM alerts WHERE coalesce(proto, '') <> '' GROUP BY proto"))
+def f20c(s):
+    return C.distinct_protocols(s.alerts, "proto")
+
+
 @query("f21_grouped_alerts", with_views("alerts", """
     SELECT signature, CASE severity_num WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity,
            arg_max(category, id) AS category, arg_max(proto, id) AS proto, count(*) AS count,

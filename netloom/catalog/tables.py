@@ -56,7 +56,7 @@ def a04(s):
 
 @query("a05_filtered_csv", with_views("connections", """
     SELECT CAST(id AS VARCHAR) AS "ID", src_ip AS "Source IP", dst_ip AS "Destination IP", CAST(dst_port AS VARCHAR) AS "Destination Port", protocol AS "Protocol", CAST(total_bytes AS VARCHAR) AS "Bytes", nullif(tag_text, '') AS "Tags"
-    FROM connections WHERE dst_ip LIKE '%2606%' OR protocol ILIKE '%2606%' ORDER BY id DESC LIMIT 10000"""))
+    FROM (SELECT * FROM connections WHERE dst_ip LIKE '%2606%' OR protocol ILIKE '%2606%' ORDER BY id DESC LIMIT 10000) c"""))
 def a05(s):
     path = fresh_path(s.spark, "filtered")
     X.export_filtered_csv(s.connections, path, ConnectionFilter(search="2606"))

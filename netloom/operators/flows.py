@@ -69,56 +69,58 @@ def _decode(code: Column, values, missing) -> Column:
     return F.when(code > 0, F.get(F.array(*map(F.lit, values)), code - 1)).otherwise(missing)
 
 
-def flow_parts(packets: DataFrame, key: str = "label") -> DataFrame:
-    """Per-packet inputs of the flow aggregate.
+FLOW_KEYS = ("session_id", "lo_ip", "lo_port", "hi_ip", "hi_port", "label")
 
-    The endpoints are put in order, so both directions share a key. Everything
-    the first or last packet decides is a number: buffers of fixed width keep
-    the aggregate in the hash path, where strings would force a sort.
-    """
+
+def _end(side: str) -> Column:
+    """One endpoint; without two usable ports both count as 0."""
     has_ports = (F.coalesce("src_port", F.lit(0)) != 0) & (F.coalesce("dst_port", F.lit(0)) != 0)
+    port = F.when(has_ports, F.col(f"{side}_port")).otherwise(0)
+    return F.struct(F.col(f"{side}_ip").alias("ip"), port.alias("port"))
 
-    def end(side: str) -> Column:
-        port = F.when(has_ports, F.col(f"{side}_port")).otherwise(0)
-        return F.struct(F.col(f"{side}_ip").alias("ip"), port.alias("port"))
 
-    source, target = end("src"), end("dst")
+def flow_keys(packets: DataFrame, key: str = "label") -> DataFrame:
+    """Packets with the columns of FLOW_KEYS; the endpoints are put in order, so
+    both directions share a key."""
+    low, high = F.least(_end("src"), _end("dst")), F.greatest(_end("src"), _end("dst"))
     label = F.coalesce(F.nullif(F.col("protocol"), F.lit("")), F.col("transport"))
-    return packets.select(
-        "session_id",
-        F.least(source, target).alias("lo"),
-        F.greatest(source, target).alias("hi"),
-        (label if key == "label" else F.col("transport")).alias("label"),
-        (source <= target).alias("forward"),
+    return packets.withColumns(
+        {
+            "lo_ip": low["ip"], "lo_port": low["port"], "hi_ip": high["ip"], "hi_port": high["port"],
+            "label": label if key == "label" else F.col("transport"),
+        }
+    )
+
+
+def flow_parts(packets: DataFrame, key: str = "label") -> DataFrame:
+    """Per-packet inputs of the flow aggregate.
+
+    Everything the first or last packet decides is a number: buffers of fixed
+    width keep the aggregate in the hash path, where strings would force a sort.
+    """
+    state = _state_code(_flags_text(packets))
+    return flow_keys(packets, key).select(
+        *FLOW_KEYS,
+        (_end("src") <= _end("dst")).alias("forward"),
         "src_port",
         "dst_port",
         _code(F.col("transport"), TRANSPORT_CODES).alias("transport_code"),
         _code(F.col("direction"), DIRECTION_CODES).alias("direction_code"),
-        _state_code(_flags_text(packets)).alias("state_code"),
+        state.alias("state_code"),
+        F.when(state.isNotNull(), F.col("frame_number")).alias("state_frame"),
         "frame_number",
         "ts",
         "packet_length",
     )
 
 
-FLOW_KEYS = ("session_id", "lo_ip", "lo_port", "hi_ip", "hi_port", "label")
-
-
 def aggregate_flows(parts: DataFrame) -> DataFrame:
-    """The flow aggregate, in coded form; also the streaming aggregate."""
+    """The flow aggregate in coded form; parts of it merge by ``merge_flows``."""
 
     def first(name: str) -> Column:
         return F.min_by(name, "frame_number").alias(name)
 
-    keyed = parts.select(
-        "*",
-        F.col("lo.ip").alias("lo_ip"),
-        F.col("lo.port").alias("lo_port"),
-        F.col("hi.ip").alias("hi_ip"),
-        F.col("hi.port").alias("hi_port"),
-        F.when(F.col("state_code").isNotNull(), F.col("frame_number")).alias("state_frame"),
-    )
-    return keyed.groupBy(*FLOW_KEYS).agg(
+    return parts.groupBy(*FLOW_KEYS).agg(
         F.min("frame_number").alias("first_frame"),
         F.max("frame_number").alias("last_frame"),
         first("forward"),
@@ -135,6 +137,28 @@ def aggregate_flows(parts: DataFrame) -> DataFrame:
     )
 
 
+def merge_flows(parts: DataFrame) -> DataFrame:
+    """Coded parts of flows to one coded row per flow."""
+
+    def first(name: str) -> Column:
+        return F.min_by(name, "first_frame").alias(name)
+
+    return parts.groupBy(*FLOW_KEYS).agg(
+        *[
+            first(name)
+            for name in (
+                "forward", "src_port", "dst_port", "transport_code", "direction_code", "start_time",
+            )
+        ],
+        F.max_by("end_time", "last_frame").alias("end_time"),
+        F.max_by("state_code", "state_frame").alias("state_code"),
+        F.sum("total_packets").alias("total_packets"),
+        F.sum("total_bytes").alias("total_bytes"),
+        F.min("first_frame").alias("first_frame"),
+        F.max("last_frame").alias("last_frame"),
+    )
+
+
 def seconds_between(start: Column, end: Column) -> Column:
     return (F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 1e6
 
@@ -241,12 +265,6 @@ def packets_per_second(packets: DataFrame, trailing: int = 5) -> DataFrame:
     return sampled.select("session_id", "second", F.col("total").alias("packets"), rate.alias("pps"))
 
 
-def rebuild(packets: DataFrame, arrival: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Flows and counters of the complete capture (dedup, recount, refold)."""
-    clean = dedup_frames(packets, arrival)
-    return build_flows(clean), running_counters(clean)
-
-
 def override_totals(totals: DataFrame, stored: DataFrame, live: DataFrame) -> DataFrame:
     """Total - stored(live session) + authoritative counters.
 

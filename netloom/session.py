@@ -22,6 +22,7 @@ def local_session(cpus: int | str = 8, name: str = "netloom") -> SparkSession:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         # pages deeper than this are sorted by the cluster, not held in memory
         .config("spark.sql.execution.topKSortFallbackThreshold", "100000")
         .config(

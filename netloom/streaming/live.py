@@ -12,16 +12,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from netloom.functions.packet import is_tls
 from netloom.operators.alerts import (
     AlertRules, alerts_from_tags, apply_behaviour_rules, apply_ids_rules,
 )
 from netloom.operators.detectors import Context, tag_flows
 from netloom.operators.dns import answers
-from netloom.operators.flows import FLOW_KEYS, aggregate_flows, decode_flows, flow_parts
+from netloom.operators.flows import aggregate_flows, decode_flows, flow_parts, merge_flows
+from netloom.operators.rebuild import relabel_parts, with_versions
 from netloom.operators.tls import PAIR, apply_versions, first_versions
 from netloom.sinks.tables import _hadoop
 from netloom.sources.ids import parse_ids_lines
@@ -54,22 +54,6 @@ def _log(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
-def merge_parts(parts: DataFrame) -> DataFrame:
-    """Flow parts of many batches to one coded row per flow."""
-    def first(name: str) -> Column:
-        return F.min_by(name, "first_frame").alias(name)
-
-    return parts.groupBy(*FLOW_KEYS).agg(
-        *[first(n) for n in ("forward", "src_port", "dst_port", "transport_code", "direction_code", "start_time")],
-        F.max_by("end_time", "last_frame").alias("end_time"),
-        F.max_by("state_code", "state_frame").alias("state_code"),
-        F.sum("total_packets").alias("total_packets"),
-        F.sum("total_bytes").alias("total_bytes"),
-        F.min("first_frame").alias("first_frame"),
-        F.max("last_frame").alias("last_frame"),
-    )
-
-
 def _versions(hellos: DataFrame) -> DataFrame:
     return hellos.groupBy(*PAIR).agg(
         F.min("first13").alias("first13"), F.min("first12").alias("first12")
@@ -84,20 +68,9 @@ def current_flows(spark: SparkSession, root: str) -> DataFrame:
     a part whose frames lie on both sides of a late hello keeps the label it was
     given; the rebuild of C8 settles those.
     """
-    parts = spark.read.parquet(f"{root}/flow_parts")
-    versions = _versions(spark.read.parquet(f"{root}/hellos")).select(
-        "session_id", F.col("lo.ip").alias("lo_ip"), F.col("lo.port").alias("lo_port"),
-        F.col("hi.ip").alias("hi_ip"), F.col("hi.port").alias("hi_port"), "first13", "first12",
-    )
-    keys = ["session_id", "lo_ip", "lo_port", "hi_ip", "hi_port"]
-    tls, start = is_tls(F.col("label")), F.col("first_frame")
-    label = (
-        F.when(tls & (start >= F.col("first13")), "TLSv1.3")
-        .when(tls & (start >= F.col("first12")), "TLSv1.2")
-        .otherwise(F.col("label"))
-    )
-    relabelled = parts.join(versions, keys, "left").withColumn("label", label)
-    return decode_flows(merge_parts(relabelled))
+    parts = spark.read.parquet(f"{root}/flow_parts").drop("batch_id")
+    versions = _versions(spark.read.parquet(f"{root}/hellos"))
+    return decode_flows(merge_flows(relabel_parts(with_versions(parts, versions))))
 
 
 def current_domains(spark: SparkSession, root: str) -> DataFrame:

@@ -97,3 +97,30 @@ def test_counters_agree(spark):
     got = running_counters(packets(spark, rows)).collect()
     for kind in ("total", "transport", "protocol", "direction"):
         assert sum(r.packets for r in got if r.kind == kind) == 30
+
+
+def test_tls_flows_equal_relabelling_every_packet(spark):
+    from netloom.operators.flows import build_flows as fold
+    from netloom.operators.rebuild import build_tls_flows, rebuild
+
+    rng = random.Random(9)
+    rows = []
+    for n in range(600):
+        pair = rng.randint(0, 25)
+        ends = [("10.0.0.1", 1000 + pair), ("8.8.8.8", 443)]
+        if pair == 1:
+            ends[0] = ("10.0.0.1", None)
+        if pair == 2:
+            ends[0] = ("10.0.0.1", 0)
+        (s, sp), (d, dp) = ends if rng.random() < 0.6 else ends[::-1]
+        label = rng.choice(["TLSv1.2", "TLSv1.2", "TLSv1.3", "SSLv3", "TCP"])
+        version = rng.choice([""] * 12 + ["0x0303", "0x0304", "0x0304,0x0303", "0x0302"])
+        rows.append(packet(n, s, sp, d, dp, protocol=label, supported_version=version, tcp_flags=rng.choice(["SYN", "ACK", "RST"])))
+    df = packets(spark, rows)
+    expected = sorted(map(str, fold(propagate_tls(df)).collect()))
+    assert sorted(map(str, build_tls_flows(df).collect())) == expected
+    assert sorted(map(str, build_tls_flows(df, broadcast_keys=0).collect())) == expected
+    flows, counters = rebuild(df.unionByName(df))
+    assert sorted(map(str, flows.collect())) == expected
+    again = running_counters(propagate_tls(df)).collect()
+    assert sorted(map(str, counters.select(*again[0].__fields__).collect())) == sorted(map(str, again))

@@ -154,3 +154,37 @@ def test_detection_raises_each_alert_once(spark, tmp_path):
         live.detect_now(spark, root, ctx, batch, as_of="2024-01-01")  # a retry
     got = spark.read.parquet(f"{root}/behaviour_alerts")
     assert {(r.batch_id, r.dst_ip, r.tag) for r in got.collect()} == {(0, "203.0.113.5", "new_dest"), (2, "203.0.113.6", "new_dest")}
+
+
+def test_feed_cursor_and_own_traffic(spark):
+    from netloom.operators.flows import recent_packets
+
+    rows = [packet(n, dst="2606:4700:0000:0000:0000::1", info="x" * 100) for n in range(1, 9)] + [packet(9, sport=8000), packet(10, dst="")]
+    df = packets(spark, rows).withColumn("relative_time", F.lit(1.23456))
+    got = recent_packets(df, after=6).collect()
+    assert [r.num for r in got] == [8, 7] and got[0].time == 1.235
+    assert got[0].dst == "2606:4700:0000:00...:443" and len(got[0].info) == 80
+    assert [r.num for r in recent_packets(df, limit=3).collect()] == [8, 7, 6]
+
+
+def test_alert_cursor_and_unknown_level(spark):
+    from netloom.functions.predicates import AlertFilter
+    from netloom.plans import alerts as A
+
+    df = spark.createDataFrame(
+        [(i, None, 1 + i % 3, "s", "a", "b", 1) for i in range(9)],
+        "id bigint, timestamp timestamp_ntz, severity_num int, signature string, src_ip string, dst_ip string, session_id int",
+    )
+    assert A.latest_alert(df).first().id == 8
+    assert A.latest_alert(df, after=7).count() == 1 and A.latest_alert(df, after=8).count() == 0
+    counts = A.alert_page_counts(df, AlertFilter(severity="weird"), per_page=4).first()
+    assert (counts.total_count, counts.total_pages, counts.high_count) == (9, 3, 3)
+    assert A.alert_page_counts(df, AlertFilter(severity="low"), per_page=4).first().total_count == 3
+
+
+def test_deep_pages_are_sorted_by_the_cluster(spark):
+    df = flows(spark, [flow(i) for i in range(30)])
+    page = C.connection_page(df.withColumns({"tags": F.array().cast("array<string>"), "severity": F.lit("")}), page=3, per_page=10)
+    assert [r.id for r in page.collect()] == list(range(9, -1, -1))
+    deep = C.page_slice(df.orderBy(F.desc("id")), 3, 100_000)
+    assert "TakeOrderedAndProject" not in deep._jdf.queryExecution().executedPlan().toString()
