@@ -271,16 +271,13 @@ def override_totals(totals: DataFrame, stored: DataFrame, live: DataFrame) -> Da
     ``totals`` is one row (total_packets, total_bytes); ``stored`` has sums per
     session; ``live`` holds the sessions being captured with their own counters.
     """
-    change = live.join(stored, "session_id", "left").agg(
-        F.coalesce(
-            F.sum(F.col("live_packets") - F.coalesce("total_packets", F.lit(0))), F.lit(0)
-        ).alias("dp"),
-        F.coalesce(
-            F.sum(F.col("live_bytes") - F.coalesce("total_bytes", F.lit(0))), F.lit(0)
-        ).alias("db"),
-    )
-    # one row against one row
-    return totals.join(change).select(
-        (F.col("total_packets") + F.col("dp")).alias("total_packets"),
-        (F.col("total_bytes") + F.col("db")).alias("total_bytes"),
+    both = live.join(stored, "session_id", "left")
+
+    def change(live_name: str, stored_name: str) -> Column:
+        gained = F.sum(F.col(live_name) - F.coalesce(stored_name, F.lit(0)))
+        return both.agg(F.coalesce(gained, F.lit(0)).alias("d")).scalar()
+
+    return totals.select(
+        (F.col("total_packets") + change("live_packets", "total_packets")).alias("total_packets"),
+        (F.col("total_bytes") + change("live_bytes", "total_bytes")).alias("total_bytes"),
     )

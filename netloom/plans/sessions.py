@@ -88,10 +88,8 @@ def traffic_stats(connections: DataFrame, sessions: DataFrame | None = None) ->
 
 def session_stats(connections: DataFrame, sessions: DataFrame, session_id: int) -> DataFrame:
     """statistics of one session; no rows when there is no such session."""
-    exists = sessions.filter(F.col("id") == session_id).select("id").limit(1)
     rows = traffic_stats(connections.filter(F.col("session_id") == session_id))
-    # ``exists`` has one row at most
-    return rows.join(F.broadcast(exists), F.lit(True), "left_semi")
+    return rows.filter(sessions.filter(F.col("id") == session_id).exists())
 
 
 def latest_session(sessions: DataFrame) -> DataFrame:
@@ -104,8 +102,7 @@ def totals(connections: DataFrame, alerts: DataFrame) -> DataFrame:
     flows = connections.agg(
         F.coalesce(F.sum("total_packets"), F.lit(0)).alias("packets"), F.count("*").alias("connections")
     )
-    # one row against one row
-    return flows.join(alerts.agg(F.count("*").alias("alerts")))
+    return flows.withColumn("alerts", alerts.agg(F.count("*").alias("n")).scalar())
 
 
 def protocol_stats(stats: DataFrame) -> DataFrame:
@@ -199,15 +196,14 @@ def session_series(sessions: DataFrame, points: int = POINTS) -> DataFrame:
     The number is counted back from the total, so the table is never put in
     order as a whole.
     """
-    count = sessions.agg(F.count("*").alias("n"))
+    count = sessions.agg(F.count("*").alias("n")).scalar()
     last = _last(sessions.select("id", "total_packets", "total_bytes"), "id", points)
     back = F.row_number().over(W.orderBy(F.desc("id")))  # at most ``points`` rows
-    numbered = last.withColumn("_back", back).join(F.broadcast(count))
-    return numbered.select(
+    return last.withColumn("_back", back).select(
         "id",
         F.coalesce("total_packets", F.lit(0)).alias("packets"),
         F.coalesce("total_bytes", F.lit(0)).alias("bytes"),
-        (F.col("n") - F.col("_back") + 1).alias("sessions"),
+        (count - F.col("_back") + 1).alias("sessions"),
     )
 
 
