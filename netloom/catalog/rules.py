@@ -120,8 +120,7 @@ def h01(s):
     checked = checked.withColumns(
         {"country": F.lit("DE"), "isp": F.lit("x"), "last_checked": F.lit("2024-02-01").cast("timestamp_ntz")}
     )
-    known = s.reputation.withColumn("last_checked", F.col("last_checked").cast("timestamp_ntz"))
-    return H.upsert_reputation(known, checked).select("ip", "abuse_score", "is_malicious", "last_checked")
+    return H.upsert_reputation(s.reputation, checked).select("ip", "abuse_score", "is_malicious", "last_checked")
 
 
 @query("h02_ips_to_check", with_views("packets reputation", f"""

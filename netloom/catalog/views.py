@@ -202,7 +202,8 @@ class Source:
 
     @property
     def reputation(self) -> DataFrame:
-        return self.view("reputation")
+        df = self.view("reputation")
+        return df.withColumn("last_checked", F.col("last_checked").cast("timestamp_ntz"))
 
     @property
     def segments(self) -> DataFrame:

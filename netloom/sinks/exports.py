@@ -14,6 +14,12 @@ PACKET_COLUMNS = (
     ("application_protocol", "protocol"), ("tcp_flags", "tcp_flags"),
     ("direction", "direction"), ("packet_length", "packet_length"), ("info", "info"),
 )
+# the same columns under the header of the older capture log
+TITLED_PACKET_HEADER = (
+    "Packet_ID", "Absolute_Timestamp", "Relative_Time", "Source_IP", "Destination_IP",
+    "Source_Port", "Destination_Port", "Transport_Protocol", "Application_Protocol",
+    "TCP_Flags", "Direction", "Packet_Length", "Info",
+)
 CONNECTION_COLUMNS = (
     ("Connection_ID", "id"), ("Source_IP", "src_ip"), ("Destination_IP", "dst_ip"),
     ("Source_Port", "src_port"), ("Destination_Port", "dst_port"), ("Protocol", "protocol"),
@@ -45,8 +51,9 @@ def _renamed(df: DataFrame, columns) -> DataFrame:
     return df.select(*chosen)
 
 
-def packet_rows(packets: DataFrame) -> DataFrame:
-    return _renamed(packets, PACKET_COLUMNS)
+def packet_rows(packets: DataFrame, titled: bool = False) -> DataFrame:
+    rows = _renamed(packets, PACKET_COLUMNS)
+    return rows.toDF(*TITLED_PACKET_HEADER) if titled else rows
 
 
 def connection_rows(
@@ -70,9 +77,9 @@ def write_csv(rows: DataFrame, path: str) -> None:
     ).csv(path)
 
 
-def write_packets_csv(packets: DataFrame, path: str) -> None:
+def write_packets_csv(packets: DataFrame, path: str, titled: bool = False) -> None:
     """A3."""
-    write_csv(packet_rows(packets), path)
+    write_csv(packet_rows(packets, titled), path)
 
 
 def export_connections_csv(

@@ -110,3 +110,12 @@ def parse_thresholds(text: str) -> tuple[tuple[SuppressRule, ...], tuple[RateLim
                 )
             )
     return tuple(suppress), tuple(limits)
+
+
+def load_thresholds(path: str) -> tuple[tuple[SuppressRule, ...], tuple[RateLimit, ...]]:
+    """Rules of a threshold file; none when it is missing."""
+    try:
+        with open(path, encoding="utf-8") as handle:
+            return parse_thresholds(handle.read())
+    except OSError:
+        return (), ()

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from helpers import value
 from netloom.functions import address as A, codes, fmt, packet as P
 from netloom.functions.rounding import exact_round, fixed_text
-from netloom.sources.networks import DEFAULT_TRUSTED, load_networks, parse_networks, parse_thresholds
+from netloom.sources.networks import (
+    DEFAULT_TRUSTED, load_networks, load_thresholds, parse_networks, parse_thresholds,
+)
 
 
 def expected_key(text):
@@ -73,13 +75,16 @@ def test_network_file(tmp_path):
     assert parse_networks("") == load_networks(str(tmp_path / "none"))
 
 
-def test_threshold_file():
+def test_threshold_file(tmp_path):
     text = (
         "# comment\nsuppress gen_id 1, sig_id 7, track by_dst, ip 10.0.0.0/8\n"
         "threshold gen_id 1, sig_id 9, type limit, track by_src, count 2, seconds 60\n"
         "threshold gen_id 1, sig_id 9, type both, track by_src, count 2, seconds 60\n"
     )
-    suppress, limits = parse_thresholds(text)
+    (tmp_path / "t.config").write_text(text)
+    suppress, limits = load_thresholds(str(tmp_path / "t.config"))
+    assert (suppress, limits) == parse_thresholds(text)
+    assert load_thresholds(str(tmp_path / "none")) == ((), ())
     assert [(r.signature_id, r.track, r.network) for r in suppress] == [(7, "by_dst", "10.0.0.0/8")]
     assert [(r.signature_id, r.track, r.count, r.seconds) for r in limits] == [(9, "by_src", 2, 60)]
 

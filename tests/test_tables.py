@@ -58,6 +58,8 @@ def test_csv_headers(spark, tmp_path):
     X.export_connections_csv(df, str(tmp_path / "a"))
     text = "".join(p.read_text() for p in sorted((tmp_path / "a").glob("*.csv")))
     assert text.startswith("Connection_ID,Source_IP,Destination_IP,Source_Port") and text.index("\n2,") < text.index("\n1,")
+    titled = X.packet_rows(packets(spark, [packet(1)]).withColumn("relative_time", F.lit(0.0)), titled=True)
+    assert titled.columns[0] == "Packet_ID" and titled.columns[-1] == "Info" and len(titled.columns) == 13
     X.export_filtered_csv(df, str(tmp_path / "b"), ConnectionFilter(port=40000))
     assert next((tmp_path / "b").glob("*.csv")).read_text().splitlines()[0] == "ID,Source IP,Source Port,Destination IP,Destination Port,Protocol,Direction,Packets,Bytes,State,Tags,Timestamp"
 
