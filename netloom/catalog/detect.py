@@ -100,6 +100,29 @@ def d02(s):
     return D.detect_data_exfil(s.plain_connections, NETWORKS, TUNING)
 
 
+_PER_SESSION = dc.replace(
+    TUNING, beaconing=BeaconConfig(min_connections=8, cv_threshold=0.9),
+    data_exfil=ExfilConfig(threshold_medium_bytes=600_000_000, threshold_high_bytes=800_000_000),
+)
+
+
+@query("d01_beaconing_per_session", with_views("connections", _beacon_sql(
+    "SELECT * REPLACE (session_id || '/' || src_ip AS src_ip), dst_ip AS dst_key FROM connections", "dst_ip", 8, 0.9)))
+def d01_sessions(s):
+    """Every session judged on its own, in one pass."""
+    found = beacon_pairs(s.plain_connections, NETWORKS, _PER_SESSION, scope=("session_id",))
+    whole = F.concat_ws("/", F.col("session_id").cast("string"), "src_ip")
+    return _shown(found.withColumn("src_ip", whole))
+
+
+@query("d02_data_exfil_per_session", with_views("connections", _EXFIL
+    .replace("SELECT dst_ip, sum", "SELECT session_id, dst_ip, sum").replace("GROUP BY dst_ip)", "GROUP BY session_id, dst_ip)")
+    .replace("(SELECT dst_ip, CASE", "(SELECT session_id, dst_ip, CASE").replace("5000000000", "800000000").replace("4000000000", "600000000") + """
+    SELECT id, 'data_exfil' AS tag, v.severity, reason FROM connections c JOIN v USING (session_id, dst_ip) WHERE v.severity IS NOT NULL AND direction = 'OUTGOING'"""))
+def d02_sessions(s):
+    return D.detect_data_exfil(s.plain_connections, NETWORKS, _PER_SESSION, scope=("session_id",))
+
+
 _NEW = f"""id, 'new_dest' AS tag, '{{sev}}' AS severity, 'First connection to ' || dst_ip AS reason FROM connections c
     WHERE session_id > 4 AND NOT {_PRIV} AND NOT {_TRUST} AND dst_ip NOT IN (SELECT dst_ip FROM connections WHERE session_id <= 4 AND dst_ip NOT LIKE '%1')
       AND NOT ({_SEMI} AND total_bytes < 60000000 AND NOT {_UNUSUAL})"""
@@ -171,7 +194,7 @@ def _tag_sql() -> str:
 
 
 def tagged(s):
-    ctx = D.Context(_partly_known(s), NETWORKS, AS_OF, _TAG_TUNING)
+    ctx = D.Context(_partly_known(s), NETWORKS, AS_OF, _TAG_TUNING, scope=())
     return D.tag_flows(current(s), ctx)
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from netloom.config import Tuning
 from netloom.functions.address import is_multicast_key
@@ -17,11 +17,13 @@ from netloom.sources.networks import SEMI_TRUSTED, TRUSTED, Networks
 RANGE_SECONDS = 3600
 SECOND = 1_000_000  # microseconds
 
-CHAINS = "src_ip string, dst_key string, slot bigint, entry bigint, leave bigint, kept bigint, squares double"
+Scope = Sequence[str]
 
 
-def pair_groups(flows: DataFrame, domains: DataFrame | None, networks: Networks, tuning: Tuning) -> DataFrame:
-    """Candidate groups (src_ip, dst_key) with the source addresses they cover.
+def pair_groups(
+    flows: DataFrame, domains: DataFrame | None, networks: Networks, tuning: Tuning, scope: Scope = ()
+) -> DataFrame:
+    """Candidate groups (src_ip, dst_key) with the addresses they cover.
 
     Flows are first reduced to (src_ip, dst_ip); names and trust tiers are
     looked up on that small table only. Returns one row per (src_ip, dst_ip) of
@@ -29,7 +31,7 @@ def pair_groups(flows: DataFrame, domains: DataFrame | None, networks: Networks,
     """
     cfg, semi = tuning.beaconing, tuning.semi_trusted
     port = F.col("dst_port")
-    pairs = flows.groupBy("src_ip", "dst_ip").agg(
+    pairs = flows.groupBy(*scope, "src_ip", "dst_ip").agg(
         F.count("*").alias("n"),
         F.min("id").alias("first"),
         F.count("dst_port").alias("ports"),
@@ -44,7 +46,7 @@ def pair_groups(flows: DataFrame, domains: DataFrame | None, networks: Networks,
         pairs = pairs.join(names, "dst_ip", "left").withColumn(
             "dst_key", F.coalesce("domain", "dst_ip")
         )
-        groups = pairs.groupBy("src_ip", "dst_key").agg(
+        groups = pairs.groupBy(*scope, "src_ip", "dst_key").agg(
             F.sum("n").alias("n"),
             F.min_by("dst_ip", "first").alias("first_dst"),
             F.sum("ports").alias("ports"),
@@ -63,26 +65,28 @@ def pair_groups(flows: DataFrame, domains: DataFrame | None, networks: Networks,
         dropped = (F.col("tier") == TRUSTED) | ((F.col("tier") == SEMI_TRUSTED) & usual)
         groups = groups.filter(~F.coalesce(dropped, F.lit(False)))
     if domains is None:
-        return groups.select("src_ip", F.col("dst_key").alias("dst_ip"), "dst_key", "tier")
-    chosen = groups.select("src_ip", "dst_key", "tier")
-    return pairs.select("src_ip", "dst_ip", "dst_key").join(chosen, ["src_ip", "dst_key"])
+        return groups.select(*scope, "src_ip", F.col("dst_key").alias("dst_ip"), "dst_key", "tier")
+    chosen = groups.select(*scope, "src_ip", "dst_key", "tier")
+    return pairs.select(*scope, "src_ip", "dst_ip", "dst_key").join(
+        chosen, [*scope, "src_ip", "dst_key"]
+    )
 
 
-def _chains(frame: pd.DataFrame) -> pd.DataFrame:
-    """Follow the 1-second rule inside every (src, dst, slot) of a sorted frame.
+def _chains(frame: pd.DataFrame, keys: Sequence[str]) -> pd.DataFrame:
+    """Follow the 1-second rule inside every slot of a sorted frame.
 
-    From each start the next kept one is the first more than a second later, so
-    the rule is a pointer per start. For every start that a chain coming from
-    the previous slot could enter at, report where the chain leaves the slot,
-    how many starts it keeps and the sum of its squared intervals.
+    ``keys`` end with the slot. From each start the next kept one is the first
+    more than a second later, so the rule is a pointer per start. For every start
+    that a chain coming from the previous slot could enter at, report where the
+    chain leaves the slot, how many starts it keeps and the sum of its squared
+    intervals.
     """
     at = frame["at"].to_numpy()
     slot = frame["slot"].to_numpy()
-    changed = (
-        (frame["src_ip"].to_numpy()[1:] != frame["src_ip"].to_numpy()[:-1])
-        | (frame["dst_key"].to_numpy()[1:] != frame["dst_key"].to_numpy()[:-1])
-        | (slot[1:] != slot[:-1])
-    )
+    changed = np.zeros(len(at) - 1, dtype=bool)
+    for key in keys:
+        values = frame[key].to_numpy()
+        changed |= values[1:] != values[:-1]
     part = np.concatenate([[0], np.cumsum(changed)])
     opening = slot * (RANGE_SECONDS * SECOND)
     # one increasing axis for all parts, so a single search serves them all
@@ -106,41 +110,36 @@ def _chains(frame: pd.DataFrame) -> pd.DataFrame:
     early = at < opening + SECOND
     after = (here == first) | np.concatenate([[True], early[:-1]])
     pick = early | after
-    return pd.DataFrame(
-        {
-            "src_ip": frame["src_ip"].to_numpy()[pick],
-            "dst_key": frame["dst_key"].to_numpy()[pick],
-            "slot": slot[pick],
-            "entry": at[pick],
-            "leave": at[leave][pick],
-            "kept": kept[pick] + 1,
-            "squares": squares[pick],
-        }
+    found = frame.loc[pick, list(keys)].reset_index(drop=True)
+    return found.assign(
+        entry=at[pick], leave=at[leave][pick], kept=kept[pick] + 1, squares=squares[pick]
     )
 
 
-def _chain_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def chain_batches(keys: Sequence[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Whole slots only: the last slot of a batch waits for the next batch."""
-    held = None
-    for batch in batches:
-        if not len(batch):
-            continue
-        frame = batch if held is None else pd.concat([held, batch], ignore_index=True)
-        tail = frame.iloc[-1]
-        whole = (
-            (frame["src_ip"] != tail["src_ip"])
-            | (frame["dst_key"] != tail["dst_key"])
-            | (frame["slot"] != tail["slot"])
-        )
-        held = frame[~whole].reset_index(drop=True)
-        ready = frame[whole].reset_index(drop=True)
-        if len(ready):
-            yield _chains(ready)
-    if held is not None and len(held):
-        yield _chains(held)
 
-
-def interval_stats(starts: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            frame = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            whole = np.zeros(len(frame), dtype=bool)
+            for key in keys:
+                values = frame[key].to_numpy()
+                whole |= values != values[-1]
+            held = frame[~whole].reset_index(drop=True)
+            ready = frame[whole].reset_index(drop=True)
+            if len(ready):
+                yield _chains(ready, keys)
+        if held is not None and len(held):
+            yield _chains(held, keys)
+
+    return run
+
+
+def interval_stats(starts: DataFrame, scope: Scope = ()) -> DataFrame:
     """Kept starts, mean and sample deviation of their intervals per group.
 
     ``starts`` has one row per distinct (src_ip, dst_key, at in microseconds).
@@ -149,10 +148,15 @@ def interval_stats(starts: DataFrame) -> DataFrame:
     end to end. An hour holds at most one row per distinct time, and what
     remains of it is only its first second, so no task sees a whole busy group.
     """
-    keys = ["src_ip", "dst_key", "slot"]
+    group = [*scope, "src_ip", "dst_key"]
+    keys = [*group, "slot"]
     slotted = starts.withColumn("slot", F.floor(F.col("at") / (RANGE_SECONDS * SECOND)))
     sorted_slots = slotted.select(*keys, "at").repartition(*keys).sortWithinPartitions(*keys, "at")
-    chains = sorted_slots.mapInPandas(_chain_batches, CHAINS)
+    schema = sorted_slots.select(*keys).schema
+    for name in ("entry", "leave", "kept"):
+        schema = schema.add(name, T.LongType())
+    schema = schema.add("squares", T.DoubleType())
+    chains = sorted_slots.mapInPandas(chain_batches(keys), schema)
     entries = F.sort_array(
         F.collect_list(F.struct("slot", "entry", "leave", "kept", "squares"))
     )
@@ -176,13 +180,12 @@ def interval_stats(starts: DataFrame) -> DataFrame:
         )
         return F.when(taken, new).otherwise(acc)
 
-    joined = chains.groupBy("src_ip", "dst_key").agg(F.aggregate(entries, begin, enter).alias("c"))
+    joined = chains.groupBy(*group).agg(F.aggregate(entries, begin, enter).alias("c"))
     n = F.col("c.kept") - 1
     mean = (F.col("c.leave") - F.col("c.first")) / 1e6 / n
     variance = F.greatest((F.col("c.squares") - n * mean * mean) / (n - 1), F.lit(0.0))
     return joined.select(
-        "src_ip",
-        "dst_key",
+        *group,
         F.col("c.kept").alias("kept"),
         F.when(n > 0, mean).alias("mean"),
         F.when(n > 1, F.sqrt(variance)).otherwise(0.0).alias("stdev"),
@@ -190,20 +193,24 @@ def interval_stats(starts: DataFrame) -> DataFrame:
 
 
 def beacon_pairs(
-    flows: DataFrame, networks: Networks, tuning: Tuning = Tuning(), domains: DataFrame | None = None
+    flows: DataFrame, networks: Networks, tuning: Tuning = Tuning(), domains: DataFrame | None = None,
+    scope: Scope = (),
 ) -> DataFrame:
-    """Verdicts of D1: one row per (src_ip, dst_ip) whose group beacons."""
+    """Verdicts of D1: one row per (src_ip, dst_ip) whose group beacons.
+
+    ``scope`` names further grouping columns, such as the session.
+    """
     cfg = tuning.beaconing
-    pairs = pair_groups(flows, domains, networks, tuning)
+    pairs = pair_groups(flows, domains, networks, tuning, scope)
     timed = flows.filter(F.col("start_time").isNotNull()).select(
-        "src_ip", "dst_ip", F.unix_micros(F.col("start_time").cast("timestamp")).alias("at")
+        *scope, "src_ip", "dst_ip", F.unix_micros(F.col("start_time").cast("timestamp")).alias("at")
     )
     counted = (
-        timed.join(pairs, ["src_ip", "dst_ip"])
-        .groupBy("src_ip", "dst_key", "at")
+        timed.join(pairs, [*scope, "src_ip", "dst_ip"])
+        .groupBy(*scope, "src_ip", "dst_key", "at")
         .agg(F.count("*").alias("n"))
     )
-    stats = interval_stats(counted)
+    stats = interval_stats(counted, scope)
     cv = F.col("stdev") / F.col("mean")
     # kept starts never exceed timed flows, so this covers both count rules
     found = stats.filter((F.col("kept") >= cfg.min_connections) & (F.col("mean") >= 1.0))
@@ -213,9 +220,9 @@ def beacon_pairs(
         F.lit(", interval ~"), fixed_text(F.col("mean"), 1), F.lit("s (CV="),
         fixed_text(F.col("cv"), 3), F.lit(")"),
     )
-    shown = ("src_ip", "dst_ip", "dst_key", "kept", "mean", "cv", reason.alias("reason"))
+    shown = (*scope, "src_ip", "dst_ip", "dst_key", "kept", "mean", "cv", reason.alias("reason"))
     if domains is None and cfg.suppress_whitelisted:
         # trusted groups are gone already, and each group is its own address
         return found.withColumn("dst_ip", F.col("dst_key")).select(*shown)
     steady = (F.col("cv") < cfg.cv_floor_for_trusted) & (F.coalesce("tier", F.lit("")) == TRUSTED)
-    return pairs.join(found, ["src_ip", "dst_key"]).filter(~steady).select(*shown)
+    return pairs.join(found, [*scope, "src_ip", "dst_key"]).filter(~steady).select(*shown)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from netloom.config import MB, Tuning
 from netloom.functions.address import is_private
 from netloom.functions.rounding import fixed_text
-from netloom.operators.beacons import beacon_pairs
+from netloom.operators.beacons import Scope, beacon_pairs
 from netloom.operators.trust import after, is_unusual, trust_tier
 from netloom.sources.networks import SEMI_TRUSTED, TRUSTED, Networks
 
@@ -27,14 +27,16 @@ def _tier_is(name: str) -> Column:
     return F.coalesce(F.col("tier") == name, F.lit(False))
 
 
-def destination_totals(flows: DataFrame, networks: Networks, tuning: Tuning) -> DataFrame:
+def destination_totals(
+    flows: DataFrame, networks: Networks, tuning: Tuning, scope: Scope = ()
+) -> DataFrame:
     """Bytes per public destination, outgoing and in all, with its trust tier.
 
     One aggregate feeds D2, D3 and D4; partial sums take care of busy addresses.
     """
     outgoing = F.col("direction") == "OUTGOING"
     unusual = is_unusual(F.col("protocol"), tuning.semi_trusted)
-    totals = flows.groupBy("dst_ip").agg(
+    totals = flows.groupBy(*scope, "dst_ip").agg(
         F.count("*").alias("flows"),
         F.sum("total_bytes").alias("bytes"),
         F.max(unusual).alias("unusual"),
@@ -126,27 +128,36 @@ def _finding(flows: DataFrame) -> DataFrame:
 
 
 def detect_beaconing(
-    flows: DataFrame, networks: Networks, tuning: Tuning = Tuning(), domains: DataFrame | None = None
+    flows: DataFrame, networks: Networks, tuning: Tuning = Tuning(), domains: DataFrame | None = None,
+    scope: Scope = (),
 ) -> DataFrame:
-    """(id, tag, severity, reason) of every flow in a beaconing group."""
-    found = beacon_pairs(flows, networks, tuning, domains).select("src_ip", "dst_ip", _beacon().alias("f"))
-    return _finding(flows.join(found, ["src_ip", "dst_ip"]))
+    """(id, tag, severity, reason) of every flow in a beaconing group.
+
+    In all detectors ``scope`` names columns, such as the session, within which
+    flows are judged; by default the given flows are judged together.
+    """
+    keys = [*scope, "src_ip", "dst_ip"]
+    found = beacon_pairs(flows, networks, tuning, domains, scope).select(*keys, _beacon().alias("f"))
+    return _finding(flows.join(found, keys))
 
 
 def _beacon() -> Column:
     return _verdict("beaconing", F.lit("high"), F.col("reason"))
 
 
-def _join_verdict(flows: DataFrame, totals: DataFrame, verdict: Column) -> DataFrame:
-    found = totals.select("dst_ip", verdict.alias("f")).filter(F.col("f").isNotNull())
-    return flows.join(found, "dst_ip")
+def _join_verdict(flows: DataFrame, totals: DataFrame, verdict: Column, scope: Scope) -> DataFrame:
+    keys = [*scope, "dst_ip"]
+    found = totals.select(*keys, verdict.alias("f")).filter(F.col("f").isNotNull())
+    return flows.join(found, keys)
 
 
-def detect_data_exfil(flows: DataFrame, networks: Networks, tuning: Tuning = Tuning()) -> DataFrame:
+def detect_data_exfil(
+    flows: DataFrame, networks: Networks, tuning: Tuning = Tuning(), scope: Scope = ()
+) -> DataFrame:
     """D2."""
-    totals = destination_totals(flows, networks, tuning)
+    totals = destination_totals(flows, networks, tuning, scope)
     outgoing = flows.filter(F.col("direction") == "OUTGOING")
-    return _finding(_join_verdict(outgoing, totals, _exfil(tuning)))
+    return _finding(_join_verdict(outgoing, totals, _exfil(tuning), scope))
 
 
 def _first_connection(tuning: Tuning, learning: bool) -> Column:
@@ -167,11 +178,12 @@ def detect_new_destination(
 
 
 def detect_traffic_anomaly(
-    flows: DataFrame, known: DataFrame, networks: Networks, tuning: Tuning = Tuning()
+    flows: DataFrame, known: DataFrame, networks: Networks, tuning: Tuning = Tuning(),
+    scope: Scope = (),
 ) -> DataFrame:
     """D4."""
-    totals = with_baseline(destination_totals(flows, networks, tuning), known)
-    return _finding(_join_verdict(flows, totals, _anomaly(tuning)))
+    totals = with_baseline(destination_totals(flows, networks, tuning, scope), known)
+    return _finding(_join_verdict(flows, totals, _anomaly(tuning), scope))
 
 
 @dc.dataclass(frozen=True)
@@ -183,6 +195,7 @@ class Context:
     as_of: date | datetime | str
     tuning: Tuning = Tuning()
     domains: DataFrame | None = None
+    scope: Scope = ("session_id",)  # each capture run is judged on its own
 
 
 def tag_flows(flows: DataFrame, ctx: Context) -> DataFrame:
@@ -194,17 +207,16 @@ def tag_flows(flows: DataFrame, ctx: Context) -> DataFrame:
     detector order.
     """
     tuning, learning = ctx.tuning, ctx.tuning.learning(ctx.as_of)
-    totals = with_baseline(destination_totals(flows, ctx.networks, tuning), ctx.known)
-    verdicts = totals.select(
-        "dst_ip", _exfil(tuning).alias("exfil"), _anomaly(tuning).alias("odd"),
+    at, pair = [*ctx.scope, "dst_ip"], [*ctx.scope, "src_ip", "dst_ip"]
+    totals = destination_totals(flows, ctx.networks, tuning, ctx.scope)
+    verdicts = with_baseline(totals, ctx.known).select(
+        *at, _exfil(tuning).alias("exfil"), _anomaly(tuning).alias("odd"),
         _unknown(tuning).alias("semi"),
     ).filter("exfil IS NOT NULL OR odd IS NOT NULL OR semi IS NOT NULL")
-    beacons = beacon_pairs(flows, ctx.networks, tuning, ctx.domains).select(
-        "src_ip", "dst_ip", _beacon().alias("beacon")
-    )
-    joined = flows.drop("tags", "severity").join(verdicts, "dst_ip", "left").join(
-        beacons, ["src_ip", "dst_ip"], "left"
+    beacons = beacon_pairs(flows, ctx.networks, tuning, ctx.domains, ctx.scope).select(
+        *pair, _beacon().alias("beacon")
     )
+    joined = flows.drop("tags", "severity").join(verdicts, at, "left").join(beacons, pair, "left")
     findings = F.array_compact(
         F.array(
             F.col("beacon"),

@@ -122,9 +122,19 @@ def test_chains_do_not_depend_on_batches():
         for at in {rng.randint(0, 3 * 3600) * 1_000_000 // 4 for _ in range(3000)}
     )
     frame = pd.DataFrame(rows, columns=["src_ip", "dst_key", "slot", "at"])
-    whole = pd.concat(B._chain_batches(iter([frame])))
+    follow = B.chain_batches(["src_ip", "dst_key", "slot"])
+    whole = pd.concat(follow(iter([frame])))
     pieces = [frame.iloc[i : i + 37].reset_index(drop=True) for i in range(0, len(frame), 37)]
-    split = pd.concat(B._chain_batches(iter(pieces)))
+    split = pd.concat(follow(iter(pieces)))
     key = ["src_ip", "dst_key", "slot", "entry"]
     a, b = whole.sort_values(key).reset_index(drop=True), split.sort_values(key).reset_index(drop=True)
     pd.testing.assert_frame_equal(a, b)
+
+
+def test_sessions_can_be_judged_apart(spark):
+    rows = [flow(i, session_id=1 + i % 2, at=i * 60.0) for i in range(30)]
+    df = flows(spark, rows)
+    assert detect_beaconing(df, NETS).count() == 30
+    assert detect_beaconing(df, NETS, scope=("session_id",)).count() == 0
+    more = flows(spark, rows + [flow(100 + i, session_id=1, at=1800 + i * 120.0) for i in range(10)])
+    assert {r.id % 2 for r in detect_beaconing(more, NETS, scope=("session_id",)).collect() if r.id < 100} == {0}
