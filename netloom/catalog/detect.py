@@ -11,7 +11,6 @@ from netloom.catalog.views import NETWORKS, PRIVATE_SQL, SEMI_SQL, TRUSTED_SQL,
 from netloom.config import BeaconConfig, ExfilConfig, AnomalyConfig, SemiTrustedConfig, Tuning
 from netloom.operators import baseline as B, detectors as D
 from netloom.operators.beacons import beacon_pairs
-from netloom.operators.flows import build_flows
 from netloom.operators.trust import is_unusual, trust_tier
 
 # thresholds scaled to the given tables

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from netloom.catalog.registry import query
-from netloom.catalog.views import LOCAL_IPS, NETWORKS, PRIVATE_SQL, TRUSTED_SQL, SEMI_SQL, with_views
+from netloom.catalog.views import LOCAL_IPS, NETWORKS, TRUSTED_SQL, SEMI_SQL, with_views
 from netloom.functions import address, codes, fmt, packet as P, predicates as Q
 from netloom.operators.dns import ip_domains
 from netloom.operators.tls import propagate_tls

@@ -91,24 +91,30 @@ def _inside(cidrs: Iterable[str]):
     merged = []
     for version in (4, 6):
         merged += ipaddress.collapse_addresses(n for n in nets if n.version == version)
-    bounds = [network_range(str(net)) for net in merged]
+    ranges = [network_range(str(net)) for net in merged]
 
     def test(key: Column) -> Column:
-        found = F.lit(False)
-        for low, high in bounds:
-            found = found | key.between(low, high)
-        return F.coalesce(found, F.lit(False))
+        if not ranges:
+            return F.lit(False)
+        return F.exists(literal_ranges(ranges), lambda r: key.between(r["low"], r["high"]))
 
     return test
 
 
+def literal_ranges(ranges: Iterable[tuple[str, str]]) -> Column:
+    """Constant array of (low, high) keys, built in one expression."""
+    rows = ", ".join(f"named_struct('low', '{low}', 'high', '{high}')" for low, high in ranges)
+    return F.expr(f"array({rows})")
+
+
 def in_networks(ip: Column, cidrs: Iterable[str]) -> Column:
     """Is the address in any of the networks? False for a bad address.
 
     The list is driver-side configuration (tens of entries), so it becomes a
     literal range predicate. Apply it to aggregated or distinct addresses.
     """
-    return F.exists(F.array(address_key(ip)), _inside(cidrs))
+    inside = F.exists(F.array(address_key(ip)), _inside(cidrs))
+    return F.coalesce(inside, F.lit(False))
 
 
 def first_network_list(ip: Column, lists: dict[str, Iterable[str]]) -> Column:

@@ -3,7 +3,6 @@ import statistics
 
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from helpers import flow, flows
 from netloom.config import BeaconConfig, Tuning

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import flow, flows, known
-from netloom.config import NewDestinationConfig, Tuning, load_tuning, tuning_from_dict
+from netloom.config import Tuning, load_tuning, tuning_from_dict
 from netloom.operators import baseline as B, detectors as D
 from netloom.operators.alerts import alerts_from_tags, behaviour_alerts
 from netloom.sources.networks import Networks

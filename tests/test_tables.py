@@ -1,6 +1,6 @@
 import pytest
 
-from helpers import T0, F, flow, flows, packet, packets
+from helpers import F, flow, flows, packet, packets
 from netloom.functions.predicates import ConnectionFilter
 from netloom.operators.flows import build_flows, dedup_frames
 from netloom.operators.tls import propagate_tls
