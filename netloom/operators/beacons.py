@@ -152,7 +152,8 @@ def interval_stats(starts: DataFrame, scope: Scope = ()) -> DataFrame:
     keys = [*group, "slot"]
     slotted = starts.withColumn("slot", F.floor(F.col("at") / (RANGE_SECONDS * SECOND)))
     sorted_slots = slotted.select(*keys, "at").repartition(*keys).sortWithinPartitions(*keys, "at")
-    schema = sorted_slots.select(*keys).schema
+    incoming = sorted_slots.schema
+    schema = T.StructType([incoming[key] for key in keys])
     for name in ("entry", "leave", "kept"):
         schema = schema.add(name, T.LongType())
     schema = schema.add("squares", T.DoubleType())
