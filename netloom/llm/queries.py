@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import mixing, url_filter
+from netloom.llm import mixing, packing, url_filter
 from netloom.llm.registry import ORACLES, QUERIES, query
 from netloom.llm.store import table
 
@@ -82,3 +82,15 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select("page_id", "url")
     judged = url_filter.filter_urls(pages, [*HOST_RULES, *PATTERNS])
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op5_pack")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """The place of every piece of every document in sequences of 4096 tokens."""
+    return packing.pack(table(spark, folder, "documents"), tokenizer_path())
