@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import functions as F
 
-from netloom.llm import mixing, packing, url_filter
+from netloom.llm import mixing, packing, toxicity, url_filter
 from netloom.llm.registry import ORACLES, QUERIES, query
 from netloom.llm.store import table
 
@@ -94,3 +95,15 @@ def tokenizer_path() -> str:
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     """The place of every piece of every document in sequences of 4096 tokens."""
     return packing.pack(table(spark, folder, "documents"), tokenizer_path())
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """The toxicity of every document; the lexicon knows no label of a document held out."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    lexicon = toxicity.learn(docs, table(spark, folder, "labels"))
+    scored = toxicity.score_texts(docs, lexicon)
+    return scored.select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
