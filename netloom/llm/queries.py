@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
-from netloom.llm import mixing, packing, toxicity, url_filter
+from netloom.llm import mixing, packing, secrets, toxicity, url_filter
 from netloom.llm.registry import ORACLES, QUERIES, query
 from netloom.llm.store import table
 
@@ -107,3 +107,10 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+@query("op4_secrets")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts, digest and spans of the secrets in every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return secrets.scan(docs, secrets.learn(docs)).drop("text")
