@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
-from netloom.llm import mixing, packing, secrets, toxicity, url_filter
+from netloom.llm import jaccard, mixing, packing, secrets, toxicity, url_filter
 from netloom.llm.registry import ORACLES, QUERIES, query
 from netloom.llm.store import table
 
@@ -114,3 +114,9 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     """Counts, digest and spans of the secrets in every document."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return secrets.scan(docs, secrets.learn(docs)).drop("text")
+
+
+@query("op3_jaccard")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of documents linked by a Jaccard similarity of 0.9 of their 3-word shingles."""
+    return jaccard.similar(table(spark, folder, "documents"), words=3, percent=90)
