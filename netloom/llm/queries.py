@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
-from netloom.llm import jaccard, mixing, packing, secrets, toxicity, url_filter
+from netloom.llm import jaccard, mixing, near_vectors, nearest, packing, secrets, toxicity, url_filter
 from netloom.llm.registry import ORACLES, QUERIES, query
 from netloom.llm.store import table
 
@@ -120,3 +120,15 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of documents linked by a Jaccard similarity of 0.9 of their 3-word shingles."""
     return jaccard.similar(table(spark, folder, "documents"), words=3, percent=90)
+
+
+@query("op6_nearest")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest found of every vector whose id is divisible by 20, among all others."""
+    return nearest.nearest(table(spark, folder, "embeddings"), k=20, every=20)
+
+
+@query("op7_near_vectors")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and groups of vectors of one label with a cosine of 0.93 and more."""
+    return near_vectors.near_vectors(table(spark, folder, "embeddings"), 0.93)
