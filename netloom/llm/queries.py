@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
-from netloom.llm import jaccard, mixing, near_vectors, nearest, packing, secrets, toxicity, url_filter
+from netloom.llm import jaccard, mixing, near_vectors, nearest, packing, secrets, toxicity, url_filter, warc
 from netloom.llm.registry import ORACLES, QUERIES, query
 from netloom.llm.store import table
 
@@ -132,3 +132,21 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     """Links and groups of vectors of one label with a cosine of 0.93 and more."""
     return near_vectors.near_vectors(table(spark, folder, "embeddings"), 0.93)
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+m AS (SELECT d, max(page_id) AS keeper FROM p WHERE n >= 1000 GROUP BY d)
+SELECT p.page_id, p.n AS payload_bytes, p.d AS payload_digest,
+  CASE WHEN m.keeper IS DISTINCT FROM p.page_id AND m.keeper IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN m.keeper IS DISTINCT FROM p.page_id THEN m.keeper END AS refers_to
+FROM p LEFT JOIN m ON p.d = m.d AND p.n >= 1000
+"""
+
+
+@query("op9_warc", WARC_SQL)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages as WARC records, read back through the capture index."""
+    directory = warc.archive(spark, table(spark, folder, "pages"))
+    read = warc.read_archives(directory, payloads=False)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
