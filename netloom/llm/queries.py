@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
-from netloom.llm import jaccard, mixing, near_vectors, nearest, packing, secrets, toxicity, url_filter, warc
+from netloom.llm import jaccard, mixing, near_vectors, nearest, packing, secrets, suffixes, toxicity, url_filter, warc
 from netloom.llm.registry import ORACLES, QUERIES, query
 from netloom.llm.store import table
 
@@ -150,3 +150,10 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     directory = warc.archive(spark, table(spark, folder, "pages"))
     read = warc.read_archives(directory, payloads=False)
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op8_suffixes")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of each document without strings of 100 bytes that occur before."""
+    cleaned = suffixes.remove_repeats(table(spark, folder, "documents"))
+    return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
