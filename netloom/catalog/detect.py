@@ -84,7 +84,7 @@ def d01_bursts(s):
     "SELECT DISTINCT f.src_ip, f.dst_ip, f.dst_key, v.kept, round(v.mean * (v.kept - 1), 3) AS span, round(v.cv, 6) AS cv, 'high' AS severity FROM",
     "SELECT f.id, 'beaconing' AS tag, 'high' AS severity, v.kept || ' connections to ' || f.dst_key || ', interval ~' || printf('%.1f', v.mean) || 's (CV=' || printf('%.3f', v.cv) || ')' AS reason FROM")))
 def d01_flows(s):
-    return D.detect_beaconing(s.plain_connections, NETWORKS, TUNING)
+    return D.detect_beaconing(s.plain_connections, NETWORKS, TUNING, scope=())
 
 
 _EXFIL = f"""
@@ -96,7 +96,7 @@ _EXFIL = f"""
 @query("d02_data_exfil", with_views("connections", _EXFIL + """
     SELECT id, 'data_exfil' AS tag, v.severity, reason FROM connections c JOIN v USING (dst_ip) WHERE v.severity IS NOT NULL AND direction = 'OUTGOING'"""))
 def d02(s):
-    return D.detect_data_exfil(s.plain_connections, NETWORKS, TUNING)
+    return D.detect_data_exfil(s.plain_connections, NETWORKS, TUNING, scope=())
 
 
 _PER_SESSION = dc.replace(
@@ -119,7 +119,7 @@ def d01_sessions(s):
     .replace("(SELECT dst_ip, CASE", "(SELECT session_id, dst_ip, CASE").replace("5000000000", "800000000").replace("4000000000", "600000000") + """
     SELECT id, 'data_exfil' AS tag, v.severity, reason FROM connections c JOIN v USING (session_id, dst_ip) WHERE v.severity IS NOT NULL AND direction = 'OUTGOING'"""))
 def d02_sessions(s):
-    return D.detect_data_exfil(s.plain_connections, NETWORKS, _PER_SESSION, scope=("session_id",))
+    return D.detect_data_exfil(s.plain_connections, NETWORKS, _PER_SESSION)
 
 
 _NEW = f"""id, 'new_dest' AS tag, '{{sev}}' AS severity, 'First connection to ' || dst_ip AS reason FROM connections c
@@ -154,6 +154,17 @@ _ODD = f"""
 @query("d04_traffic_anomaly", with_views("connections", _ODD + """
     SELECT id, 'traffic_anomaly' AS tag, 'medium' AS severity, reason FROM connections JOIN v USING (dst_ip) WHERE session_id > 4"""))
 def d04(s):
+    return D.detect_traffic_anomaly(current(s), history(s), NETWORKS, TUNING, scope=())
+
+
+_ODD_SESSIONS = (_ODD.replace("t AS (SELECT dst_ip, sum", "t AS (SELECT session_id, dst_ip, sum")
+    .replace("GROUP BY dst_ip),\n    v AS (SELECT dst_ip, dst_ip", "GROUP BY session_id, dst_ip),\n    v AS (SELECT session_id, dst_ip, dst_ip"))
+
+
+@query("d04_traffic_anomaly_per_session", with_views("connections", _ODD_SESSIONS + """
+    SELECT id, 'traffic_anomaly' AS tag, 'medium' AS severity, reason FROM connections JOIN v USING (session_id, dst_ip) WHERE session_id > 4"""))
+def d04_sessions(s):
+    """The default: every session on its own."""
     return D.detect_traffic_anomaly(current(s), history(s), NETWORKS, TUNING)
 
 
@@ -202,17 +213,21 @@ def d08(s):
     return tagged(s).select("id", F.array_join("tags", ",").alias("tags"), "severity")
 
 
-@query("d09_baseline", with_views("connections", f"WITH {_KNOWN} SELECT ip, first_seen, session_count, round(mean, 2) AS total_bytes_avg FROM known"))
+_ALL_KNOWN = _KNOWN.replace(" WHERE session_id <= 4", "")
+
+
+@query("d09_baseline", with_views("connections", f"WITH {_ALL_KNOWN} SELECT ip, first_seen, session_count, round(mean, 2) AS total_bytes_avg FROM known"))
 def d09(s):
-    return history(s).withColumn("total_bytes_avg", F.round("total_bytes_avg", 2))
+    return B.baseline(s.plain_connections).withColumn("total_bytes_avg", F.round("total_bytes_avg", 2))
 
 
-@query("d09_baseline_incremental", with_views("connections", f"WITH {_KNOWN} SELECT ip, first_seen, session_count, round(mean, 2) AS total_bytes_avg FROM known"))
+@query("d09_baseline_incremental", with_views("connections", f"WITH {_ALL_KNOWN} SELECT ip, first_seen, session_count, round(mean, 2) AS total_bytes_avg FROM known"))
 def d09_incremental(s):
-    """Sessions 1 and 2 at once, then 3 and 4 one by one."""
+    """All sessions up to the second last at once, then the last two one by one."""
     flows = s.plain_connections
-    known = B.baseline(flows.filter("session_id <= 2"))
-    for session in (3, 4):
+    last = flows.agg(F.max("session_id")).first()[0]
+    known = B.baseline(flows.filter(F.col("session_id") <= last - 2))
+    for session in (last - 1, last):
         known = B.update_baseline(known, flows.filter(F.col("session_id") == session))
     return known.withColumn("total_bytes_avg", F.round("total_bytes_avg", 2))
 
@@ -222,6 +237,6 @@ def d10(s):
     return B.known_among(current(s).select(F.col("dst_ip").alias("ip")), _partly_known(s))
 
 
-@query("d11_baseline_means", with_views("connections", f"WITH {_KNOWN} SELECT ip, round(mean, 2) AS total_bytes_avg FROM known WHERE session_count >= 2"))
+@query("d11_baseline_means", with_views("connections", f"WITH {_ALL_KNOWN} SELECT ip, round(mean, 2) AS total_bytes_avg FROM known WHERE session_count >= 2"))
 def d11(s):
-    return B.destination_means(history(s)).withColumn("total_bytes_avg", F.round("total_bytes_avg", 2))
+    return B.destination_means(B.baseline(s.plain_connections)).withColumn("total_bytes_avg", F.round("total_bytes_avg", 2))

@@ -74,18 +74,29 @@ def c5(s):
     return O.running_counters(s.packets)
 
 
-@query("c6_recent_packets", with_views("packets", """
+_FEED = """
     SELECT frame_number AS num, CAST(printf('%.3f', relative_time) AS DOUBLE) AS time, protocol AS proto,
            CASE WHEN strpos(src_ip, ':') > 0 AND length(src_ip) > 20 THEN substr(src_ip, 1, 17) || '...' ELSE src_ip END || ':' || src_port AS src,
            CASE WHEN strpos(dst_ip, ':') > 0 AND length(dst_ip) > 20 THEN substr(dst_ip, 1, 17) || '...' ELSE dst_ip END || ':' || dst_port AS dst,
            packet_length AS length, direction,
            CASE WHEN length(info) > 80 THEN substr(info, 1, 77) || '...' ELSE info END AS info
-    FROM packets WHERE src_port NOT IN (8000, 5173) AND dst_port NOT IN (8000, 5173)
-    ORDER BY session_id DESC, frame_number DESC LIMIT 50"""))
+    FROM packets WHERE session_id = (SELECT max(session_id) FROM packets) AND src_port NOT IN (8000, 5173) AND dst_port NOT IN (8000, 5173)
+    """
+
+
+@query("c6_recent_packets", with_views("packets", _FEED + "ORDER BY frame_number DESC LIMIT 50"))
 def c6(s):
     return O.recent_packets(s.packets)
 
 
+@query("c6_recent_packets_after", with_views("packets", f"""
+    WITH last AS ({_FEED} ORDER BY frame_number DESC LIMIT 500) SELECT * FROM last WHERE num > (SELECT min(num) + 100 FROM last)"""))
+def c6_after(s):
+    """The rows after a cursor, within the buffer of the latest session."""
+    start = O.recent_packets(s.packets, limit=500).agg(F.min("num")).first()[0]
+    return O.recent_packets(s.packets, after=start + 100)
+
+
 @query("c7_packets_per_second", with_views("packets", """
     WITH c AS (SELECT session_id, CAST(floor(epoch_us(ts) / 1e6) AS BIGINT) AS second, count(*) AS n FROM packets GROUP BY 1, 2),
     t AS (SELECT a.session_id, a.second, (SELECT CAST(sum(n) AS BIGINT) FROM c b WHERE b.session_id = a.session_id AND b.second <= a.second) AS packets FROM c a)

@@ -35,7 +35,8 @@ def e02(s):
 
 
 _SAFE = "(signature ILIKE '%BRUTE-FORCE SSH%' OR signature ILIKE '%MALWARE%' OR signature ILIKE '%EXPLOIT%' OR signature ILIKE '%LATERAL%' OR signature ILIKE '%C2%')"
-_REMAP = """CASE WHEN signature LIKE '%BRUTE-FORCE%' OR signature ILIKE '%SCAN%' THEN 'HIGH' WHEN signature LIKE '%SURICATA%' OR signature LIKE '%FILE_SHARING%' THEN 'MEDIUM'
+# without a sensor word only the public rule sets' own prefixes count
+_REMAP = """CASE WHEN signature LIKE '%ET SCAN%' THEN 'HIGH' WHEN signature LIKE '%SURICATA%' OR signature LIKE '%ET FILE_SHARING%' THEN 'MEDIUM'
     WHEN signature LIKE '%ET INFO%' OR signature LIKE '%ET POLICY%' OR signature LIKE '%ET DNS%' THEN 'LOW' ELSE severity END"""
 
 
@@ -44,6 +45,15 @@ def e03(s):
     return s.alerts.select("id", E.remapped_signature().alias("remapped"))
 
 
+_SENSOR = E.AlertRules(sensor="BEHAVIOR", signatures=(("{sensor}BEACONING", "HIGH"), *E.AlertRules().signatures))
+
+
+@query("e03_signature_remap_sensor", with_views("alerts", f"SELECT id, CASE WHEN signature LIKE '%BEHAVIOR Beaconing%' THEN 'HIGH' ELSE {_REMAP} END AS remapped FROM alerts"))
+def e03_sensor(s):
+    """A local rule set's own signatures, which begin with its word."""
+    return s.alerts.select("id", E.remapped_signature(_SENSOR).alias("remapped"))
+
+
 @query("e04_protected_alerts", with_views("alerts", f"SELECT id FROM alerts WHERE {_SAFE} OR signature_id = 2027760 OR (src_ip = '10.0.0.1' AND dst_ip = '142.250.1.1' AND dst_port = 22)"))
 def e04(s):
     rules = E.AlertRules(protected_ids=(2027760,), protected_pairs=(("10.0.0.1", "142.250.1.1", 22),))

@@ -91,6 +91,15 @@ def a06(s):
     return _flows_by_session(T.read_table(s.spark, root, "connections"))
 
 
+@query("a06_empty_snapshot", with_views("connections", "WITH x AS (SELECT * FROM connections WHERE session_id <> 2) " + _BY_SESSION.format("x")))
+def a06_empty(s):
+    """Session 2 is written again without a flow."""
+    root = fresh_path(s.spark, "tables")
+    T.write_connections(s.connections, root)
+    T.write_connections(s.connections.filter("session_id = 2 AND protocol = 'none'"), root, session_id=2)
+    return _flows_by_session(T.read_table(s.spark, root, "connections"))
+
+
 @query("a07_append_alerts", with_views("alerts", """
     SELECT severity, severity_num, action, session_id, count(*) AS n FROM (SELECT CASE WHEN b = 1 THEN 'LOW' ELSE severity END AS severity, CASE WHEN b = 1 THEN 3 ELSE severity_num END AS severity_num, action, session_id
       FROM alerts, (VALUES (0), (1)) t(b)) x GROUP BY ALL"""))
@@ -296,7 +305,7 @@ def s03(s):
 @query("s04_live_ids_alerts", with_views("alerts", """
     WITH p AS (SELECT * REPLACE (CASE WHEN id % 11 = 0 THEN 3 ELSE severity_num END AS severity_num, CASE WHEN id % 13 = 0 THEN 'Unknown' ELSE signature END AS signature) FROM alerts WHERE id % 7 <> 0 AND id % 19 <> 0),
     l AS (SELECT *, CASE severity_num WHEN 1 THEN 'CRITICAL' WHEN 2 THEN 'HIGH' WHEN 3 THEN 'MEDIUM' ELSE 'LOW' END AS s, signature LIKE '%BRUTE-FORCE SSH%' OR signature LIKE '%MALWARE%' OR signature LIKE '%EXPLOIT%' AS safe FROM p),
-    r AS (SELECT *, CASE WHEN safe THEN s WHEN signature ILIKE '%SCAN%' THEN 'HIGH' WHEN signature LIKE '%SURICATA%' OR signature LIKE '%FILE_SHARING%' THEN 'MEDIUM' WHEN signature LIKE '%ET INFO%' OR signature LIKE '%ET POLICY%' OR signature LIKE '%ET DNS%' THEN 'LOW' ELSE s END AS sev FROM l)
+    r AS (SELECT *, CASE WHEN safe THEN s WHEN signature LIKE '%ET SCAN%' THEN 'HIGH' WHEN signature LIKE '%SURICATA%' OR signature LIKE '%ET FILE_SHARING%' THEN 'MEDIUM' WHEN signature LIKE '%ET INFO%' OR signature LIKE '%ET POLICY%' OR signature LIKE '%ET DNS%' THEN 'LOW' ELSE s END AS sev FROM l)
     SELECT timestamp, signature, src_ip, dst_ip, sev AS severity, CASE WHEN safe THEN severity_num WHEN sev IN ('HIGH', 'CRITICAL') THEN 1 WHEN sev = 'MEDIUM' THEN 2 ELSE 3 END AS severity_num FROM r"""))
 def s04(s):
     root, source = fresh_path(s.spark, "live"), fresh_path(s.spark, "events")

@@ -37,7 +37,7 @@ BEHAVIOUR_REMAP = {
 @dc.dataclass(frozen=True)
 class AlertRules:
     """Remap and protection rules. ``sensor`` is the word that the local rule
-    set puts before its own signatures; empty by default."""
+    set puts before its own signatures; without it the rules for those are left out."""
 
     sensor: str = ""
     behaviour: tuple[tuple[str, str], ...] = tuple(BEHAVIOUR_REMAP.items())
@@ -51,9 +51,12 @@ class AlertRules:
         "{sensor}BRUTE-FORCE SSH Password Spray", "{sensor}BRUTE-FORCE SSH Brute Force Detected",
     )
     protected_keywords: tuple[str, ...] = ("BRUTE-FORCE SSH", "LATERAL", "MALWARE", "EXPLOIT", "C2")
-    protected_pairs: tuple[tuple[str, str, int | None], ...] = (("10.92.237.60", "10.92.237.82", 22),)
+    protected_pairs: tuple[tuple[str, str, int | None], ...] = ()
     protected_ids: tuple[int, ...] = (2001219, 2003068, 2019284, 2210000)
 
+    def usable(self, template: str) -> bool:
+        return bool(self.sensor) or "{sensor}" not in template
+
     def text(self, template: str) -> str:
         return template.replace("{sensor}", f"{self.sensor} " if self.sensor else "")
 
@@ -97,7 +100,7 @@ def _any(tests: list[Column]) -> Column:
 def is_protected(rules: AlertRules = AlertRules()) -> Column:
     """Never remapped and never dropped."""
     signature = F.col("signature")
-    tests = [signature.contains(rules.text(p)) for p in rules.protected_patterns]
+    tests = [signature.contains(rules.text(p)) for p in rules.protected_patterns if rules.usable(p)]
     tests += [F.upper(signature).contains(k.upper()) for k in rules.protected_keywords]
     for source, target, port in rules.protected_pairs:
         pair = (F.col("src_ip") == source) & (F.col("dst_ip") == target)
@@ -116,6 +119,8 @@ def remapped_signature(rules: AlertRules = AlertRules()) -> Column:
     signature = F.translate(F.upper("signature"), "-_", "  ")
     chain = None
     for key, severity in rules.signatures:
+        if not rules.usable(key):
+            continue
         test = signature.contains(_plain(rules.text(key)))
         chain = F.when(test, severity) if chain is None else chain.when(test, severity)
     return F.col("severity") if chain is None else F.coalesce(chain, F.col("severity"))
@@ -230,18 +235,29 @@ def _tracked(track: str) -> str:
 
 
 def suppress_by_network(alerts: DataFrame, suppress: Sequence[SuppressRule]) -> DataFrame:
-    """Drop alerts whose signature id (0 = any) and tracked end match a rule."""
-    sides = {_tracked(rule.track) for rule in suppress}
-    keyed = alerts.withColumns({f"_{side}": address_key(F.col(side)) for side in sides})
-    tests = []
-    for rule in suppress:
-        bounds = network_range(rule.network)
-        if bounds is None:
+    """Drop alerts whose signature id (0 = any) and tracked end match a rule.
+
+    Addresses are judged once each: those inside a rule's network keep the ids
+    that are suppressed for them, and alerts are joined to that list.
+    """
+    kept = alerts
+    for side in ("src_ip", "dst_ip"):
+        rules = [
+            (bounds, rule.signature_id) for rule in suppress
+            if _tracked(rule.track) == side and (bounds := network_range(rule.network)) is not None
+        ]
+        if not rules:
             continue
-        inside = F.col(f"_{_tracked(rule.track)}").between(*bounds)
-        same = F.lit(True) if rule.signature_id == 0 else F.col("signature_id") == rule.signature_id
-        tests.append(F.coalesce(same & inside, F.lit(False)))
-    return keyed.filter(~_any(tests)).select(*alerts.columns)
+        key = F.col("_key")
+        ids = F.array_compact(F.array(*[
+            F.when(key.between(*bounds), F.lit(sid).cast("bigint")) for bounds, sid in rules
+        ]))
+        held = alerts.select(F.col(side).alias("_ip")).distinct().withColumn("_key", address_key(F.col("_ip")))
+        held = held.select("_ip", ids.alias("_ids")).filter(F.size("_ids") > 0)
+        gone = F.array_contains("_ids", F.lit(0).cast("bigint")) | F.array_contains("_ids", F.col("signature_id").cast("bigint"))
+        joined = kept.join(held, F.col(side) == F.col("_ip"), "left")
+        kept = joined.filter(~F.coalesce(gone, F.lit(False))).select(*alerts.columns)
+    return kept
 
 
 def limit_rate(alerts: DataFrame, limits: Sequence[RateLimit]) -> DataFrame:
@@ -256,8 +272,8 @@ def limit_rate(alerts: DataFrame, limits: Sequence[RateLimit]) -> DataFrame:
         return alerts
 
     def setting(field: str) -> Column:
-        pairs = [F.lit(v) for sid, r in rules.items() for v in (sid, getattr(r, field))]
-        return F.try_element_at(F.create_map(*pairs), F.col("signature_id").cast("int"))
+        pairs = [v for sid, r in rules.items() for v in (F.lit(sid).cast("bigint"), F.lit(getattr(r, field)))]
+        return F.try_element_at(F.create_map(*pairs), F.col("signature_id").cast("bigint"))
 
     limited = F.coalesce(F.col("signature_id").isin(*rules), F.lit(False))
     second = F.unix_seconds(F.col("timestamp").cast("timestamp"))

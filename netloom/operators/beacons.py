@@ -18,6 +18,7 @@ RANGE_SECONDS = 3600
 SECOND = 1_000_000  # microseconds
 
 Scope = Sequence[str]
+SESSION = ("session_id",)
 
 
 def pair_groups(

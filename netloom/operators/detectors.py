@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from netloom.config import MB, Tuning
 from netloom.functions.address import is_private
 from netloom.functions.rounding import fixed_text
-from netloom.operators.beacons import Scope, beacon_pairs
+from netloom.operators.beacons import SESSION, Scope, beacon_pairs
 from netloom.operators.trust import after, is_unusual, trust_tier
 from netloom.sources.networks import SEMI_TRUSTED, TRUSTED, Networks
 
@@ -129,12 +129,12 @@ def _finding(flows: DataFrame) -> DataFrame:
 
 def detect_beaconing(
     flows: DataFrame, networks: Networks, tuning: Tuning = Tuning(), domains: DataFrame | None = None,
-    scope: Scope = (),
+    scope: Scope = SESSION,
 ) -> DataFrame:
     """(id, tag, severity, reason) of every flow in a beaconing group.
 
-    In all detectors ``scope`` names columns, such as the session, within which
-    flows are judged; by default the given flows are judged together.
+    In all detectors ``scope`` names the columns within which flows are judged: by
+    default each session on its own, with ``()`` the given flows together.
     """
     keys = [*scope, "src_ip", "dst_ip"]
     found = beacon_pairs(flows, networks, tuning, domains, scope).select(*keys, _beacon().alias("f"))
@@ -152,7 +152,7 @@ def _join_verdict(flows: DataFrame, totals: DataFrame, verdict: Column, scope: S
 
 
 def detect_data_exfil(
-    flows: DataFrame, networks: Networks, tuning: Tuning = Tuning(), scope: Scope = ()
+    flows: DataFrame, networks: Networks, tuning: Tuning = Tuning(), scope: Scope = SESSION
 ) -> DataFrame:
     """D2."""
     totals = destination_totals(flows, networks, tuning, scope)
@@ -179,7 +179,7 @@ def detect_new_destination(
 
 def detect_traffic_anomaly(
     flows: DataFrame, known: DataFrame, networks: Networks, tuning: Tuning = Tuning(),
-    scope: Scope = (),
+    scope: Scope = SESSION,
 ) -> DataFrame:
     """D4."""
     totals = with_baseline(destination_totals(flows, networks, tuning, scope), known)
@@ -195,7 +195,7 @@ class Context:
     as_of: date | datetime | str
     tuning: Tuning = Tuning()
     domains: DataFrame | None = None
-    scope: Scope = ("session_id",)  # each capture run is judged on its own
+    scope: Scope = SESSION  # each capture run is judged on its own
 
 
 def tag_flows(flows: DataFrame, ctx: Context) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from netloom.functions.packet import TRANSPORTS
 from netloom.functions.predicates import shown_in_feed
-from netloom.session import durable
+from netloom.session import stored
 
 # fixed values; the position is the code held in aggregation buffers
 TRANSPORT_CODES = (*TRANSPORTS, "UNKNOWN")
@@ -14,30 +14,23 @@ DIRECTION_CODES = ("INCOMING", "OUTGOING", "")
 STATES = ("SYN_SENT", "ESTABLISHED", "FIN", "RST")
 
 
-def dedup_frames(
-    packets: DataFrame, arrival: str | None = None, broadcast_keys: int = 1_000_000
-) -> DataFrame:
+def dedup_frames(packets: DataFrame, arrival: str | None = None) -> DataFrame:
     """One row per frame number of a session.
 
     The first to arrive when an ``arrival`` column exists, else the smallest
     row, so the choice does not depend on the partitioning.
 
     Repeated frames are rare, so only frame numbers are counted and shuffled
-    for all rows, once, when this is called. Whole rows then move only for
-    numbers seen more than once: their list is broadcast up to
-    ``broadcast_keys`` entries and joined by shuffle beyond. The choice among
-    copies is an aggregate, so copies collapse on the map side even when one
-    number (0, for unreadable ones) holds a third of all rows.
+    for all rows, once, when this is called. Those seen more than once are stored
+    as a table, and rows are joined to it as its size allows: the optimizer knows
+    that size. The choice among copies is an aggregate, so copies collapse on the
+    map side even when one number (0, for unreadable ones) holds a third of all
+    rows.
     """
     keys = ["session_id", "frame_number"]
     rest = [c for c in packets.columns if c not in keys and c != arrival]
     counts = packets.groupBy(*keys).agg(F.count("*").alias("_n"))
-    repeated = durable(counts.filter(F.col("_n") > 1).select(*keys))
-    found = repeated.count()
-    if not found:
-        return packets.select(*keys, *rest)
-    if found <= broadcast_keys:
-        repeated = F.broadcast(repeated)
+    repeated = stored(counts.filter(F.col("_n") > 1).select(*keys), "repeated")
     single = packets.join(repeated, keys, "left_anti").select(*keys, *rest)
     row = F.struct(*rest)
     first = F.min(row) if arrival is None else F.min_by(row, F.struct(F.col(arrival), row))
@@ -226,15 +219,20 @@ def running_counters(packets: DataFrame) -> DataFrame:
     return named.filter(known)
 
 
-def recent_packets(packets: DataFrame, after: int = 0, limit: int = 50, buffer: int = 500) -> DataFrame:
-    """The feed. Rows after a cursor within the buffer, or the last ``limit``.
+def recent_packets(
+    packets: DataFrame, after: int = 0, limit: int = 50, buffer: int = 500, session_id: int | None = None
+) -> DataFrame:
+    """The feed of one session, by default the latest. Rows after a cursor
+    within its buffer, or the last ``limit``.
 
     Top-k on the frame number: each task keeps ``buffer`` rows.
     """
     from netloom.functions.fmt import cut, endpoint, short_ipv6
     from netloom.functions.rounding import exact_round
 
-    feed = packets.filter(shown_in_feed()).orderBy(F.desc("session_id"), F.desc("frame_number"))
+    latest = packets.agg(F.max("session_id")).scalar() if session_id is None else F.lit(session_id)
+    own = packets.filter(F.col("session_id") == latest)
+    feed = own.filter(shown_in_feed()).orderBy(F.desc("frame_number"))
     kept = feed.limit(buffer).filter(F.col("frame_number") > after) if after > 0 else feed.limit(limit)
     return kept.select(
         F.col("frame_number").alias("num"),

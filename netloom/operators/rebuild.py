@@ -10,7 +10,7 @@ from netloom.operators.flows import (
     running_counters,
 )
 from netloom.operators.tls import apply_versions, first_versions
-from netloom.session import durable
+from netloom.session import stored
 
 VERSION_KEYS = ["session_id", "lo_ip", "lo_port", "hi_ip", "hi_port"]
 
@@ -49,36 +49,35 @@ def _divided() -> Column:
     return is_tls(F.col("label")) & (between("first13") | between("first12") | no_ports)
 
 
-def build_tls_flows(packets: DataFrame, broadcast_keys: int = 1_000_000) -> DataFrame:
+def build_tls_flows(packets: DataFrame) -> DataFrame:
     """Flows whose TLS labels follow the negotiated version (B6 then C2).
 
     Relabelling every packet first would shuffle all packets to their pair. A
     hello is normally the first TLS frame of its connection, so packets are
     folded under the label they carry, and whole parts are relabelled. Only
     flows with TLS frames on both sides of a change are folded again from their
-    packets. Those are rare; their keys are counted first, broadcast up to
-    ``broadcast_keys`` entries and joined by shuffle beyond.
+    packets. Those are rare; their keys are stored, and packets are joined to them
+    as their size allows. Packets are read three times here, so they should be a
+    table and not text that is parsed each time.
     """
     versions = first_versions(packets)
-    parts = durable(with_versions(aggregate_flows(flow_parts(packets)), versions))
-    divided = parts.filter(_divided()).select(*FLOW_KEYS)
-    found = divided.count()
+    parts = stored(with_versions(aggregate_flows(flow_parts(packets)), versions), "flow-parts")
+    divided = stored(parts.filter(_divided()).select(*FLOW_KEYS), "divided")
     whole = relabel_parts(parts.filter(~_divided()))
-    if found:
-        keys = F.broadcast(divided) if found <= broadcast_keys else divided
-        again = flow_keys(packets).join(keys, list(FLOW_KEYS), "left_semi").select(*packets.columns)
-        split = aggregate_flows(flow_parts(apply_versions(again, versions)))
-        whole = whole.unionByName(split)
-    return decode_flows(merge_flows(whole))
+    again = flow_keys(packets).join(divided, list(FLOW_KEYS), "left_semi").select(*packets.columns)
+    split = aggregate_flows(flow_parts(apply_versions(again, versions)))
+    return decode_flows(merge_flows(whole.unionByName(split)))
 
 
 def rebuild(packets: DataFrame, arrival: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Dedup, refold and recount a complete capture.
 
-    Counters by label come from the flows, which carry the final labels.
+    Packets without repeated frames are stored once in columns, and so are the
+    flows; everything else is read from there. Counters by label come from the
+    flows, which carry the final labels.
     """
-    clean = dedup_frames(packets, arrival)
-    flows = build_tls_flows(clean)
+    clean = stored(dedup_frames(packets, arrival), "packets")
+    flows = stored(build_tls_flows(clean), "flows")
     labels = flows.groupBy("session_id", F.col("protocol").alias("name")).agg(
         F.sum("total_packets").alias("packets"), F.sum("total_bytes").alias("bytes")
     )

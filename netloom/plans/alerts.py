@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from netloom.functions.fmt import severity_name
 from netloom.functions.predicates import AlertFilter, all_of, in_session
 from netloom.plans.connections import page_counts, page_slice
+from netloom.session import stored
 
 
 def recent_alerts(alerts: DataFrame, limit: int = 100, session_id: int | None = None) -> DataFrame:
@@ -20,8 +21,10 @@ def recent_alerts(alerts: DataFrame, limit: int = 100, session_id: int | None =
 def threat_summary(alerts: DataFrame, session_id: int | None = None, top: int = 10) -> DataFrame:
     """rows (section, name, count): total, severities, top sources and signatures.
 
-    One pass into grouping sets; the two top lists are cut by rank, with a
-    per-task limit before the shuffle.
+    One pass into grouping sets, whose result is stored: the total and the levels
+    are taken from it as they are, the two top lists are cut by rank, with a
+    per-task limit before the shuffle. Sections come one after the other, each
+    by count.
     """
     scoped = in_session(alerts, session_id)
     sev, src, sig = F.col("severity"), F.col("src_ip"), F.col("signature")
@@ -32,14 +35,15 @@ def threat_summary(alerts: DataFrame, session_id: int | None = None, top: int =
         F.when(F.col("g") == 7, "total").when(F.col("g") == 3, "severity")
         .when(F.col("g") == 5, "source").otherwise("signature")
     )
-    rows = grouped.select(
+    rows = stored(grouped.select(
         section.alias("section"), F.coalesce("severity", "src_ip", "signature", F.lit("")).alias("name"),
         "count",
-    )
+    ), "threats")
     order = W.partitionBy("section").orderBy(F.desc("count"), "name")
     lists = F.col("section").isin("source", "signature")
     ranked = rows.filter(lists).withColumn("_rank", F.row_number().over(order))
-    return rows.filter(~lists).unionByName(ranked.filter(F.col("_rank") <= top).drop("_rank"))
+    every = rows.filter(~lists).unionByName(ranked.filter(F.col("_rank") <= top).drop("_rank"))
+    return every.orderBy("section", F.desc("count"), "name")
 
 
 def _matching(alerts: DataFrame, where: AlertFilter) -> DataFrame:

@@ -34,29 +34,38 @@ def top_connections(
     return _result(in_session(flows, session_id).orderBy(F.desc(column), "id").limit(limit))
 
 
-def _search(flows: DataFrame, test: Column, session_id: int | None) -> DataFrame:
-    found = in_session(flows, session_id).filter(test)
-    return _result(found.orderBy(F.desc("total_bytes"), "id").limit(SEARCH_LIMIT))
+def _search(flows: DataFrame, test: Column, session_id: int | None, limit: int | None) -> DataFrame:
+    """Largest first; ``limit`` None gives every match by a distributed sort."""
+    found = in_session(flows, session_id).filter(test).orderBy(F.desc("total_bytes"), "id")
+    return _result(found if limit is None else found.limit(limit))
 
 
-def search_by_ip(flows: DataFrame, ip: str, session_id: int | None = None) -> DataFrame:
+def search_by_ip(
+    flows: DataFrame, ip: str, session_id: int | None = None, limit: int | None = SEARCH_LIMIT,
+) -> DataFrame:
     """F8."""
-    return _search(flows, either_side("src_ip", "dst_ip", ip), session_id)
+    return _search(flows, either_side("src_ip", "dst_ip", ip), session_id, limit)
 
 
-def search_by_protocol(flows: DataFrame, name: str, session_id: int | None = None) -> DataFrame:
+def search_by_protocol(
+    flows: DataFrame, name: str, session_id: int | None = None, limit: int | None = SEARCH_LIMIT,
+) -> DataFrame:
     """F9."""
-    return _search(flows, protocol_is(name), session_id)
+    return _search(flows, protocol_is(name), session_id, limit)
 
 
-def search_by_port(flows: DataFrame, port: int, session_id: int | None = None) -> DataFrame:
+def search_by_port(
+    flows: DataFrame, port: int, session_id: int | None = None, limit: int | None = SEARCH_LIMIT,
+) -> DataFrame:
     """F10."""
-    return _search(flows, either_side("src_port", "dst_port", port), session_id)
+    return _search(flows, either_side("src_port", "dst_port", port), session_id, limit)
 
 
-def search_by_tag(flows: DataFrame, text: str, session_id: int | None = None) -> DataFrame:
+def search_by_tag(
+    flows: DataFrame, text: str, session_id: int | None = None, limit: int | None = SEARCH_LIMIT,
+) -> DataFrame:
     """F11."""
-    return _search(flows, tag_contains(text), session_id)
+    return _search(flows, tag_contains(text), session_id, limit)
 
 
 def page_slice(df: DataFrame, page: int, per_page: int) -> DataFrame:

@@ -187,11 +187,11 @@ def _with_empty(rows: DataFrame, names: list[str]) -> DataFrame:
     series = spark.range(len(names)).select(F.get(F.array(*map(F.lit, names)), F.col("id").cast("int")).alias("series"))
     return series.join(rows, "series", "left").select(
         "series", "bucket", F.coalesce("value", F.lit(0)).alias("value")
-    )
+    ).orderBy("series", "bucket")
 
 
 def session_series(sessions: DataFrame, points: int = POINTS) -> DataFrame:
-    """the last sessions with their running number.
+    """the last sessions with their running number, oldest first.
 
     The number is counted back from the total, so the table is never put in
     order as a whole.
@@ -204,7 +204,7 @@ def session_series(sessions: DataFrame, points: int = POINTS) -> DataFrame:
         F.coalesce("total_packets", F.lit(0)).alias("packets"),
         F.coalesce("total_bytes", F.lit(0)).alias("bytes"),
         (count - F.col("_back") + 1).alias("sessions"),
-    )
+    ).orderBy("id")
 
 
 def protocol_shares(connections: DataFrame, session_id: int | None = None) -> DataFrame:

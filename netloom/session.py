@@ -55,6 +55,14 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: computed once, kept when executors are
+    lost, and of a size that the optimizer knows when it picks a join."""
+    path = fresh_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage so that lost executors do not force a full recompute.
 

@@ -64,10 +64,12 @@ def connection_rows(
     return _renamed(ordered.limit(limit) if limit else ordered, CONNECTION_COLUMNS)
 
 
-def filtered_rows(flows: DataFrame, where: ConnectionFilter = ConnectionFilter()) -> DataFrame:
-    """A5: matching flows, newest first, at most 10,000."""
-    chosen = flows.filter(all_of(where.conditions())).orderBy(F.desc("id")).limit(FILTERED_LIMIT)
-    return _renamed(chosen, FILTERED_COLUMNS)
+def filtered_rows(
+    flows: DataFrame, where: ConnectionFilter = ConnectionFilter(), limit: int | None = FILTERED_LIMIT
+) -> DataFrame:
+    """A5: matching flows, newest first; ``limit`` None gives all by a distributed sort."""
+    chosen = flows.filter(all_of(where.conditions())).orderBy(F.desc("id"))
+    return _renamed(chosen if limit is None else chosen.limit(limit), FILTERED_COLUMNS)
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
@@ -90,7 +92,8 @@ def export_connections_csv(
 
 
 def export_filtered_csv(
-    flows: DataFrame, path: str, where: ConnectionFilter = ConnectionFilter()
+    flows: DataFrame, path: str, where: ConnectionFilter = ConnectionFilter(),
+    limit: int | None = FILTERED_LIMIT,
 ) -> None:
     """A5."""
-    write_csv(filtered_rows(flows, where), path)
+    write_csv(filtered_rows(flows, where, limit), path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from netloom.operators import maintenance as M
-from netloom.schemas import ALERTS, CONNECTIONS, PROTOCOL_STATS, SESSIONS
+from netloom.schemas import ALERTS, CONNECTIONS, PROTOCOL_STATS, SESSIONS, evolve_schema
 from netloom.session import durable
 
 PARTITIONED = ("connections", "alerts")
@@ -46,17 +46,20 @@ def _balanced(df: DataFrame) -> DataFrame:
     return df.hint("rebalance", "session_id")
 
 
-def write_connections(flows: DataFrame, root: str) -> None:
+def write_connections(flows: DataFrame, root: str, session_id: int | None = None) -> None:
     """Replace the whole snapshot of the sessions present in ``flows``.
 
     Counters are cumulative, so a new snapshot overwrites; other sessions stay.
+    With ``session_id`` the snapshot is that session's, and an empty one leaves
+    it without rows. A row without session fails the write.
     """
-    missing = flows.filter(F.col("session_id").isNull())
-    if not missing.isEmpty():
-        raise ValueError("session_id is required")
-    from netloom.schemas import evolve_schema
-
-    _balanced(evolve_schema(flows, CONNECTIONS)).write.mode("overwrite").option(
+    required = F.assert_true(F.col("session_id").isNotNull(), F.lit("session_id is required"))
+    rows = evolve_schema(flows, CONNECTIONS)
+    if session_id is not None:
+        rows = rows.filter(F.col("session_id") == session_id)
+        _drop_partition(flows.sparkSession, root, "connections", session_id)
+    rows = rows.filter(required.isNull())
+    _balanced(rows).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy("session_id").parquet(_path(root, "connections"))
 
@@ -78,7 +81,7 @@ def with_alert_defaults(alerts: DataFrame) -> DataFrame:
 
 def append_alerts(alerts: DataFrame, root: str) -> None:
     """A7."""
-    with_alert_defaults(alerts).write.mode("append").partitionBy("session_id").parquet(
+    _balanced(with_alert_defaults(alerts)).write.mode("append").partitionBy("session_id").parquet(
         _path(root, "alerts")
     )
 

@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from netloom.operators.alerts import ids_severity
 from netloom.schemas import IDS_EVENT
 
 
+def event_time(text: Column) -> Column:
+    """UTC time of a text with or without an offset (``Z``, ``+0530``, ``-08:00``)."""
+    zone = r":\d{2}(?:\.\d+)?(Z|[+-]\d{2}:?\d{2})$"
+    plain = F.regexp_replace(text, r"(?:Z|[+-]\d{2}:?\d{2})$", "")
+    offset = F.regexp_extract(text, zone, 1)
+    hours, minutes = F.substring(offset, 2, 2), F.substring(offset, -2, 2)
+    away = (hours.try_cast("int") * 60 + minutes.try_cast("int")) * F.when(offset.startswith("-"), -1).otherwise(1)
+    # without a time of day nothing is cut off, so that a date stays a date
+    local = F.when(offset != "", plain).otherwise(text).try_cast("timestamp_ntz")
+    return local - F.make_dt_interval(mins=F.when(offset.isin("", "Z"), 0).otherwise(away))
+
+
 def alerts_from_events(events: DataFrame, *keep: str) -> DataFrame:
     """Keep alert events with a non-empty ``alert`` and fill defaults."""
     a = F.col("alert")
@@ -19,7 +31,7 @@ def alerts_from_events(events: DataFrame, *keep: str) -> DataFrame:
     number = F.coalesce(a["severity"], F.lit(3))
     return events.filter((F.col("event_type") == "alert") & a.isNotNull() & filled).select(
         *keep,
-        F.substring("timestamp", 1, 26).try_cast("timestamp_ntz").alias("timestamp"),
+        event_time(F.col("timestamp")).alias("timestamp"),
         ids_severity(number).alias("severity"),
         number.alias("severity_num"),
         F.coalesce(a["signature"], F.lit("Unknown")).alias("signature"),

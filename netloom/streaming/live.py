@@ -10,6 +10,7 @@ frame numbers are remembered.
 
 from __future__ import annotations
 
+import dataclasses as dc
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -124,7 +125,7 @@ def detect_now(
     even when a rule then drops the alert.
     """
     domains = ctx.domains if ctx.domains is not None else current_domains(spark, root)
-    tagged = tag_flows(current_flows(spark, root), ctx)
+    tagged = tag_flows(current_flows(spark, root), dc.replace(ctx, domains=domains))
     raised = alerts_from_tags(tagged, domains, rules, as_of)
     keys = ["session_id", "dst_display", "tag"]
     if _exists(spark, f"{root}/alerted"):

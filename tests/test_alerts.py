@@ -34,13 +34,37 @@ def test_protected_alerts_survive_suppression(spark):
 
 
 def test_protected_pair_and_id(spark):
-    pair = alerts(spark, ["x"], src_ip="10.92.237.60", dst_ip="10.92.237.82")
-    assert pair.filter(E.is_protected()).count() == 1
-    assert pair.withColumn("dst_port", F.lit(23)).filter(E.is_protected()).count() == 0
+    pair = alerts(spark, ["x"], src_ip="10.9.8.7", dst_ip="10.9.8.6")
+    rules = E.AlertRules(protected_pairs=(("10.9.8.7", "10.9.8.6", 22),))
+    assert pair.filter(E.is_protected()).count() == 0
+    assert pair.filter(E.is_protected(rules)).count() == 1
+    assert pair.withColumn("dst_port", F.lit(23)).filter(E.is_protected(rules)).count() == 0
     assert alerts(spark, ["x"], signature_id=2001219).filter(E.is_protected()).count() == 1
     assert alerts(spark, ["seen via abc2::1"]).filter(E.is_protected()).count() == 1  # plain substring
 
 
+def test_vendor_signatures_keep_their_level_without_a_sensor(spark):
+    names = ["ET INFO Possible Port Scanner User-Agent", "ET POLICY Brute Force Tool Download", "GPL SCAN x", "xx brute_force y"]
+    got = [r[0] for r in alerts(spark, names).select(E.remapped_signature()).collect()]
+    assert got == ["LOW", "LOW", "MEDIUM", "MEDIUM"]
+
+
+def test_event_times_with_offsets(spark):
+    from netloom.sources.ids import event_time
+
+    texts = ["2024-01-01T10:00:00.000000+0530", "2024-01-01T10:00:00-0800", "2024-01-01T10:00:00.5Z", "2024-01-01T10:00:00",
+             "2024-01-01 10:00:00.123456+01:00", "2024-01-01", "nonsense", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [str(r[0]) for r in df.orderBy("i").select(event_time(F.col("t"))).collect()]
+    assert got == ["2024-01-01 04:30:00", "2024-01-01 18:00:00", "2024-01-01 10:00:00.500000", "2024-01-01 10:00:00",
+                   "2024-01-01 09:00:00.123456", "2024-01-01 00:00:00", "None", "None"]
+
+
+def test_rate_limit_takes_large_ids(spark):
+    df = alerts(spark, ["a", "a", "b"], signature_id=5_000_000_000).withColumn("timestamp", F.lit("2024-01-01").cast("timestamp_ntz"))
+    assert E.limit_rate(df, [RateLimit(5_000_000_000, "by_src", 1, 60)]).count() == 1
+
+
 def test_sensor_word(spark):
     rules = E.AlertRules(sensor="SENSOR")
     df = alerts(spark, ["SENSOR BRUTE-FORCE x", "other BRUTE-FORCE x"])

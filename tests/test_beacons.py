@@ -133,7 +133,7 @@ def test_chains_do_not_depend_on_batches():
 def test_sessions_can_be_judged_apart(spark):
     rows = [flow(i, session_id=1 + i % 2, at=i * 60.0) for i in range(30)]
     df = flows(spark, rows)
-    assert detect_beaconing(df, NETS).count() == 30
-    assert detect_beaconing(df, NETS, scope=("session_id",)).count() == 0
+    assert detect_beaconing(df, NETS, scope=()).count() == 30
+    assert detect_beaconing(df, NETS).count() == 0
     more = flows(spark, rows + [flow(100 + i, session_id=1, at=1800 + i * 120.0) for i in range(10)])
     assert {r.id % 2 for r in detect_beaconing(more, NETS, scope=("session_id",)).collect() if r.id < 100} == {0}

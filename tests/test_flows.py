@@ -119,7 +119,6 @@ def test_tls_flows_equal_relabelling_every_packet(spark):
     df = packets(spark, rows)
     expected = sorted(map(str, fold(propagate_tls(df)).collect()))
     assert sorted(map(str, build_tls_flows(df).collect())) == expected
-    assert sorted(map(str, build_tls_flows(df, broadcast_keys=0).collect())) == expected
     flows, counters = rebuild(df.unionByName(df))
     assert sorted(map(str, flows.collect())) == expected
     again = running_counters(propagate_tls(df)).collect()

@@ -7,6 +7,8 @@ from check import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
 QUERIES, ORACLES = queries(), oracle_sql()
+# filters without a match at the smallest scale
+EMPTY = ("d04_traffic_anomaly", "d04_traffic_anomaly_per_session")
 
 
 @pytest.fixture(scope="module")
@@ -17,8 +19,7 @@ def con():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, con, name):
     ok, note = compare(spark, con, QUERIES[name], ORACLES.get(name), FOLDER)
-    # the smallest scale leaves a few filters without a match
-    assert ok or note.startswith("0 rows"), note
+    assert ok or name in EMPTY and note.startswith("0 rows"), note
 
 
 def test_entry(spark):

@@ -8,8 +8,8 @@ from __spark_entry__ import queries
 from helpers import flow, flows, operators, packet, packets
 from netloom.operators import flows as O
 from netloom.operators.detectors import destination_totals
-from netloom.operators.tcp import label_segments
 from netloom.config import Tuning
+from netloom.operators.rebuild import rebuild
 from netloom.sources.networks import Networks
 
 FOLDER = "/root/testdata/sf0.001"
@@ -37,7 +37,6 @@ def test_flow_aggregate_is_one_hash_shuffle(static):
 def test_segment_labels_share_one_shuffle_and_sort(static):
     plan = operators(queries()["c04k_segment_labels"](static, FOLDER))
     assert plan.count("Exchange hashpartitioning") == 1 and len(re.findall(r"\bSort \[", plan)) == 1
-    assert label_segments is not None
 
 
 def test_trust_is_judged_after_the_aggregate(static):
@@ -67,9 +66,16 @@ def test_session_filter_reaches_the_partitions(static, tmp_path):
 
 
 def test_dedup_moves_only_repeated_rows(static):
-    one = packets(static, [packet(1), packet(2)])
-    assert "Join" not in operators(O.dedup_frames(one)) and "Exchange" not in operators(O.dedup_frames(one))
     two = packets(static, [packet(1), packet(1), packet(2)])
     plan = operators(O.dedup_frames(two))
     assert "BroadcastHashJoin" in plan and plan.count("Exchange hashpartitioning") == 1
-    assert "SortMergeJoin" in operators(O.dedup_frames(two, broadcast_keys=0))
+    static.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the list were large
+    try:
+        assert "SortMergeJoin" in operators(O.dedup_frames(two)) and O.dedup_frames(two).count() == 2
+    finally:
+        static.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rebuild_reads_its_packets_once_in_columns(static):
+    flows, counters = rebuild(packets(static, [packet(1), packet(1), packet(2)]))
+    assert operators(flows.unionByName(flows)).count("Scan") == 2 and operators(counters).count("Scan ExistingRDD") == 0

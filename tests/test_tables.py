@@ -31,8 +31,10 @@ def test_snapshot_replaces_only_its_session(spark, tmp_path):
     T.write_connections(flows(spark, [flow(1), flow(2, session_id=2)]), root)
     T.write_connections(flows(spark, [flow(3), flow(4)]), root)
     assert {r.id for r in T.read_table(spark, root, "connections").collect()} == {2, 3, 4}
-    with pytest.raises(ValueError):
+    with pytest.raises(Exception, match="session_id is required"):
         T.write_connections(flows(spark, [flow(1, session_id=None)]), root)
+    T.write_connections(flows(spark, []), root, session_id=1)
+    assert {r.id for r in T.read_table(spark, root, "connections").collect()} == {2}
 
 
 def test_missing_tables_are_empty(spark, tmp_path):
