@@ -19,6 +19,7 @@ from netloom.functions.predicates import ConnectionFilter
 from netloom.operators import maintenance as M
 from netloom.operators.detectors import Context
 from netloom.operators.trust import after, matching_networks
+from netloom.plans.connections import connection_text_key, texts_cached
 from netloom.schemas import CONNECTIONS, evolve_schema
 from netloom.session import fresh_path
 from netloom.sinks import exports as X, tables as T
@@ -244,6 +245,49 @@ def g05(s):
     return _counts(s, root)
 
 
+@query("d09_stored_baseline", with_views("connections", """
+    WITH obs AS (SELECT session_id, dst_ip, CAST(sum(total_bytes) AS DOUBLE) AS b, min(start_time) AS seen FROM connections WHERE session_id > (SELECT max(session_id) - 3 FROM connections) GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY dst_ip ORDER BY session_id) AS n FROM obs)
+    SELECT dst_ip AS ip, min(seen) AS first_seen, CAST(count(*) AS INT) AS session_count, round(CASE WHEN count(*) = 1 THEN max(b) ELSE avg(b) FILTER (n > 1) END, 2) AS total_bytes_avg FROM r GROUP BY dst_ip"""))
+def d09_stored(s):
+    """A baseline table that begins empty and takes the last three sessions one by one."""
+    root, flows = fresh_path(s.spark, "tables"), s.plain_connections
+    last = flows.agg(F.max("session_id")).first()[0]
+    for session in range(last - 2, last + 1):
+        T.update_known_destinations(flows.filter(F.col("session_id") == session), root)
+    known = T.read_table(s.spark, root, "known_destinations")
+    return known.withColumn("total_bytes_avg", F.round("total_bytes_avg", 2))
+
+
+@query("h01_stored_reputation", with_views("reputation connections", """
+    WITH c AS (SELECT dst_ip AS ip, CAST(count(*) % 101 AS INT) AS score FROM connections WHERE dst_ip LIKE '2%' GROUP BY dst_ip)
+    SELECT coalesce(c.ip, r.ip) AS ip, coalesce(c.score, r.abuse_score) AS abuse_score, CASE WHEN c.ip IS NULL THEN r.country ELSE 'DE' END AS country, CASE WHEN c.ip IS NULL THEN r.isp ELSE 'x' END AS isp,
+           coalesce(c.score, r.abuse_score) > 50 AS is_malicious, CASE WHEN c.ip IS NULL THEN r.last_checked ELSE TIMESTAMP '2024-02-01 00:00:00' END AS last_checked FROM reputation r FULL JOIN c ON c.ip = r.ip"""))
+def h01_stored(s):
+    """All columns of a reputation table after two rounds of checks."""
+    root = fresh_path(s.spark, "tables")
+    T.store_reputation(s.reputation.drop("is_malicious"), root)
+    checked = s.plain_connections.filter(F.col("dst_ip").startswith("2")).groupBy(F.col("dst_ip").alias("ip")).agg(
+        (F.count("*") % 101).cast("int").alias("abuse_score")
+    )
+    checked = checked.withColumns({"country": F.lit("DE"), "isp": F.lit("x"), "last_checked": F.lit("2024-02-01").cast("timestamp_ntz")})
+    T.store_reputation(checked, root)
+    return T.read_table(s.spark, root, "reputation")
+
+
+@query("f28_stored_texts", with_views("connections", """
+    WITH c AS (SELECT 'conn|' || src_ip || '|' || dst_ip || '|' || protocol || '|' || id AS cache_key, session_id FROM connections)
+    SELECT cache_key, CASE WHEN session_id = 3 THEN 'new' WHEN session_id < 3 THEN 'old' END AS explanation FROM c"""))
+def f28_stored(s):
+    """Texts of sessions up to 3, those of session 3 replaced later."""
+    root, key = fresh_path(s.spark, "tables"), connection_text_key()
+    for text, day, sessions in (("old", "2024-01-01", "session_id <= 3"), ("new", "2024-01-02", "session_id = 3")):
+        T.store_texts(s.plain_connections.filter(sessions).select(
+            key.alias("cache_key"), F.lit(text).alias("explanation"), F.lit(day).cast("timestamp_ntz").alias("created_at")
+        ), root)
+    return texts_cached(s.plain_connections, T.read_table(s.spark, root, "texts"), key).select("cache_key", "explanation")
+
+
 @query("s01_live_flows", with_views("packets", """
     SELECT session_id, count(*) AS packets, CAST(sum(packet_length) AS BIGINT) AS bytes FROM packets GROUP BY session_id"""))
 def s01(s):

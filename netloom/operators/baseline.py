@@ -36,13 +36,16 @@ def baseline(flows: DataFrame, include_first: bool = False) -> DataFrame:
 
 
 def update_baseline(known: DataFrame, flows: DataFrame) -> DataFrame:
-    """D9 incrementally: add the observations of one new session.
+    """D9 incrementally: add the observations of one new session; flows of more than
+    one fail, since their order would decide.
 
     mean' = (mean * (n - 1) + x) / n with the old n; new addresses start at x.
     """
+    one = flows.agg(F.min("session_id").eqNullSafe(F.max("session_id"))).scalar()
+    single = F.assert_true(one, F.lit("flows of one session are required"))
     new = observations(flows).groupBy("ip").agg(
         F.sum("bytes").alias("x"), F.min("seen").alias("seen")
-    )
+    ).filter(single.isNull())
     n, mean, x = F.col("session_count"), F.col("total_bytes_avg"), F.col("x")
     return known.join(new, "ip", "full").select(
         "ip",

@@ -5,14 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from netloom.operators import maintenance as M
-from netloom.schemas import ALERTS, CONNECTIONS, PROTOCOL_STATS, SESSIONS, evolve_schema
-from netloom.session import durable
+from netloom.operators.baseline import update_baseline
+from netloom.operators.reputation import upsert_reputation
+from netloom.schemas import (
+    ALERTS, CONNECTIONS, IP_REPUTATION, KNOWN_DESTINATIONS, PROTOCOL_STATS, SESSIONS, TEXT_CACHE,
+    evolve_schema,
+)
+from netloom.session import durable, stored
 
 PARTITIONED = ("connections", "alerts")
 SCHEMAS = {
     "connections": CONNECTIONS, "alerts": ALERTS, "sessions": SESSIONS,
     "protocol_stats": PROTOCOL_STATS,
 }
+# kept when sessions are cleared
+LASTING = {"known_destinations": KNOWN_DESTINATIONS, "reputation": IP_REPUTATION, "texts": TEXT_CACHE}
 
 
 def _path(root: str, name: str) -> str:
@@ -31,9 +38,10 @@ def table_exists(spark: SparkSession, root: str, name: str) -> bool:
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A table by its fixed schema; one not written yet is empty."""
+    schema = {**SCHEMAS, **LASTING}[name]
     if not table_exists(spark, root, name):
-        return spark.createDataFrame([], SCHEMAS[name])
-    return spark.read.schema(SCHEMAS[name]).parquet(_path(root, name))
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(_path(root, name))
 
 
 def _drop_partition(spark: SparkSession, root: str, name: str, session_id: int) -> None:
@@ -93,6 +101,26 @@ def replace_table(df: DataFrame, root: str, name: str) -> None:
     )
 
 
+def update_known_destinations(flows: DataFrame, root: str) -> None:
+    """The stored baseline with the observations of one more session."""
+    known = read_table(flows.sparkSession, root, "known_destinations")
+    replace_table(update_baseline(known, flows), root, "known_destinations")
+
+
+def store_reputation(checked: DataFrame, root: str) -> None:
+    """H1: the stored checks with newer ones put in."""
+    known = read_table(checked.sparkSession, root, "reputation")
+    replace_table(upsert_reputation(known, checked), root, "reputation")
+
+
+def store_texts(texts: DataFrame, root: str) -> None:
+    """texts by key; the newest of a key stays."""
+    both = read_table(texts.sparkSession, root, "texts").unionByName(texts.select(*TEXT_CACHE.fieldNames()))
+    newest = F.max_by(F.struct("explanation", "created_at"), F.struct("created_at", "explanation"))
+    kept = both.groupBy("cache_key").agg(newest.alias("r")).select("cache_key", "r.*")
+    replace_table(kept, root, "texts")
+
+
 def delete_session(spark: SparkSession, root: str, session_id: int) -> bool:
     """G1: drop the session's partitions and row; False when there is none."""
     sessions = read_table(spark, root, "sessions")
@@ -127,20 +155,23 @@ def refresh_protocol_stats(spark: SparkSession, root: str) -> None:
 
 
 def _delete_flows(spark: SparkSession, root: str, doomed: Column) -> int:
-    """Delete matching flows, rewriting only the sessions that hold any."""
+    """Delete matching flows, rewriting only the sessions that hold any.
+
+    The sessions are counted once and stored; those that keep rows are found by a
+    join, those that keep none lose their folder, one after the other.
+    """
     flows = read_table(spark, root, "connections")
-    touched = flows.groupBy("session_id").agg(
+    touched = stored(flows.groupBy("session_id").agg(
         F.count_if(doomed).alias("gone"), F.count("*").alias("rows")
-    )
-    hit = touched.filter(F.col("gone") > 0).collect()  # one row per session
-    partial = [r.session_id for r in hit if r.gone < r.rows]
-    if partial:
-        kept = flows.filter(F.col("session_id").isin(partial) & ~doomed)
-        write_connections(durable(kept), root)
-    for row in hit:
-        if row.gone == row.rows:
+    ).filter(F.col("gone") > 0), "touched")
+    gone = touched.agg(F.coalesce(F.sum("gone"), F.lit(0))).first()[0]
+    if gone:
+        partial = touched.filter("gone < rows").select("session_id")
+        kept = flows.filter(F.coalesce(~doomed, F.lit(True))).join(partial, "session_id", "left_semi")
+        write_connections(stored(kept, "kept"), root)
+        for row in touched.filter("gone = rows").toLocalIterator():
             _drop_partition(spark, root, "connections", row.session_id)
-    return sum(r.gone for r in hit)
+    return gone
 
 
 def delete_older(spark: SparkSession, root: str, as_of: str, days: int = 30) -> int:
