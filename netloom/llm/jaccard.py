@@ -1,17 +1,17 @@
 """N-gram Jaccard join by groups of similar sets and their token unions.
 
 Distinct shingle sets are partitioned into groups by size and smallest hash, so that similar
-sets mostly share a group; a group is cut into blocks of bounded size. Of each block the union
-of its members' shingles is stored. A set is held against a block's union first: a member can
-only be similar if enough of the set lies in the union. Only blocks that qualify are opened
-and their members compared exactly.
+sets mostly share a group; a group is cut into blocks of bounded size. A block is stored as
+the union of its members' shingles and a matrix of which member has which. A set is held
+against a block's union first: a member can only be similar if enough of the set lies in the
+union. Only blocks that qualify are opened and their members compared exactly.
 
 Which groups are looked at at all follows from signatures. Two sets of a size class that are
 similar differ in at most H shingles; with the shingles dealt into H + 1 parts by hash, one
 part is equal in both. A set has one signature a part, and groups that share a signature are
 candidates; nothing similar is missed. Of groups that share one, all are compared with the
-most frequent of them first, then only sets that are not yet connected with the most, so
-that a large family of near copies costs no pairs of all with all.
+most frequent of them first, then only sets that this has not connected with its largest
+component, so that a large family of near copies costs no pairs of all with all.
 """
 
 from collections.abc import Iterator
@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 from netloom.llm.components import components
 from netloom.llm.shingles import U, mix, sets, texts_of
-from netloom.llm.store import column_or_null, written
+from netloom.llm.store import among, column_or_null, written
 
-BLOCK_SETS, BLOCK_SHINGLES = 256, 400_000
+BLOCK_SETS, BLOCK_SHINGLES = 2_048, 500_000
 #: Signatures that one task joins.
 PER_PART = 1_500_000
 
@@ -65,9 +65,21 @@ def measures(h: np.ndarray, bounds: np.ndarray, levels: Levels) -> dict[str, np.
     # 40 bits; groups that meet by chance are one group, which only costs comparisons
     out["g"] = (mix(out.pop("least") + level.astype(np.uint64), 14) >> U(24)).astype(np.int64)
     out["level"] = level
+    # parity sketch: each shingle turns one of 256 bits, so sketches differ in no more bits than sets do in shingles
+    spot = mix(h, 19)
+    word, bit = spot >> U(62), U(1) << ((spot >> U(32)) & U(63))
+    for w in range(4):
+        value = np.zeros(len(n), np.uint64)
+        if len(full):
+            value[full] = np.bitwise_xor.reduceat(np.where(word == U(w), bit, U(0)), at)
+        out[f"s{w}"] = value
     return out
 
 
+SKETCH = [f"s{w}" for w in range(4)]
+SETS = "doc_id bigint, n bigint, set1 bigint, set2 bigint, g bigint, " + ", ".join(f"{c} bigint" for c in SKETCH)
+
+
 def signatures(h: np.ndarray, bounds: np.ndarray, found: dict, levels: Levels) -> tuple[np.ndarray, np.ndarray]:
     """All signatures, and the number of the text of each."""
     n, level = found["n"], found["level"]
@@ -102,8 +114,9 @@ def _reader(width: int, percent: int):
                 m = measures(h, bounds, levels)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(at, to - at), pa.array(m["n"].astype(np.int64)),
-                     pa.array(m["set1"].view(np.int64)), pa.array(m["set2"].view(np.int64)), pa.array(m["g"])],
-                    names=["doc_id", "n", "set1", "set2", "g"])
+                     pa.array(m["set1"].view(np.int64)), pa.array(m["set2"].view(np.int64)), pa.array(m["g"]),
+                     *[pa.array(m[c].view(np.int64)) for c in SKETCH]],
+                    names=["doc_id", "n", "set1", "set2", "g", *SKETCH])
 
     return read
 
@@ -124,6 +137,8 @@ def _signer(width: int, percent: int, bits: int):
                 sig, owner = signatures(h, bounds, m, levels)
                 keep = first[owner]
                 sig, g = sig[keep], m["g"][owner[keep]]
+                if not len(sig):
+                    continue
                 order = np.lexsort((g, sig))
                 sig, g = sig[order], g[order]
                 keep = np.ones(len(sig), bool)
@@ -184,76 +199,113 @@ def _tokenizer(width: int):
                 h, bounds = sets(data, offsets, width)
                 tokens = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(h.view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("b").slice(at, to - at), batch.column("node").slice(at, to - at), tokens],
-                    names=["b", "node", "tokens"])
+                    [*(batch.column(c).slice(at, to - at) for c in ("b", "node", "alone")), tokens],
+                    names=["b", "node", "alone", "tokens"])
 
     return read
 
 
-def linked(queries: list[np.ndarray], ids: list[int], members: list[np.ndarray], others: list[int], percent: int) -> list[tuple[int, int]]:
-    """Links between queries and members that connect what was not connected yet: as many as needed
-    for the same components as all links."""
-    nodes = {x: k for k, x in enumerate(dict.fromkeys([*ids, *others]))}
-    parent = list(range(len(nodes)))
+def _blocks(rows: pd.DataFrame) -> pd.DataFrame:
+    """A block as one row: the union of its members' shingles, ascending, and for each member the
+    places of its own in the union."""
+    rows = rows.sort_values("node")
+    union, places = np.unique(np.concatenate(list(rows["tokens"])), return_inverse=True)
+    sizes = rows["tokens"].map(len).to_numpy()
+    return pd.DataFrame({
+        "b": [rows["b"].iloc[0]], "union": [union], "nodes": [rows["node"].to_numpy()], "sizes": [sizes],
+        "places": [places.astype(np.int32)], "smallest": [sizes.min()], "largest": [sizes.max()],
+    })
 
-    def root(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
 
-    vocabulary, place = np.unique(np.concatenate(members), return_inverse=True)
-    sizes = np.array([len(m) for m in members])
-    bounds = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-    flags = np.zeros(len(vocabulary), np.int32)
+BLOCKS = "b bigint, union array<bigint>, nodes array<bigint>, sizes array<bigint>, places array<int>, smallest bigint, largest bigint"
+
+
+def linked(asks: tuple, told: tuple, percent: int) -> list[tuple[int, int]]:
+    """Links between members of two blocks that connect what was not connected yet: as many as are
+    needed for the same components as all links. A block is its union, nodes, sizes and places."""
+    union, nodes, sizes, places = told
+    ids, label = np.unique(np.concatenate([asks[1], nodes]), return_inverse=True)
+    own, other = label[:len(asks[1])], label[len(asks[1]):]
+    part = np.arange(len(ids))
+    starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+    at = np.concatenate([[0], np.cumsum(asks[2])])
+    flags = np.zeros(len(union), np.int32)
     out = []
-    for q, i in zip(queries, ids, strict=True):
-        own = root(nodes[i])
-        if all(root(nodes[j]) == own for j in others):
+    for k, node in enumerate(asks[1].tolist()):
+        apart = part[other] != part[own[k]]
+        if not apart.any():
             continue
-        at = np.searchsorted(vocabulary, q)
-        at = at[at < len(vocabulary)]
-        at = at[np.isin(vocabulary[at], q)]
-        flags[at] = 1
-        shared = np.add.reduceat(flags[place], bounds)
-        flags[at] = 0
-        for k in np.flatnonzero(100 * shared >= percent * (len(q) + sizes - shared)):
-            j = others[k]
-            a, b = root(nodes[i]), root(nodes[j])
-            if a != b:
-                parent[a] = b
-                out.append((i, j))
+        tokens = asks[0][asks[3][at[k]:at[k + 1]]]
+        place = np.searchsorted(union, tokens)
+        place = place[union[np.minimum(place, len(union) - 1)] == tokens]
+        if 100 * len(place) < percent * len(tokens):
+            continue  # not enough of the set lies in the union
+        flags[place] = 1
+        shared = np.add.reduceat(flags[places], starts)
+        flags[place] = 0
+        for j in np.flatnonzero(apart & (100 * shared >= percent * (len(tokens) + sizes - shared))):
+            x, y = part[own[k]], part[other[j]]
+            if x != y:
+                part[part == y] = x
+                out.append((node, int(nodes[j])))
     return out
 
 
-def _compare(keys: list[str], percent: int):
+def _within(percent: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            pairs = []
+            for row in batch.itertuples(index=False):
+                own = (row.union, row.nodes, row.sizes, row.places)
+                pairs += linked(own, own, percent)
+            yield pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The sets of a block that ask another one: all, or those in ``only``."""
+    for batch in batches:
+        rows = []
+        for row in batch.itertuples(index=False):
+            only = None if row.only is None else set(row.only)
+            ends = np.cumsum(row.sizes)
+            for node, end, size in zip(row.nodes.tolist(), ends.tolist(), row.sizes.tolist(), strict=True):
+                if only is None or node in only:
+                    rows.append((row.b, int(mix(np.array([node], np.int64).view(np.uint64))[0] % U(row.parts)), node, row.union[row.places[end - size:end]]))
+        yield pd.DataFrame(rows, columns=["b", "part", "node", "tokens"])
+
+
+def _open(percent: int):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         pairs = []
         if len(left) and len(right):
-            left, right = left.sort_values("node"), right.sort_values("node")
-            pairs = linked(list(left["tokens"]), left["node"].tolist(), list(right["tokens"]), right["node"].tolist(), percent)
+            sizes = left["tokens"].map(len).to_numpy()
+            tokens = np.concatenate(list(left["tokens"]))
+            told = right.iloc[0]
+            pairs = linked(
+                (tokens, left["node"].to_numpy(), sizes, np.arange(len(tokens))),
+                (told["union"], told["nodes"], told["sizes"], told["places"]), percent,
+            )
         return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
 
     return run
 
 
-def _links(queries: DataFrame, members: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """Links of ``queries`` (keys, node, tokens) with the members of the block ``b`` among the keys."""
-    wanted = queries.select(*keys).distinct()
-    # columns of their own, though both sides come from one table
-    targets = wanted.join(members, "b")
-    targets, queries = targets.toDF(*targets.columns), queries.toDF(*queries.columns)
-    out = queries.groupBy(*keys).cogroup(targets.groupBy(*keys)).applyInPandas(_compare(keys, percent), "a bigint, b bigint")
-    return written(out, "jaccard-links")
-
-
-def _qualify(queries: DataFrame, unions: DataFrame, percent: int) -> DataFrame:
-    """Queries (b, node, tokens, ...) that the union of block b allows to have a similar member."""
-    n = F.size("tokens")
-    met = queries.join(unions, "b").where(
-        (F.lit(100) * n >= F.lit(percent) * F.col("smallest")) & (F.lit(100) * F.col("largest") >= F.lit(percent) * n)
+def _across(jobs: DataFrame, matrix: DataFrame, percent: int) -> DataFrame:
+    """Links of the sets of block ``qb`` (those in ``only`` unless it is null) with the members of block
+    ``b``. A block that is asked travels once for each ``BLOCK_SETS`` sets that ask."""
+    jobs = written(jobs, "jobs")
+    parts = jobs.groupBy("b").agg(F.ceil(F.sum("asks") / BLOCK_SETS).cast("bigint").alias("parts"))
+    asking = matrix.select(F.col("b").alias("qb"), "union", "nodes", "sizes", "places")
+    asks = jobs.select("qb", "b", "only").join(parts, "b").join(asking, "qb").mapInPandas(
+        _ask, "b bigint, part bigint, node bigint, tokens array<bigint>"
     )
-    return met.where(F.lit(100) * F.size(F.array_intersect("tokens", "union")) >= F.lit(percent) * n).select(*queries.columns)
+    told = parts.join(matrix, "b").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    told = told.select("b", "part", "union", "nodes", "sizes", "places")
+    told, asks = told.toDF(*told.columns), asks.toDF(*asks.columns)
+    out = asks.groupBy("b", "part").cogroup(told.groupBy("b", "part")).applyInPandas(_open(percent), "a bigint, b bigint")
+    return written(out, "jaccard-links")
 
 
 def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -270,14 +322,16 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         column_or_null(docs, "text", "string").cast("binary").alias("text"),
     )
     own = written(
-        texts.mapInArrow(_reader(words, percent), "doc_id bigint, n bigint, set1 bigint, set2 bigint, g bigint"), "sets"
+        texts.mapInArrow(_reader(words, percent), SETS), "sets"
     )
     some = own.where("doc_id is not null and n > 0")
-    nodes = some.groupBy("set1", "set2", "n").agg(F.min("doc_id").alias("node"), F.min("g").alias("g"))
+    nodes = some.groupBy("set1", "set2", "n").agg(
+        F.min("doc_id").alias("node"), *[F.min(c).alias(c) for c in ("g", *SKETCH)]
+    )
     nodes = written(nodes, "nodes")
     total = own.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     signed = total * 4 * (100 - percent) // (100 + percent) + 1
-    bits = max(6, min(16, int(signed // PER_PART).bit_length()))
+    bits = max(6, min(20, int(signed // PER_PART).bit_length()))
     shared = texts.where("doc_id is not null").mapInArrow(_signer(words, percent, bits), "part bigint, sig binary, g binary")
     shared = shared.groupBy("part").applyInPandas(_shared(bits), "key bigint, g bigint, seen bigint")
     shared = written(shared.groupBy("key", "g").agg(F.max("seen").alias("seen")), "shared")
@@ -290,51 +344,66 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     live = shared.select("g").unionAll(groups.where("sets > 1").select("g")).distinct()
     live = written(groups.join(live, "g", "left_semi"), "groups")
     placed = nodes.join(live.select("g", "cut"), "g").select(
-        "node", "g", F.xxhash64("g", F.pmod(F.xxhash64("set1", "set2"), "cut")).alias("b")
-    ).distinct()
-    placed = written(placed, "placed")
-    text_of = texts.where("doc_id is not null").withColumnRenamed("doc_id", "node")
-    members = placed.join(text_of, "node").select("b", "node", "text")
-    members = members.mapInArrow(_tokenizer(words), "b bigint, node bigint, tokens array<bigint>").where("size(tokens) > 0")
-    members = written(members.dropDuplicates(["b", "node", "tokens"]), "members")
-    unions = members.groupBy("b").agg(
-        F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"),
-        F.min(F.size("tokens")).alias("smallest"), F.max(F.size("tokens")).alias("largest"),
+        "node", "g", "n", *SKETCH, F.xxhash64("g", F.pmod(F.xxhash64("set1", "set2"), "cut")).alias("b")
     )
-    unions = written(unions, "unions")
+    placed = written(placed, "placed")
     blocks = written(placed.groupBy("g", "b").count(), "blocks")
+    text_of = among(texts.where("doc_id is not null").withColumnRenamed("doc_id", "node"), "node", placed)
+    homes = placed.join(blocks.select("b", "count"), "b").select("b", "node", (F.col("count") == 1).alias("alone")).distinct()
+    read = homes.join(text_of, "node").select("b", "node", "alone", "text")
+    read = read.mapInArrow(_tokenizer(words), "b bigint, node bigint, alone boolean, tokens array<bigint>")
+    members = written(read.where("size(tokens) > 0"), "members")
+    n = F.size("tokens").cast("bigint")
+    alone = members.where("alone").select(
+        "b", F.col("tokens").alias("union"), F.array("node").alias("nodes"), F.array(n).alias("sizes"),
+        F.sequence(F.lit(0), F.size("tokens") - 1).alias("places"), n.alias("smallest"), n.alias("largest"),
+    )
+    built = members.where("not alone").drop("alone").groupBy("b").applyInPandas(_blocks, BLOCKS)
+    matrix = written(alone.unionByName(built), "matrix")
 
-    # within each block, then every block with the first block of the leading group
+    # within each block, then every block with the largest one of the leading group
+    inside = matrix.where(F.size("nodes") > 1).mapInPandas(_within(percent), "a bigint, b bigint")
+    within = written(inside, "jaccard-links")
     heads = blocks.groupBy("g").agg(F.max_by("b", F.struct("count", "b")).alias("head"))
-    within = _links(
-        members.join(blocks.where("count > 1").select("b"), "b", "left_semi").select("b", "node", "tokens"),
-        members, ["b"], percent,
-    )
     every = shared.select("key", "g", "seen").unionAll(
         live.where("cut > 1").select(F.xxhash64("g").alias("key"), "g", F.lit(1).cast("bigint"))
     )
-    every = written(every.join(blocks.select("g", "b"), "g").join(heads, "g"), "met")
-    lead = every.groupBy("key").agg(F.max_by("head", F.struct("seen", "head")).alias("to"), F.countDistinct("b").alias("blocks"))
+    every = written(every.join(blocks.select("g", "b"), "g").join(heads, "g").select("key", "b", "head", "seen"), "met")
+    lead = every.groupBy("key").agg(
+        F.max_by("head", F.struct("seen", "head")).alias("to"), F.countDistinct("b").alias("blocks")
+    )
+    lead = written(lead, "lead")
     first = every.join(lead, "key").where("b != to").select(F.col("b").alias("qb"), F.col("to").alias("b")).distinct()
-    asked = first.join(members.withColumnRenamed("b", "qb"), "qb")
-    across = _links(written(_qualify(asked, unions, percent), "asked"), members, ["qb", "b"], percent)
+    first = first.join(blocks.select(F.col("b").alias("qb"), F.col("count").alias("asks")), "qb")
+    across = _across(first.withColumn("only", F.lit(None).cast("array<bigint>")), matrix, percent)
 
-    # what is still apart from most of those it shares a signature with meets all of them
+    # sets that are still apart from the leading block's largest component meet all blocks of the key
     so_far = components(within.unionAll(across))
-    state = placed.join(so_far, "node", "left").select("node", "b", F.coalesce("component", "node").alias("component"))
+    state = placed.join(so_far, "node", "left").select(
+        "node", "n", "b", *SKETCH, F.coalesce("component", "node").alias("component")
+    )
     state = written(state, "state")
-    tallies = every.select("key", "b").distinct().join(lead.where("blocks > 2").select("key"), "key", "left_semi")
-    tallies = tallies.join(state, "b")
-    sizes = tallies.groupBy("key", "component").count()
-    sizes = sizes.groupBy("key").agg(
-        F.max_by("component", F.struct("count", "component")).alias("most"), F.count("*").alias("parts")
-    ).where("parts > 1")
-    apart = tallies.join(sizes, "key").where("component != most").select("key", "node", F.col("b").alias("qb")).distinct()
-    left = apart.join(every.select("key", "b").distinct(), "key").select("node", "qb", "b").distinct()
-    left = left.join(members.withColumnRenamed("b", "qb"), ["qb", "node"])
-    left = written(_qualify(left, unions, percent), "apart")
-    left = left.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(64)))
-    rest = _links(left.select("b", "part", "node", "tokens"), members, ["b", "part"], percent)
+    tops = state.groupBy("b", "component").agg(
+        F.count("*").alias("count"), F.min("n").alias("low"), F.max("n").alias("high"), *[F.max(c).alias("t" + c) for c in SKETCH]
+    )
+    tops = written(tops.groupBy("b").agg(
+        F.max_by("component", F.struct("count", "component")).alias("top"), F.count("*").alias("parts"),
+        F.sum("count").alias("sets"), F.min("low").alias("low"), F.max("high").alias("high"),
+        *[F.max("t" + c).alias("t" + c) for c in SKETCH],
+    ), "tops")
+    keys = lead.where("blocks > 2").join(tops.select(F.col("b").alias("to"), F.col("top").alias("ref")), "to").select("key", "ref")
+    held = written(every.select("key", "b").distinct().join(keys, "key").join(tops, "b"), "held")
+    asking = held.where("parts > 1 or top != ref").select("key", "ref", F.col("b").alias("qb"))
+    met = asking.join(held.drop("ref"), "key").drop("key").distinct()
+    # a single set is far enough if the sketches differ in more bits than similar sets could in shingles
+    bits = " + ".join(f"bit_count({c} ^ t{c})" for c in SKETCH)
+    far = met.join(state.withColumnRenamed("b", "qb"), "qb").where(
+        "component != ref and not (parts = 1 and top = component)"
+    ).where(f"100 * n >= {percent} * low and 100 * high >= {percent} * n").where(
+        f"sets > 1 or ({bits}) * {100 + percent} <= (n + high) * {100 - percent}"
+    )
+    far = far.groupBy("qb", "b").agg(F.collect_set("node").alias("only"))
+    rest = _across(far.withColumn("asks", F.size("only").cast("bigint")), matrix, percent)
 
     copies = some.join(nodes.select("set1", "set2", "n", "node"), ["set1", "set2", "n"]).where("doc_id != node")
     found = components(within.unionAll(across).unionAll(rest).unionAll(

@@ -36,7 +36,7 @@ class _Tables:
     @classmethod
     def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(cls.up) < n:
-            size = max(n, PIECE + 1)
+            size = max(n, 1 << 20)
             cls.up, cls.down = _powers(_BASE, size), _powers(_BACK, size)
         return cls.up, cls.down
 
@@ -94,7 +94,7 @@ def sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray,
     return h, np.searchsorted(owner, np.arange(texts + 1))
 
 
-def texts_of(column) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+def texts_of(column, piece: int = PIECE) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
     """An Arrow binary column in pieces: first row, end row, bytes, offsets. Nulls are empty."""
     import pyarrow as pa
 
@@ -109,7 +109,7 @@ def texts_of(column) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
     data = np.frombuffer(body, np.uint8) if body is not None else np.zeros(0, np.uint8)
     out, at = [], 0
     while at < n:
-        to = max(at + 1, int(np.searchsorted(raw, raw[at] + PIECE, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(raw, raw[at] + piece, "right")) - 1)
         to = min(to, n)
         out.append((at, to, data[raw[at]:raw[to]], (raw[at:to + 1] - raw[at]).astype(np.int64)))
         at = to

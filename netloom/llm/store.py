@@ -1,7 +1,7 @@
 """Tables written between the steps of one job, and small column helpers."""
 
-from __future__ import annotations
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,3 +29,40 @@ def lower_ascii(column: Column) -> Column:
 def column_or_null(df: DataFrame, name: str, kind: str) -> Column:
     """The column, or nulls where the table has none of that name."""
     return F.col(f"`{name}`").cast(kind) if name in df.columns else F.lit(None).cast(kind)
+
+
+#: Bits of the filter below: 16 for each key, this many at most.
+FILTER_BITS = 1 << 27
+_SEGMENT = 1 << 16
+
+
+def among(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """``df`` without most rows whose bigint ``key`` is not among ``keys``, so that a join need not move
+    them. A bitmap of hashed keys, 16 MB at most, is sent to the tasks; with more keys than it can
+    hold apart it lets more rows through, never fewer."""
+    bits = _SEGMENT
+    wanted = keys.count() * 16
+    while bits < min(wanted, FILTER_BITS):
+        bits *= 2
+    spot = F.pmod(F.xxhash64(F.col(key).cast("bigint")), F.lit(bits))
+    found = keys.select(F.col(key)).select(spot.alias("spot")).distinct()
+    parts = found.groupBy((F.col("spot") / _SEGMENT).cast("int").alias("segment")).applyInPandas(
+        _bitmap, "segment int, bits binary"
+    )
+    table = np.zeros(bits // 8, np.uint8)
+    for r in parts.toLocalIterator():  # at most FILTER_BITS / _SEGMENT rows of 8 kB
+        at = r.segment * (_SEGMENT // 8)
+        table[at:at + _SEGMENT // 8] = np.frombuffer(r.bits, np.uint8)
+
+    def held(spots: pd.Series) -> pd.Series:
+        x = spots.to_numpy()
+        return pd.Series((table[x >> 3] >> (x & 7)) & 1 == 1)
+
+    return df.where(F.pandas_udf(held, "boolean")(spot))
+
+
+def _bitmap(rows: pd.DataFrame) -> pd.DataFrame:
+    spots = rows["spot"].to_numpy()
+    flags = np.zeros(_SEGMENT, np.uint8)
+    flags[spots % _SEGMENT] = 1
+    return pd.DataFrame({"segment": [int(spots[0] // _SEGMENT)], "bits": [np.packbits(flags, bitorder="little").tobytes()]})
