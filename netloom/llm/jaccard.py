@@ -7,8 +7,8 @@ against a block's union first: a member can only be similar if enough of the set
 union. Only blocks that qualify are opened and their members compared exactly.
 
 Which groups are looked at at all follows from signatures. Two sets of a size class that are
-similar differ in at most H shingles; with the shingles dealt into H + 1 parts by hash, one
-part is equal in both. A set has one signature a part, and groups that share a signature are
+similar differ in at most H shingles; with the shingles dealt into more than H parts by hash,
+one part is equal in both. A set has one signature a part, and groups that share a signature are
 candidates; nothing similar is missed. Of groups that share one, all are compared with the
 most frequent of them first, then only sets that this has not connected with its largest
 component, so that a large family of near copies costs no pairs of all with all.
@@ -42,11 +42,15 @@ class Levels:
             self.starts.append(self.starts[-1] * 100 // self.percent + 1)
         return np.array(self.starts, dtype=np.int64)
 
-    def parts(self, level: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Number of parts for sets whose larger one is of the level: |x| + |y| <= 2 * largest size,
-        of which at most (1 - t) / (1 + t) is not shared."""
+    def parts(self, level: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of parts for sets whose larger one is of the level, and how many of them may be empty
+        without mattering. |x| + |y| <= 2 * largest size, of which at most H = (1 - t) / (1 + t) is not
+        shared. Of H + 1 + spare parts at least 1 + spare are equal, so one that is not empty unless
+        more than ``spare`` are."""
         largest = starts[level + 1] - 1
-        return 2 * largest * (100 - self.percent) // (100 + self.percent) + 1
+        differ = 2 * largest * (100 - self.percent) // (100 + self.percent)
+        spare = 3 + differ * 3 // 100
+        return differ + 1 + spare, spare
 
 
 def measures(h: np.ndarray, bounds: np.ndarray, levels: Levels) -> dict[str, np.ndarray]:
@@ -91,14 +95,18 @@ def signatures(h: np.ndarray, bounds: np.ndarray, found: dict, levels: Levels) -
     spread, value = mix(h, 15) >> U(32), mix(h, 16)
     size = n[docs]
     for up in (0, 1):
-        parts = levels.parts(level[docs] + up, starts)
+        parts, spare = levels.parts(level[docs] + up, starts)
         first = np.concatenate([[0], np.cumsum(parts)])
         part = ((spread * np.repeat(parts, size).astype(np.uint64)) >> U(32)).astype(np.int64)
         sums = np.zeros(first[-1], np.uint64)
-        np.add.at(sums, np.repeat(first[:-1], size) + part, value)
+        key = np.repeat(first[:-1], size) + part
+        np.add.at(sums, key, value)
+        empty = np.bincount(key, minlength=first[-1]) == 0
         owner = np.repeat(np.arange(len(docs)), parts)
-        where = np.arange(first[-1]) - first[:-1][owner]
-        sigs.append(mix(sums + mix((where * 1024 + level[docs][owner] + up).astype(np.uint64), 17), 18))
+        keep = ~empty | (np.add.reduceat(empty, first[:-1], dtype=np.int64) > spare)[owner]
+        where = (np.arange(first[-1]) - first[:-1][owner])[keep]
+        owner = owner[keep]
+        sigs.append(mix(sums[keep] + mix((where * 1024 + level[docs][owner] + up).astype(np.uint64), 17), 18))
         owners.append(docs[owner])
     return np.concatenate(sigs), np.concatenate(owners)
 
