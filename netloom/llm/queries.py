@@ -155,5 +155,5 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_suffixes")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     """What is left of each document without strings of 100 bytes that occur before."""
-    cleaned = suffixes.remove_repeats(table(spark, folder, "documents"))
+    cleaned = suffixes.remove_repeats(table(spark, folder, "documents"), with_text=False)
     return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
