@@ -205,7 +205,7 @@ def _tokenizer(width: int):
         for batch in batches:
             for at, to, data, offsets in texts_of(batch.column("text")):
                 h, bounds = sets(data, offsets, width)
-                tokens = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(h.view(np.int64)))
+                tokens = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array((h >> U(1)).astype(np.int64)))  # 63 bits stay in order
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(c).slice(at, to - at) for c in ("b", "node", "alone")), tokens],
                     names=["b", "node", "alone", "tokens"])
@@ -382,7 +382,18 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     )
     lead = written(lead, "lead")
     first = every.join(lead, "key").where("b != to").select(F.col("b").alias("qb"), F.col("to").alias("b")).distinct()
-    first = first.join(blocks.select(F.col("b").alias("qb"), F.col("count").alias("asks")), "qb")
+    # blocks whose sizes cannot fit, and pairs of single sets whose sketches are too far apart, are not opened
+    stats = placed.groupBy("b").agg(
+        F.count("*").alias("asks"), F.min("n").alias("low"), F.max("n").alias("high"), *[F.max(c).alias(c) for c in SKETCH]
+    )
+    stats = written(stats, "stats")
+    told = stats.select("b", *[F.col(c).alias("t" + c) for c in stats.columns[1:]])
+    turned = " + ".join(f"bit_count({c} ^ t{c})" for c in SKETCH)
+    first = first.join(stats.withColumnRenamed("b", "qb"), "qb").join(told, "b").where(
+        f"100 * high >= {percent} * tlow and 100 * thigh >= {percent} * low"
+    ).where(
+        f"asks > 1 or tasks > 1 or ({turned}) * {100 + percent} <= (high + thigh) * {100 - percent}"
+    ).select("qb", "b", "asks")
     across = _across(first.withColumn("only", F.lit(None).cast("array<bigint>")), matrix, percent)
 
     # sets that are still apart from the leading block's largest component meet all blocks of the key
