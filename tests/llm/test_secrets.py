@@ -72,3 +72,34 @@ def test_scan(spark):
         assert (r.text is None) == (t is None)
         assert not base or "[secret]" in r.text
     assert secrets.scan(docs.limit(0), secrets.learn(docs.limit(0))).count() == 0
+
+
+def test_field_tags_whole_texts():
+    """Keys without digits, passphrases and key blocks over several lines; each window as the whole chain."""
+    field = secrets.fit(secrets.made_up())
+    rng = np.random.default_rng(3)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    some = lambda n: "".join(rng.choice(list(letters), n))
+    block = "\n".join(some(64) for _ in range(5))
+    for lead, body, tail in (
+        ("we use Bearer ", some(40), " in the log"), ("see passphrase: ", "correct horse battery staple", "\nand so on"),
+        ("use this\n-----BEGIN PRIVATE KEY-----\n", block, "\n-----END PRIVATE KEY-----\nand that"),
+    ):
+        text = lead + body + tail
+        assert field.spans(text) == [(len(lead), len(lead) + len(body))], text
+
+
+def test_windows_decode_as_one_chain():
+    rng = np.random.default_rng(8)
+    field = secrets.fit(secrets.made_up(200))
+    words = ["the", "of", "\n", "aB" * 12, "see:", "  ", " passphrase: ", "x9"]
+    texts = ["", " ", *[" ".join(rng.choice(words, n)) for n in (3, 200, 257, 900)]]
+    for text, found in zip(texts, secrets.Reader(field).spans(texts), strict=True):
+        tokens = [t for part in secrets.tokens_of(text) for t in part]
+        assert "".join(tokens) == text
+        if tokens:
+            chain, _ = secrets.chain_of([""] * 4 + tokens + [""] * 4, secrets.text_features(text), [0] * len(tokens), {})
+            tags = np.array(field.decode(chain), np.uint8)
+            ends = np.cumsum([len(t) for t in tokens])
+            covered = [(int(e) - len(t.lstrip()), int(e)) for t, e, tag in zip(tokens, ends, tags, strict=True) if tag and len(t.strip()) >= 8]
+            assert all(any(a <= s and e <= b for a, b in found) for s, e in covered)
