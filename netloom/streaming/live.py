@@ -24,7 +24,7 @@ from netloom.operators.dns import answers
 from netloom.operators.flows import aggregate_flows, decode_flows, flow_parts, merge_flows
 from netloom.operators.rebuild import relabel_parts, with_versions
 from netloom.operators.tls import PAIR, apply_versions, first_versions
-from netloom.sinks.tables import _hadoop
+from netloom.sinks.tables import _hadoop, write_connections
 from netloom.sources.ids import parse_ids_lines
 from netloom.sources.packets import parse_packets
 
@@ -105,16 +105,36 @@ def flow_writer(root: str, on_batch: Callback | None = None) -> Callback:
 
 
 def start_flows(
-    packets: DataFrame, root: str, on_batch: Callback | None = None, once: bool = False
+    packets: DataFrame, root: str, on_batch: Callback | None = None, once: bool = False,
+    ctx: Context | None = None, rules: AlertRules = AlertRules(), as_of: str | None = None,
 ) -> StreamingQuery:
-    """Run the packet pipeline; ``once`` reads what is there and ends."""
-    writer = packets.writeStream.foreachBatch(flow_writer(root, on_batch)).option(
+    """Run the packet pipeline; ``once`` reads what is there and ends.
+
+    With ``ctx`` each batch also replaces the stored snapshot of its sessions and logs the
+    alerts that were not raised before. The stored baseline is not updated here.
+    """
+    log = flow_writer(root, on_batch)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        log(batch, batch_id)
+        if ctx is not None:
+            store_snapshot(batch.sparkSession, root, batch_id)
+            detect_now(batch.sparkSession, root, ctx, batch_id, rules, as_of)
+
+    writer = packets.writeStream.foreachBatch(write).option(
         "checkpointLocation", f"{root}/_checkpoint_flows"
     )
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=FLUSH)
     return writer.start()
 
 
+def store_snapshot(spark: SparkSession, root: str, batch_id: int) -> None:
+    """Replace the stored flows of the sessions that a batch has parts of."""
+    parts = spark.read.parquet(f"{root}/flow_parts").filter(F.col("batch_id") == batch_id)
+    flows = current_flows(spark, root).join(parts.select("session_id").distinct(), "session_id", "left_semi")
+    write_connections(flows, root)
+
+
 def detect_now(
     spark: SparkSession, root: str, ctx: Context, batch_id: int, rules: AlertRules = AlertRules(),
     as_of: str | None = None,

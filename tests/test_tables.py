@@ -192,3 +192,27 @@ def test_deep_pages_are_sorted_by_the_cluster(spark):
     assert [r.id for r in page.collect()] == list(range(9, -1, -1))
     deep = C.page_slice(df.orderBy(F.desc("id")), 3, 100_000)
     assert "TakeOrderedAndProject" not in deep._jdf.queryExecution().executedPlan().toString()
+
+
+def test_each_flush_stores_the_snapshot_and_detects(spark, tmp_path):
+    from netloom.operators.detectors import Context
+    from netloom.schemas import KNOWN_DESTINATIONS
+    from netloom.sources.networks import Networks
+
+    source, root = tmp_path / "in", str(tmp_path / "live")
+    source.mkdir()
+    for part in range(2):  # the same flow goes on in the second file, another one begins
+        rows = [line(part * 10 + n, dst="203.0.113.9", dport="22") for n in range(1, 6)]
+        rows += [line(part * 10 + 6, sport="1001", dst=f"203.0.113.{20 + part}", dport="22")]
+        (source / f"{part}.txt").write_text("\n".join(rows))
+    known = spark.createDataFrame([], KNOWN_DESTINATIONS)
+    ctx = Context(known, Networks(), "2026-06-01")
+    lines = live.live_packets(stream_lines(spark, str(source), 1), ["10.0.0.1"], "60 days")
+    live.start_flows(lines, root, once=True, ctx=ctx, as_of="2024-01-01").awaitTermination()
+    kept = T.read_table(spark, root, "connections").select("dst_ip", "total_packets").collect()
+    assert sorted(map(tuple, kept)) == sorted(
+        map(tuple, live.current_flows(spark, root).select("dst_ip", "total_packets").collect())
+    )
+    logged = [(r.dst_ip, r.tag) for r in spark.read.parquet(f"{root}/behaviour_alerts").collect()]
+    assert len(logged) == len(set(logged)) and {t for _, t in logged} >= {"new_dest"}
+    assert {d for d, _ in logged} == {"203.0.113.9", "203.0.113.20", "203.0.113.21"}
