@@ -363,7 +363,7 @@ def windows(text: str, spans: list[tuple[int, int]]) -> Iterator[tuple[list[str]
         a, at = at + (len(t) - len(t.lstrip()) if t.strip() else 0), at + len(t)
         while k < len(spans) and spans[k][1] <= a:
             k += 1
-        inside = a < at and any(s <= a and at <= e for s, e in spans[k:k + 3])
+        inside = a < at and any(s < at and a < e for s, e in spans[k:k + 3])
         tags.append(OUT if not inside else IN if tags and tags[-1] != OUT else BEGIN)
     edge, whole, first = [""] * 4, text_features(text), 0
     around = edge + tokens + edge
@@ -472,11 +472,11 @@ def learn(docs: DataFrame, sample: int = SAMPLE, chunks: int = CHUNKS) -> Field:
 
 
 def spans_of(text: str, found: list[tuple[int, int]]) -> tuple[list, list]:
-    """Spans of the patterns, and all spans: start, kind, end; those the field ``found`` are added where
-    no pattern found anything."""
+    """Spans of the patterns, and all spans: start, kind, end; those the field ``found`` are added unless
+    a pattern's span holds them whole."""
     base = [(s, k, e) for s, k, e, _ in base_spans(text)]
     more = [
-        (s, 3, e) for s, e in found if not any(a < e and s < b for a, _, b in base)
+        (s, 3, e) for s, e in found if not any(a <= s and e <= b for a, _, b in base)
     ]
     return base, sorted(base + more)
 

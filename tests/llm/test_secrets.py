@@ -103,3 +103,11 @@ def test_windows_decode_as_one_chain():
             ends = np.cumsum([len(t) for t in tokens])
             covered = [(int(e) - len(t.lstrip()), int(e)) for t, e, tag in zip(tokens, ends, tags, strict=True) if tag and len(t.strip()) >= 8]
             assert all(any(a <= s and e <= b for a, b in found) for s, e in covered)
+
+
+def test_longer_span_of_the_field_stays():
+    text = "password=Abcd1234!xyz9 end"
+    base, every = secrets.spans_of(text, [(9, 22), (9, 17)])
+    assert base == [(0, 0, 17)] and every == [(0, 0, 17), (9, 3, 22)]
+    (around, _, tags), = secrets.windows("see Abcd1234xyz end", [(4, 12)])
+    assert around[4:7] == ["see", " Abcd1234xyz", " end"] and tags == [0, 1, 0]
