@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import functions as F
 
-from netloom.llm import jaccard, mixing, near_vectors, nearest, packing, secrets, suffixes, toxicity, url_filter, warc
+from netloom.llm import chat, jaccard, lexical, mixing, near_vectors, nearest, packing, runs, secrets, suffixes, toxicity, url_filter, warc
 from netloom.llm.registry import ORACLES, QUERIES, query
 from netloom.llm.store import table
 
@@ -157,3 +156,160 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     """What is left of each document without strings of 100 bytes that occur before."""
     cleaned = suffixes.remove_repeats(table(spark, folder, "documents"), with_text=False)
     return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """Documents of which every tenth by the checksum of its id repeats its tail: word i >= a is word
+    a + (i - a) % p of the text."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    chosen = docs.select("doc_id", "text", g.alias("g"), (h % 10 == 0).alias("chosen"))
+    chosen = chosen.withColumn("words", F.when(F.col("chosen"), words)).withColumn("n", F.size("words"))
+    chosen = chosen.withColumn("a", F.when(F.col("n") > 0, (F.col("g") % F.col("n")).cast("int")))
+    chosen = chosen.withColumn("p", F.lit(1) + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)).cast("int"))
+    text = F.expr(
+        "array_join(transform(words, (w, i) -> if(i < a, w, get(words, a + (i - a) % p))), ' ')"
+    )
+    return chosen.select("doc_id", F.when(F.col("n") > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+RUNS_SQL = """
+WITH bytes AS (
+  SELECT DISTINCT doc_id, list_reduce(list_concat([4294967295::BIGINT], list_transform(
+    string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)), lambda s, b:
+    list_reduce(list_concat([xor(s, b)], range(8)), lambda v, k: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END))) AS s
+  FROM documents),
+given AS (
+  SELECT d.doc_id, row_number() OVER () AS doc, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+    xor(s, 4294967295) AS h FROM documents d JOIN bytes b ON d.doc_id IS NOT DISTINCT FROM b.doc_id),
+cut AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM given),
+texts AS (
+  SELECT doc_id, doc, n, CASE WHEN a IS NULL THEN w ELSE
+    list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END]) END AS w
+  FROM cut),
+words AS (SELECT doc, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM texts),
+same AS (SELECT x.doc, x.i, y.i - x.i AS q FROM words x JOIN words y ON x.doc = y.doc AND x.word = y.word AND x.i < y.i),
+stretch AS (SELECT doc, q, i - row_number() OVER (PARTITION BY doc, q ORDER BY i) AS island, i FROM same),
+long AS (
+  SELECT doc, q, min(i) AS s, count(*) + q AS length FROM stretch GROUP BY doc, q, island
+  HAVING count(*) + q >= greatest(12, 2 * q)),
+runs AS (SELECT doc, s, length, min(q) AS q FROM long GROUP BY doc, s, length),
+per AS (
+  SELECT doc, count(*) AS n_runs, arg_min(s, (-length, s, q)) AS start, max(length) AS length,
+    arg_min(q, (-length, s, q)) AS period, string_agg(s || ',' || length || ',' || q || chr(10), '' ORDER BY s, q) AS listed
+  FROM runs GROUP BY doc),
+gone AS (SELECT DISTINCT doc, unnest(range(s + q, s + length)) AS i FROM runs),
+kept AS (
+  SELECT doc, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (doc, i) GROUP BY doc)
+SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+  sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM texts t LEFT JOIN per USING (doc) LEFT JOIN kept USING (doc)
+"""
+
+
+@query("op13_periodic_runs", RUNS_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of repeated words in every document, a tenth of which repeats its tail, and what is left without them."""
+    found = runs.runs(planted(table(spark, folder, "documents")), least=12)
+    best = F.expr("get(array_sort(transform(runs, r -> struct(-r.length as l, r.start as s, r.period as p))), 0)")
+    listed = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), F.col("best.s").alias("start"), (-F.col("best.l")).alias("length"),
+        F.col("best.p").alias("period"), F.expr("-1000 * best.l div best.p").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+SEARCH_SQL = """
+WITH tokens AS (
+  SELECT doc, doc_id, unnest(regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+  FROM (SELECT doc_id, row_number() OVER () AS doc, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+    FROM documents)),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+lengths AS (SELECT doc, doc_id, count(*) AS n FROM tokens GROUP BY ALL),
+total AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS words FROM lengths),
+counts AS (SELECT doc, term, count(*) AS tf FROM tokens WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)::DOUBLE))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM counts GROUP BY term), total),
+scores AS (
+  SELECT item_id, doc, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // words))))::BIGINT AS score
+  FROM asked JOIN counts USING (term) JOIN weights USING (term) JOIN lengths USING (doc), total GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
+@query("op11_ranked_search", SEARCH_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=10)
+
+
+def conversations(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations, and one whose texts look like the markers of a format."""
+    odd = spark.range(2).select(
+        F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(r"\### Assistant: </turn> ok").alias("text"),
+    )
+    rows = table(spark, folder, "conversations").select(
+        F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), "role", "text")
+    return rows.unionByName(odd)
+
+
+CHAT_SQL = r"""
+WITH RECURSIVE given AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL
+  SELECT -7, i, CASE WHEN i = 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) r(i)),
+turns AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role <> 'system', role, text) AS i,
+    coalesce(turn // 256, -1) AS block,
+    4 + len(regexp_extract_all(role, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]'))
+      + len(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]')) AS tokens,
+    14 + length(role) + length(replace(role, '\', '\\')) - length(role) + length(replace(role, '#', '##')) - length(role)
+      + length(replace(role, ': ', ':: ')) - length(role) + length(replace(role, '</turn>', '</turn>#')) - length(role)
+      + length(replace(text, '\', '\\')) + length(replace(text, '#', '##')) - length(text)
+      + length(replace(text, '</turn>', '</turn>#')) - length(text) AS chars
+  FROM given),
+marked AS (SELECT *, i = 1 AND role = 'system' AS sys FROM turns),
+summed AS (
+  SELECT *, CASE WHEN sys THEN 0 ELSE tokens END AS t,
+    coalesce(sum(CASE WHEN sys THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS p,
+    coalesce(max(CASE WHEN sys THEN tokens END) OVER (PARTITION BY conv_id), 0) AS s_tokens,
+    coalesce(max(CASE WHEN sys THEN chars END) OVER (PARTITION BY conv_id), 0) AS s_chars
+  FROM marked),
+walk(conv_id, i, block, base, begins) AS (
+  SELECT conv_id, i, block, p, TRUE FROM summed WHERE i = 1
+  UNION ALL
+  SELECT s.conv_id, s.i, s.block,
+    CASE WHEN s.block <> w.block OR (s.p + s.t - w.base > 1024 - 128 - s.s_tokens AND s.p > w.base) THEN s.p ELSE w.base END,
+    s.block <> w.block OR (s.p + s.t - w.base > 1024 - 128 - s.s_tokens AND s.p > w.base)
+  FROM walk w JOIN summed s ON s.conv_id = w.conv_id AND s.i = w.i + 1),
+again AS (
+  SELECT w.conv_id, sum((SELECT coalesce(sum(h.chars), 0) FROM summed h
+    WHERE h.conv_id = w.conv_id AND h.i < w.i AND NOT h.sys AND w.base - h.p <= 128)
+    + CASE WHEN w.i > 1 THEN s_chars ELSE 0 END) AS chars
+  FROM walk w JOIN summed s ON s.conv_id = w.conv_id AND s.i = w.i WHERE begins GROUP BY w.conv_id)
+SELECT s.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (sum(s.chars) + any_value(a.chars))::BIGINT AS formatted_chars
+FROM summed s JOIN again a ON a.conv_id = s.conv_id GROUP BY s.conv_id
+"""
+
+
+@query("op12_chat_windows", CHAT_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of every conversation, read back from its windows of 1,024 tokens."""
+    back = chat.read_back(chat.windows(conversations(spark, folder), budget=1024, history=128))
+    listed = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(listed.cast("binary"), 256).alias("turns_sha256"),
+        F.char_length("loss").cast("bigint").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        F.col("n_chars").alias("formatted_chars"),
+    )
