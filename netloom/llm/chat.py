@@ -24,6 +24,7 @@ BLOCK = 256
 MARKERS = 4
 #: What counts as a token: letters, digits and characters beyond ASCII together, other marks one by one.
 TOKEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]"
+KEY = ["conv", "lost", "block"]
 ORDER = ["turn", "late", "role", "body"]
 
 
@@ -43,8 +44,10 @@ def tokens(text: Column) -> Column:
 def _turns(rows: DataFrame) -> DataFrame:
     role = F.coalesce(column_or_null(rows, "role", "string"), F.lit(""))
     text = F.coalesce(column_or_null(rows, "text", "string"), F.lit(""))
+    conv = column_or_null(rows, "conv_id", "bigint")
     turns = rows.select(
-        column_or_null(rows, "conv_id", "bigint").alias("conv_id"), column_or_null(rows, "turn", "bigint").alias("turn"),
+        # two columns without nulls, so that joins, windows and groups share one way of dealing rows out
+        F.coalesce(conv, F.lit(0)).alias("conv"), conv.isNull().alias("lost"), column_or_null(rows, "turn", "bigint").alias("turn"),
         (role != "system").alias("late"), role.alias("role"), escape(text).alias("body"),
         (tokens(role) + tokens(text) + MARKERS).alias("t"),
     )
@@ -55,7 +58,7 @@ def _turns(rows: DataFrame) -> DataFrame:
 def _placed(joined: DataFrame) -> DataFrame:
     """Turns with their number in the block and the tokens before them."""
     is_system = F.coalesce(~F.col("late") & F.col("turn").eqNullSafe(F.col("lead")) & (F.col("body") == F.col("s_body")), F.lit(False))
-    in_block = Window.partitionBy("conv_id", "block").orderBy(*ORDER)
+    in_block = Window.partitionBy(*KEY).orderBy(*ORDER)
     placed = joined.withColumn("first", F.row_number().over(in_block)).withColumn("sys", is_system & (F.col("first") == 1))
     placed = placed.withColumn("t", F.when(F.col("sys"), 0).otherwise(F.col("t")))
     before = F.coalesce(F.sum("t").over(in_block.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -83,17 +86,16 @@ def windows(rows: DataFrame, budget: int = 1024, history: int = 128) -> DataFram
     it then stands alone with them. An empty table has no windows. Other columns play no part.
     """
     turns = _turns(rows)
-    key = ["conv_id", "block"]
-    blocks = turns.groupBy(*key).agg(F.sum("t").alias("all"), F.min("turn").alias("first"), F.count_if(F.col("turn").isNull()).alias("nulls"))
-    ahead = Window.partitionBy("conv_id").orderBy("block")
-    whole = Window.partitionBy("conv_id")
-    system = turns.where("not late").groupBy("conv_id", "turn").agg(
+    blocks = turns.groupBy(*KEY).agg(F.sum("t").alias("all"), F.min("turn").alias("first"), F.count_if(F.col("turn").isNull()).alias("nulls"))
+    ahead = Window.partitionBy("conv", "lost").orderBy("block")
+    whole = Window.partitionBy("conv", "lost")
+    system = turns.where("not late").groupBy("conv", "lost", F.col("turn").alias("lead")).agg(
         F.min("body").alias("s_body"), F.min_by("head", "body").alias("s_head"), F.min_by("t", "body").alias("s_t"))
     blocks = blocks.withColumn("lead", F.when(F.max("nulls").over(whole) == 0, F.min("first").over(whole)))
     blocks = blocks.join(
-        system.withColumnsRenamed({"conv_id": "c", "turn": "lead_turn"}),
-        F.col("conv_id").eqNullSafe(F.col("c")) & F.col("lead").eqNullSafe(F.col("lead_turn")), "left",
-    ).drop("c", "lead_turn")
+        system.withColumnsRenamed({"conv": "c", "lost": "l", "lead": "at"}),
+        (F.col("conv") == F.col("c")) & (F.col("lost") == F.col("l")) & F.col("lead").eqNullSafe(F.col("at")), "left",
+    ).drop("c", "l", "at")
     # the system turn is left out of the sums: it lies in the first block, and costs its tokens in each window
     blocks = blocks.withColumn("s_t", F.coalesce("s_t", F.lit(0)))
     own_sum = F.col("all") - F.when(F.row_number().over(ahead) == 1, F.col("s_t")).otherwise(0)
@@ -102,23 +104,23 @@ def windows(rows: DataFrame, budget: int = 1024, history: int = 128) -> DataFram
     # later blocks near enough to repeat turns of this one; each block has MARKERS tokens at least
     near = F.collect_list(F.struct("block", "p0")).over(ahead.rowsBetween(1, history // MARKERS + 1))
     blocks = blocks.withColumn("near", F.filter(near, lambda x: x["p0"] - F.col("p0") - F.col("own_sum") < history))
-    info = written(blocks.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), "lead", "s_head", "s_body", "s_t", "p0", "near"), "blocks")
-    joined = turns.join(info, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b"))).drop("c", "b")
+    info = written(blocks.select(*KEY, "lead", "s_head", "s_body", "s_t", "p0", "near"), "blocks")
+    joined = turns.join(info, KEY)
     placed, split = _placed(joined), _placed(joined.where("size(near) > 0"))  # the second: long conversations alone
 
     turn = F.struct(F.col("first").alias("i"), "p", "t", "sys", "head", "body", (F.col("role") == "assistant").alias("told"))
-    own = placed.groupBy(*key).agg(
+    own = placed.groupBy(*KEY).agg(
         F.array_sort(F.collect_list(turn)).alias("own"), *[F.first(c).alias(c) for c in ("s_head", "s_body", "s_t")]
     )
     tail = split.where("not sys").select(
-        "conv_id", F.explode("near").alias("to"), F.struct("p", "first", "t", "head", "body").alias("x")
+        "conv", "lost", F.explode("near").alias("to"), F.struct("p", "first", "t", "head", "body").alias("x")
     ).where(F.col("to.p0") - F.col("x.p") <= history)
-    tail = tail.groupBy(F.col("conv_id").alias("c"), F.col("to.block").alias("b")).agg(F.array_sort(F.collect_list("x")).alias("tail"))
-    both = own.join(tail, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b")), "left").drop("c", "b")
+    tail = tail.groupBy("conv", "lost", F.col("to.block").alias("block")).agg(F.array_sort(F.collect_list("x")).alias("tail"))
+    both = own.join(tail, KEY, "left")
 
     cut = both.withColumn("cuts", F.expr(_fold(f"({budget} - {history} - s_t)")))
     each = cut.select(
-        *key, "own", "tail", "s_head", "s_body", "s_t", "cuts", F.posexplode("cuts").alias("k", "from"),
+        *KEY, "own", "tail", "s_head", "s_body", "s_t", "cuts", F.posexplode("cuts").alias("k", "from"),
     ).withColumn("to", F.expr("coalesce(get(cuts, k + 1), size(own) + 1)"))
     each = each.withColumn("fresh", F.expr("slice(own, `from`, `to` - `from`)")).withColumn("base", F.expr("fresh[0].p"))
     item = "named_struct('p', x.p, 'first', 0, 't', x.t, 'head', x.head, 'body', x.body)"
@@ -137,7 +139,7 @@ def windows(rows: DataFrame, budget: int = 1024, history: int = 128) -> DataFram
         s -> s.spans)""")
     total = "aggregate({0}, 0L, (s, x) -> s + x.t)"
     return each.select(
-        *key, F.col("base").alias("start_token"), F.expr("size(old) + if(retained, 1, 0)").alias("n_context"),
+        F.when(~F.col("lost"), F.col("conv")).alias("conv_id"), "block", F.col("base").alias("start_token"), F.expr("size(old) + if(retained, 1, 0)").alias("n_context"),
         F.expr("size(old) + if(retained, 1, 0) + size(fresh)").alias("n_turns"),
         (F.col("s_t") + F.expr(total.format("old")) + F.expr(total.format("fresh"))).alias("n_tokens"),
         F.concat("context", F.expr(f"array_join(transform(fresh, x -> {markers}), '')")).alias("text"), loss.alias("loss"),
