@@ -2,9 +2,10 @@
 
 Distinct shingle sets are partitioned into groups by size and smallest hash, so that similar
 sets mostly share a group; a group is cut into blocks of bounded size. A block is stored as
-the union of its members' shingles and a matrix of which member has which. A set is held
-against a block's union first: a member can only be similar if enough of the set lies in the
-union. Only blocks that qualify are opened and their members compared exactly.
+the union of its members' shingles and a matrix of which member has which, and a sketch of each member. Before
+anything travels, a set is held against the sketches of the block it asks; what they cannot rule out is
+held against the block's union: a member can only be similar if enough of the set lies in it. Only
+blocks that qualify are opened and their members compared exactly.
 
 Which groups are looked at at all follows from signatures. Two sets of a size class that are
 similar differ in at most H shingles; with the shingles dealt into more than H parts by hash,
@@ -198,21 +199,56 @@ def _shared(bits: int):
     return join
 
 
-def _tokenizer(width: int):
+def _tokenizer(width: int, percent: int):
+    """Shingles of the texts that are the set of their home; an id can have other texts besides."""
+
     def read(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        levels = Levels(percent)
         for batch in batches:
             for at, to, data, offsets in texts_of(batch.column("text")):
                 h, bounds = sets(data, offsets, width)
+                m = measures(h, bounds, levels)
+                homes = [batch.column(c).slice(at, to - at).to_numpy() for c in ("b", "node", "set1", "set2")]
+                own = (m["set1"].view(np.int64) == homes[2]) & (m["set2"].view(np.int64) == homes[3]) & (m["n"] > 0)
+                keep = np.zeros(to - at, bool)  # repeated rows once
+                keep[np.unique(np.stack(homes), axis=1, return_index=True)[1]] = True
+                if not own.all():
+                    first = np.flatnonzero(own)
+                    keep[:] = False
+                    keep[first[np.unique(np.stack([x[first] for x in homes]), axis=1, return_index=True)[1]]] = True
                 tokens = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array((h >> U(1)).astype(np.int64)))  # 63 bits stay in order
+                pick = pa.array(np.flatnonzero(keep & own))
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(at, to - at) for c in ("b", "node", "alone")), tokens],
+                    [*(batch.column(c).slice(at, to - at).take(pick) for c in ("b", "node", "alone")), tokens.take(pick)],
                     names=["b", "node", "alone", "tokens"])
 
     return read
 
 
+#: 64-bit words of a set's sketch, and shingles of one row or frame that asks.
+WORDS, FRAME = 8, 250_000
+
+
+def sketches(union: np.ndarray, places: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A parity sketch of each set of a block: each shingle turns one bit, so two sketches differ in no more
+    bits than their sets do in shingles."""
+    spot = mix(np.asarray(union).view(np.uint64), 29)[places]
+    word, bit = spot >> U(61), U(1) << ((spot >> U(32)) & U(63))
+    starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+    return np.stack([np.bitwise_xor.reduceat(np.where(word == U(w), bit, U(0)), starts) for w in range(WORDS)], axis=1)
+
+
+def could_link(mine: np.ndarray, n: int, told: np.ndarray, sizes: np.ndarray, percent: int) -> bool:
+    """May a set of ``n`` shingles be similar to any of the sets with these sketches and sizes?"""
+    fits = (100 * n >= percent * sizes) & (100 * sizes >= percent * n)
+    if not fits.any():
+        return False
+    apart = np.bitwise_count(told[fits] ^ mine).sum(1, dtype=np.int64)
+    return bool((apart * (100 + percent) <= (n + sizes[fits]) * (100 - percent)).any())
+
+
 def _blocks(rows: pd.DataFrame) -> pd.DataFrame:
     """A block as one row: the union of its members' shingles, ascending, and for each member the
     places of its own in the union."""
@@ -221,11 +257,17 @@ def _blocks(rows: pd.DataFrame) -> pd.DataFrame:
     sizes = rows["tokens"].map(len).to_numpy()
     return pd.DataFrame({
         "b": [rows["b"].iloc[0]], "union": [union], "nodes": [rows["node"].to_numpy()], "sizes": [sizes],
-        "places": [places.astype(np.int32)], "smallest": [sizes.min()], "largest": [sizes.max()],
+        "places": [places.astype(np.int32)],
     })
 
 
-BLOCKS = "b bigint, union array<bigint>, nodes array<bigint>, sizes array<bigint>, places array<int>, smallest bigint, largest bigint"
+BLOCKS = "b bigint, union array<bigint>, nodes array<bigint>, sizes array<bigint>, places array<int>"
+
+
+def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        made = [sketches(r.union, r.places, r.sizes).tobytes() for r in batch.itertuples(index=False)]
+        yield batch[["b", "sizes"]].assign(sketch=made)
 
 
 def linked(asks: tuple, told: tuple, percent: int) -> list[tuple[int, int]]:
@@ -271,46 +313,62 @@ def _within(percent: int):
     return run
 
 
-def _ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The sets of a block that ask another one: all, or those in ``only``."""
-    for batch in batches:
-        rows = []
-        for row in batch.itertuples(index=False):
-            only = None if row.only is None else set(row.only)
-            ends = np.cumsum(row.sizes)
-            for node, end, size in zip(row.nodes.tolist(), ends.tolist(), row.sizes.tolist(), strict=True):
-                if only is None or node in only:
-                    rows.append((row.b, int(mix(np.array([node], np.int64).view(np.uint64))[0] % U(row.parts)), node, row.union[row.places[end - size:end]]))
-        yield pd.DataFrame(rows, columns=["b", "part", "node", "tokens"])
+def _ask(percent: int):
+    """What a block asks another one, in few rows: those of its sets (all, or those in ``only``) whose sketches
+    do not rule out every set of the other. Rows and frames are of bounded size."""
+
+    def frame(rows: list) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["b", "part", "nodes", "sizes", "tokens"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows, held = [], 0
+            for row in batch.itertuples(index=False):
+                own = sketches(row.union, row.places, row.sizes)
+                told = np.frombuffer(row.t_sketch, np.uint64).reshape(-1, WORDS)
+                ends = np.cumsum(row.sizes)
+                pick = np.arange(len(row.nodes)) if row.only is None else np.flatnonzero(np.isin(row.nodes, row.only))
+                pick = [k for k in pick.tolist() if could_link(own[k], int(row.sizes[k]), told, row.t_sizes, percent)]
+                while pick:
+                    now = max(1, int(np.searchsorted(np.cumsum(row.sizes[pick]), FRAME, "right")))
+                    now, pick = pick[:now], pick[now:]
+                    tokens = np.concatenate([row.union[row.places[ends[k] - row.sizes[k]:ends[k]]] for k in now])
+                    mark = np.array([row.qb ^ now[0]], np.int64).view(np.uint64)
+                    rows.append((row.b, int(mix(mark)[0] % U(row.parts)), row.nodes[now], row.sizes[now], tokens))
+                    held += len(tokens)
+                    if held >= FRAME:
+                        yield frame(rows)
+                        rows, held = [], 0
+            yield frame(rows)
+
+    return run
 
 
 def _open(percent: int):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         pairs = []
         if len(left) and len(right):
-            sizes = left["tokens"].map(len).to_numpy()
-            tokens = np.concatenate(list(left["tokens"]))
             told = right.iloc[0]
-            pairs = linked(
-                (tokens, left["node"].to_numpy(), sizes, np.arange(len(tokens))),
-                (told["union"], told["nodes"], told["sizes"], told["places"]), percent,
-            )
+            told = (told["union"], told["nodes"], told["sizes"], told["places"])
+            for row in left.itertuples(index=False):
+                pairs += linked((row.tokens, row.nodes, row.sizes, np.arange(len(row.tokens))), told, percent)
         return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
 
     return run
 
 
-def _across(jobs: DataFrame, matrix: DataFrame, percent: int) -> DataFrame:
+def _across(jobs: DataFrame, matrix: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     """Links of the sets of block ``qb`` (those in ``only`` unless it is null) with the members of block
     ``b``. A block that is asked travels once for each ``BLOCK_SETS`` sets that ask."""
     jobs = written(jobs, "jobs")
     parts = jobs.groupBy("b").agg(F.ceil(F.sum("asks") / BLOCK_SETS).cast("bigint").alias("parts"))
     asking = matrix.select(F.col("b").alias("qb"), "union", "nodes", "sizes", "places")
-    asks = jobs.select("qb", "b", "only").join(parts, "b").join(asking, "qb").mapInPandas(
-        _ask, "b bigint, part bigint, node bigint, tokens array<bigint>"
+    seen = marks.select("b", F.col("sizes").alias("t_sizes"), F.col("sketch").alias("t_sketch"))
+    asks = jobs.select("qb", "b", "only").join(parts, "b").join(seen, "b").join(asking, "qb").mapInPandas(
+        _ask(percent), "b bigint, part bigint, nodes array<bigint>, sizes array<bigint>, tokens array<bigint>"
     )
-    told = parts.join(matrix, "b").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
-    told = told.select("b", "part", "union", "nodes", "sizes", "places")
+    asks = written(asks, "asks")
+    told = asks.select("b", "part").distinct().join(matrix, "b").select("b", "part", "union", "nodes", "sizes", "places")
     told, asks = told.toDF(*told.columns), asks.toDF(*asks.columns)
     out = asks.groupBy("b", "part").cogroup(told.groupBy("b", "part")).applyInPandas(_open(percent), "a bigint, b bigint")
     return written(out, "jaccard-links")
@@ -352,22 +410,23 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     live = shared.select("g").unionAll(groups.where("sets > 1").select("g")).distinct()
     live = written(groups.join(live, "g", "left_semi"), "groups")
     placed = nodes.join(live.select("g", "cut"), "g").select(
-        "node", "g", "n", *SKETCH, F.xxhash64("g", F.pmod(F.xxhash64("set1", "set2"), "cut")).alias("b")
+        "node", "set1", "set2", "g", "n", *SKETCH, F.xxhash64("g", F.pmod(F.xxhash64("set1", "set2"), "cut")).alias("b")
     )
     placed = written(placed, "placed")
     blocks = written(placed.groupBy("g", "b").count(), "blocks")
     text_of = among(texts.where("doc_id is not null").withColumnRenamed("doc_id", "node"), "node", placed)
-    homes = placed.join(blocks.select("b", "count"), "b").select("b", "node", (F.col("count") == 1).alias("alone")).distinct()
-    read = homes.join(text_of, "node").select("b", "node", "alone", "text")
-    read = read.mapInArrow(_tokenizer(words), "b bigint, node bigint, alone boolean, tokens array<bigint>")
-    members = written(read.where("size(tokens) > 0"), "members")
+    homes = placed.join(blocks.select("b", "count"), "b").select("b", "node", "set1", "set2", (F.col("count") == 1).alias("alone"))
+    read = homes.join(text_of, "node").select("b", "node", "set1", "set2", "alone", "text")
+    read = read.mapInArrow(_tokenizer(words, percent), "b bigint, node bigint, alone boolean, tokens array<bigint>")
+    members = written(read, "members")
     n = F.size("tokens").cast("bigint")
     alone = members.where("alone").select(
         "b", F.col("tokens").alias("union"), F.array("node").alias("nodes"), F.array(n).alias("sizes"),
-        F.sequence(F.lit(0), F.size("tokens") - 1).alias("places"), n.alias("smallest"), n.alias("largest"),
+        F.sequence(F.lit(0), F.size("tokens") - 1).alias("places"),
     )
     built = members.where("not alone").drop("alone").groupBy("b").applyInPandas(_blocks, BLOCKS)
     matrix = written(alone.unionByName(built), "matrix")
+    marks = written(matrix.mapInPandas(_sketched, "b bigint, sizes array<bigint>, sketch binary"), "marks")
 
     # within each block, then every block with the largest one of the leading group
     inside = matrix.where(F.size("nodes") > 1).mapInPandas(_within(percent), "a bigint, b bigint")
@@ -394,7 +453,7 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     ).where(
         f"asks > 1 or tasks > 1 or ({turned}) * {100 + percent} <= (high + thigh) * {100 - percent}"
     ).select("qb", "b", "asks")
-    across = _across(first.withColumn("only", F.lit(None).cast("array<bigint>")), matrix, percent)
+    across = _across(first.withColumn("only", F.lit(None).cast("array<bigint>")), matrix, marks, percent)
 
     # sets that are still apart from the leading block's largest component meet all blocks of the key
     so_far = components(within.unionAll(across))
@@ -422,7 +481,7 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         f"sets > 1 or ({bits}) * {100 + percent} <= (n + high) * {100 - percent}"
     )
     far = far.groupBy("qb", "b").agg(F.collect_set("node").alias("only"))
-    rest = _across(far.withColumn("asks", F.size("only").cast("bigint")), matrix, percent)
+    rest = _across(far.withColumn("asks", F.size("only").cast("bigint")), matrix, marks, percent)
 
     copies = some.join(nodes.select("set1", "set2", "n", "node"), ["set1", "set2", "n"]).where("doc_id != node")
     found = components(within.unionAll(across).unionAll(rest).unionAll(

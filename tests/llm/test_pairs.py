@@ -66,6 +66,40 @@ def test_similar_equals_all_pairs(spark, words, percent, monkeypatch):
     assert jaccard.similar(docs.limit(0), words, percent).count() == 0
 
 
+def test_similar_ids_with_several_texts(spark, monkeypatch):
+    """An id stands for all its texts: links of each of them count, in whatever block they lie."""
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 4)
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(60):
+        for side in (0, 1):
+            words = [f"w{x}" for x in rng.integers(0, 500, 60)]
+            rows.append((10 * i, " ".join(words)))
+            rows += [(10 * i + 1 + 2 * j + side, " ".join(edited(rng, words, 1))) for j in range(2)]
+    rows += [rows[0], rows[7], (10, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    sets = [shingle_set(t, 3) for _, t in rows]
+    links = [(rows[i][0], rows[j][0]) for i in range(len(rows)) for j in range(i) if 10 * len(sets[i] & sets[j]) >= 9 * len(sets[i] | sets[j])]
+    want = roots(1000, links)
+    got = jaccard.similar(docs, 3, 90).collect()
+    assert len(got) == len(rows) and len({r.component_id for r in got}) == 59
+    assert all(r.component_id == want[r.doc_id] for r in got)
+
+
+def test_sketches_never_rule_out_similar_sets():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        n = int(rng.integers(1, 200))
+        common = rng.integers(0, 2**63, n)
+        extra = rng.integers(0, 2**63, n * 100 // 80 - n)
+        cut = int(rng.integers(0, len(extra) + 1))
+        union = np.concatenate([common, extra])
+        places = np.concatenate([np.arange(n + cut), np.arange(n), np.arange(n + cut, len(union))])
+        sizes = np.array([n + cut, len(union) - cut])
+        both = jaccard.sketches(union, places, sizes)
+        assert jaccard.could_link(both[0], int(sizes[0]), both[1:], sizes[1:], 80)
+
+
 def test_similar_pairs_share_a_signature():
     """Any two sets whose similarity just suffices have a signature in common."""
     rng = np.random.default_rng(9)
