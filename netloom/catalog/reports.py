@@ -132,11 +132,11 @@ def f15(s):
     return A.threat_summary(s.alerts)
 
 
-@query("f16_reputation_lookup", with_views("reputation", "SELECT ip, abuse_score, country, isp, is_malicious, last_checked FROM reputation WHERE ip = '203.0.113.3'"))
+@query("f16_reputation_lookup", with_views("reputation", "SELECT ip, abuse_score, country, isp, is_malicious, last_checked FROM reputation WHERE ip = '104.16.2.1'"))
 def f16(s):
     from netloom.operators.reputation import lookup_reputation
 
-    return lookup_reputation(s.reputation, "203.0.113.3")
+    return lookup_reputation(s.reputation, "104.16.2.1")
 
 
 @query("f17_hourly_series", with_views("packets alerts", """

@@ -1,9 +1,10 @@
 """Running aggregates over ordered groups, safe for very large groups.
 
-``Plain`` is a window. ``Chunked`` serves groups too large for one task: rows
-are cut into ranges of the order column, each range runs its own window, and
-what earlier ranges contribute comes from a small table of range totals. Both
-give the same columns, so an operator is written once against ``run``.
+``Plain`` is a window. ``Ranged`` is a segmented scan: rows of a group are cut into ranges of the order
+column, each range runs its own window, and its last row, which then holds the range's total, meets the
+last rows of the other ranges in a window of their own, one row a range. What that finds for the ranges
+before goes back to the range's rows. No task holds more of a group than one range, or one row for each
+of its ranges. Both give the same columns, so an operator is written once against ``run``.
 """
 
 from __future__ import annotations
@@ -12,8 +13,6 @@ import dataclasses as dc
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from netloom.session import durable
-
 _MERGE = {"max": F.max, "min": F.min, "sum": F.sum}
 
 
@@ -26,25 +25,29 @@ class Running:
     inclusive: bool = False
 
 
+def _joined(kind: str, own: str, earlier: str) -> str:
+    """Two partial results in one; a missing one adds nothing."""
+    if kind == "sum":
+        return f"if({own} is null and {earlier} is null, null, coalesce({own}, 0) + coalesce({earlier}, 0))"
+    return f"{'greatest' if kind == 'max' else 'least'}({own}, {earlier})"
+
+
 class Plain:
     def __init__(self, keys: list[str], order: str):
         self.keys, self.order = keys, order
 
-    def _window(self, keys: list[str], order: str):
-        return W.partitionBy(*keys).orderBy(order)
-
-    def _columns(self, specs: dict[str, Running], window) -> dict[str, Column]:
-        upto = {True: 0, False: -1}
+    def _columns(self, specs: dict[str, Running], keys: list[str]) -> dict[str, Column]:
+        window = W.partitionBy(*keys).orderBy(self.order)
         return {
-            name: _MERGE[s.kind](s.value).over(window.rowsBetween(W.unboundedPreceding, upto[s.inclusive]))
+            name: _MERGE[s.kind](s.value).over(window.rowsBetween(W.unboundedPreceding, 0 if s.inclusive else -1))
             for name, s in specs.items()
         }
 
     def run(self, df: DataFrame, specs: dict[str, Running]) -> DataFrame:
-        return df.withColumns(self._columns(specs, self._window(self.keys, self.order)))
+        return df.withColumns(self._columns(specs, self.keys))
 
 
-class Chunked(Plain):
+class Ranged(Plain):
     """Ranges of ``width`` consecutive values of an integer order column that is
     unique within a group, so a range never holds more than ``width`` rows."""
 
@@ -53,52 +56,31 @@ class Chunked(Plain):
         self.width = width
 
     def run(self, df: DataFrame, specs: dict[str, Running]) -> DataFrame:
-        # the input is read twice below; each level builds on the one before
-        base = durable(df.withColumn("_range", F.floor(F.col(self.order) / self.width)))
-        ranged = [*self.keys, "_range"]
-        totals = base.groupBy(*ranged).agg(
-            *[_MERGE[s.kind](s.value).alias(f"_t_{name}") for name, s in specs.items()]
-        )
-        before = self._window(self.keys, "_range").rowsBetween(W.unboundedPreceding, -1)
-        carried = totals.select(
-            *ranged,
-            *[_MERGE[s.kind](f"_t_{name}").over(before).alias(f"_c_{name}") for name, s in specs.items()],
+        spot = F.floor(F.col(self.order) / self.width)
+        rows = df.withColumns({"_range": spot, **{f"_v_{name}": s.value for name, s in specs.items()}})
+        keys = ", ".join(self.keys)
+        inside = f"over (partition by {keys}, _range order by {self.order}"
+        upto = {True: "rows between unbounded preceding and current row)", False: "rows between unbounded preceding and 1 preceding)"}
+        # as text: these steps are many, and each column object is a round trip to the JVM
+        rows = rows.selectExpr(
+            "*", *[f"{s.kind}(_v_{name}) {inside} {upto[s.inclusive]} as {name}" for name, s in specs.items()],
+            f"lead(1) {inside}) is null as _last",
         )
-        local = base.withColumns(self._columns(specs, self._window(ranged, self.order)))
-        joined = local.join(carried, ranged, "left")
-        merged = {}
-        for name, spec in specs.items():
-            own, earlier = F.col(name), F.col(f"_c_{name}")
-            if spec.kind == "sum":
-                merged[name] = F.when(
-                    own.isNotNull() | earlier.isNotNull(),
-                    F.coalesce(own, F.lit(0)) + F.coalesce(earlier, F.lit(0)),
-                )
-            elif spec.kind == "max":
-                merged[name] = F.greatest(own, earlier)
-            else:
-                merged[name] = F.least(own, earlier)
-        return joined.withColumns(merged).select(*df.columns, *specs)
+        # last rows of a group's ranges share a partition, all others stay with their range
+        before = f"over (partition by {keys}, if(_last, null, _range) order by _range {upto[False]}"
+        total = {name: name if s.inclusive else _joined(s.kind, name, f"_v_{name}") for name, s in specs.items()}
+        rows = rows.selectExpr("*", *[f"if(_last, {s.kind}({total[name]}) {before}, null) as _b_{name}" for name, s in specs.items()])
+        carried = {name: f"max(_b_{name}) over (partition by {keys}, _range)" for name in specs}  # one row of a range has it
+        return rows.selectExpr(*df.columns, *[f"{_joined(s.kind, name, carried[name])} as {name}" for name, s in specs.items()])
 
 
 def by_group_size(df: DataFrame, keys: list[str], order: str, operator, limit: int = 4_000_000):
-    """Apply ``operator(rows, scan)`` with the window for ordinary groups and
-    with ranges for groups above ``limit`` rows.
+    """Apply ``operator(rows, scan)``; groups above ``limit`` rows are scanned in ranges of ``limit``.
 
-    ``keys[0]`` is the session and ``order`` is unique within it, so a session
-    of at most ``limit`` rows has no large group. The first, very small
-    aggregate settles that; only larger sessions are counted by group. At most
-    rows / limit groups can be large, which bounds the broadcast list.
+    It is one plan: which groups are large is a table that rows are joined to, never a list on the
+    driver. Where no group is large, adaptive execution finds that table empty and drops the join and
+    the ranges.
     """
-    sessions = df.groupBy(keys[0]).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit)
-    busy = [row[0] for row in sessions.collect()]
-    large = []
-    schema = df.select(*keys).schema
-    if busy:
-        counts = df.filter(F.col(keys[0]).isin(busy)).groupBy(*keys).agg(F.count("*").alias("_n"))
-        large = counts.filter(F.col("_n") > limit).select(*keys).collect()
-    if not large:
-        return operator(df, Plain(keys, order))
-    hot = F.broadcast(df.sparkSession.createDataFrame(large, schema))
-    rest = operator(df.join(hot, keys, "left_anti"), Plain(keys, order))
-    return rest.unionByName(operator(df.join(hot, keys, "left_semi"), Chunked(keys, order, limit)))
+    large = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit).drop("_n")
+    rest = operator(df.join(large, keys, "left_anti"), Plain(keys, order))
+    return rest.unionByName(operator(df.join(large, keys, "left_semi"), Ranged(keys, order, limit)))

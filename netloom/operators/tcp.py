@@ -157,7 +157,7 @@ def label_segments(segments: DataFrame, large_group: int = 4_000_000) -> DataFra
     state machine looks at; null where nothing stands out.
 
     All steps share the group and the order, so there is one shuffle and one
-    sort for ordinary groups.
+    sort for ordinary groups; those above ``large_group`` rows are scanned in ranges.
     """
     paired = _paired(segments)
     return by_group_size(paired, PAIR, "frame_number", _label_group, large_group)

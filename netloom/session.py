@@ -23,6 +23,8 @@ def local_session(cpus: int | str = 8, name: str = "netloom") -> SparkSession:
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        # call sites of column expressions cost more than the analysis of large plans
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         # pages deeper than this are sorted by the cluster, not held in memory
         .config("spark.sql.execution.topKSortFallbackThreshold", "100000")
         .config(
