@@ -7,16 +7,17 @@ import dataclasses as dc
 
 from pyspark.sql import functions as F
 
-from netloom.catalog.detect import TUNING, _partly_known
+from netloom.catalog.detect import TUNING, _KNOWN, _UNUSUAL, _beacon_sql, _partly_known
 from netloom.catalog.flows import FLOW_COLUMNS, FLOWS_SQL
 from netloom.catalog.packets import _MARKED, ids_lines, packet_lines, parsed
 from netloom.catalog.registry import query
 from netloom.catalog.views import (
     LOCAL_IPS, NETWORKS, PRIVATE_SQL, SEMI_SQL, TRUSTED_SQL, with_views,
 )
-from netloom.config import BeaconConfig
+from netloom.config import AnomalyConfig, BeaconConfig, ExfilConfig
 from netloom.functions.predicates import ConnectionFilter
 from netloom.operators import maintenance as M
+from netloom.operators.baseline import observations
 from netloom.operators.detectors import Context
 from netloom.operators.trust import after, matching_networks
 from netloom.plans.connections import connection_text_key, texts_cached
@@ -246,14 +247,15 @@ def g05(s):
 
 
 @query("d09_stored_baseline", with_views("connections", """
-    WITH obs AS (SELECT session_id, dst_ip, CAST(sum(total_bytes) AS DOUBLE) AS b, min(start_time) AS seen FROM connections WHERE session_id > (SELECT max(session_id) - 3 FROM connections) GROUP BY 1, 2),
+    WITH obs AS (SELECT session_id, dst_ip, CAST(sum(total_bytes) AS DOUBLE) AS b, min(start_time) AS seen FROM connections GROUP BY 1, 2),
     r AS (SELECT *, row_number() OVER (PARTITION BY dst_ip ORDER BY session_id) AS n FROM obs)
     SELECT dst_ip AS ip, min(seen) AS first_seen, CAST(count(*) AS INT) AS session_count, round(CASE WHEN count(*) = 1 THEN max(b) ELSE avg(b) FILTER (n > 1) END, 2) AS total_bytes_avg FROM r GROUP BY dst_ip"""))
 def d09_stored(s):
-    """A baseline table that begins empty and takes the last three sessions one by one."""
+    """A baseline table that takes all sessions but the last two at once, and those one by one."""
     root, flows = fresh_path(s.spark, "tables"), s.plain_connections
     last = flows.agg(F.max("session_id")).first()[0]
-    for session in range(last - 2, last + 1):
+    T.extend_known_destinations(observations(flows.filter(F.col("session_id") <= last - 2)), root)
+    for session in (last - 1, last):
         T.update_known_destinations(flows.filter(F.col("session_id") == session), root)
     known = T.read_table(s.spark, root, "known_destinations")
     return known.withColumn("total_bytes_avg", F.round("total_bytes_avg", 2))
@@ -325,27 +327,71 @@ _DOMAINS_SQL = """
     w AS (SELECT session_id, frame_number, string_split(info, ' ') AS w FROM packets WHERE protocol = 'DNS' AND info LIKE '%response%'),
     wa AS (SELECT w[8] AS ip, w[6] AS domain, session_id, frame_number FROM w UNION ALL SELECT w[10], w[6], session_id, frame_number FROM w),
     names AS (SELECT ip, domain FROM (SELECT ip, domain, row_number() OVER (PARTITION BY ip ORDER BY session_id DESC, frame_number DESC, domain DESC) AS n FROM wa) x WHERE n = 1)"""
-_LIVE_TUNING = dc.replace(TUNING, beaconing=BeaconConfig(min_connections=1_000_000))
+# thresholds scaled to the packet view, so that each tag is raised
+_LIVE_TUNING = dc.replace(
+    TUNING, beaconing=BeaconConfig(min_connections=6, cv_threshold=1.2),
+    data_exfil=ExfilConfig(threshold_medium_bytes=30_000, threshold_high_bytes=60_000),
+    traffic_anomaly=AnomalyConfig(multiplier=1.2, min_absolute_bytes=20_000, min_average_bytes=10),
+)
 
 
-@query("s03_live_detection", with_views("packets connections", FLOWS_SQL.rstrip() + ", " + _DOMAINS_SQL + f""",
-    hit AS (SELECT f.*, coalesce(domain, dst_ip) AS dst_display FROM folded f LEFT JOIN names ON ip = dst_ip
-      WHERE NOT {PRIVATE_SQL.format('dst_ip')} AND NOT {TRUSTED_SQL.format('dst_ip')} AND dst_ip NOT IN (SELECT dst_ip FROM connections WHERE session_id <= 4 AND dst_ip NOT LIKE '%1')
-        AND dst_port NOT IN (443, 80) AND NOT ({SEMI_SQL.format('dst_ip')} AND total_bytes < 60000000 AND upper(protocol) IN ('TCP', 'UDP', 'TLSV1.2', 'TLSV1.3', 'QUIC', 'HTTP', 'HTTPS', 'DNS')))
-    SELECT session_id, 'new_dest' AS tag, dst_display, arg_min(dst_ip, first_frame) AS dst_ip, 'LOW' AS severity, 3 AS severity_num, 0 AS batch_id FROM hit GROUP BY session_id, dst_display"""))
+def _live_sql() -> str:
+    source = """SELECT folded.* REPLACE (folded.session_id || '/' || src_ip AS src_ip), coalesce(domain, dst_ip) AS dst_key,
+        CAST(folded.session_id AS BIGINT) * 1099511627776 + first_frame AS id
+      FROM folded LEFT JOIN names ON names.session_id = folded.session_id AND ip = dst_ip"""
+    beacon = _beacon_sql(source, "dst_key", 6, 1.2).removeprefix("RECURSIVE WITH ")
+    head, _, _ = beacon.rpartition("SELECT DISTINCT f.src_ip")
+    private, trusted, semi = (x.format("f.dst_ip") for x in (PRIVATE_SQL, TRUSTED_SQL, SEMI_SQL))
+    names = _DOMAINS_SQL.replace("SELECT ip, domain FROM", "SELECT session_id, ip, domain FROM").replace(
+        "PARTITION BY ip ORDER BY session_id DESC, ", "PARTITION BY session_id, ip ORDER BY ").replace("SELECT ip, domain, row", "SELECT session_id, ip, domain, row")
+    return f"""RECURSIVE {FLOWS_SQL.strip()}, {names}, {head.rstrip()},
+    bp AS (SELECT src_ip, dst_key FROM v WHERE v.cv < 1.2 AND v.mean >= 1),
+    {_KNOWN.replace('r AS', 'ro AS').replace('FROM r ', 'FROM ro ')},
+    pt AS (SELECT ip, session_count, mean / 100000 AS mean FROM known WHERE ip NOT LIKE '%1'),
+    xt AS (SELECT session_id, dst_ip, sum(total_bytes) FILTER (direction = 'OUTGOING') AS ob, bool_or({_UNUSUAL}) FILTER (direction = 'OUTGOING') AS ou, sum(total_bytes) AS b, bool_or({_UNUSUAL}) AS u
+           FROM f WHERE NOT {private} AND NOT {trusted} GROUP BY session_id, dst_ip),
+    xv AS (SELECT f.session_id, f.dst_ip, CASE WHEN {semi} THEN CASE WHEN ob >= 4500000000 THEN CASE WHEN ou THEN 'HIGH' ELSE 'MEDIUM' END END WHEN ob >= 60000 THEN 'HIGH' WHEN ob >= 30000 THEN 'MEDIUM' END AS sev FROM xt f),
+    ov AS (SELECT f.session_id, f.dst_ip FROM xt f JOIN pt ON ip = f.dst_ip WHERE b >= 20000 AND NOT ({semi} AND b < 60000000 AND NOT u) AND session_count >= 2 AND mean >= 10 AND b / mean >= 1.2),
+    hits AS (
+      SELECT f.*, 'beaconing' AS tag, 'HIGH' AS severity FROM f JOIN bp USING (src_ip, dst_key)
+      UNION ALL SELECT f.*, 'data_exfil', sev FROM f JOIN xv USING (session_id, dst_ip) WHERE sev IS NOT NULL AND direction = 'OUTGOING'
+      UNION ALL SELECT f.*, 'new_dest', 'LOW' FROM f WHERE NOT {private} AND NOT {trusted} AND dst_ip NOT IN (SELECT ip FROM pt) AND dst_port NOT IN (443, 80) AND NOT ({semi} AND total_bytes < 60000000 AND NOT {_UNUSUAL})
+      UNION ALL SELECT f.*, 'traffic_anomaly', 'MEDIUM' FROM f JOIN ov USING (session_id, dst_ip))
+    SELECT session_id, tag, dst_key AS dst_display, arg_min(dst_ip, id) AS dst_ip, 
+      CASE tag WHEN 'data_exfil' THEN 'HIGH' WHEN 'new_dest' THEN 'LOW' ELSE 'MEDIUM' END AS severity,
+      CASE tag WHEN 'data_exfil' THEN 1 WHEN 'new_dest' THEN 3 ELSE 2 END AS severity_num, 0 AS batch_id FROM hits GROUP BY session_id, tag, dst_key"""
+
+
+@query("s03_live_detection", with_views("packets connections", _live_sql()))
 def s03(s):
-    """Two flushes of detection: the second raises nothing again."""
+    """The stream stores, detects and observes; a batch that is run again raises and adds nothing."""
     root, source = fresh_path(s.spark, "live"), fresh_path(s.spark, "lines")
     _clean_lines(s).repartition("value").write.partitionBy("session_id").text(source)
     raw = s.spark.readStream.schema("value STRING, session_id INT").text(source)
-    live.start_flows(live.live_packets(raw, LOCAL_IPS, "60 days"), root, once=True).awaitTermination()
-    ctx = Context(_partly_known(s), NETWORKS, "2026-06-01", _LIVE_TUNING)
-    for batch in (0, 1):
-        live.detect_now(s.spark, root, ctx, batch, as_of="2024-02-01 00:00:00")
+    known = _partly_known(s).withColumn("total_bytes_avg", F.col("total_bytes_avg") / 100000)
+    ctx = Context(known, NETWORKS, "2026-06-01", _LIVE_TUNING)
+    live.start_flows(live.live_packets(raw, LOCAL_IPS, "60 days"), root, once=True, ctx=ctx, as_of="2024-02-01 00:00:00").awaitTermination()
+    live.detect_now(s.spark, root, ctx, 0, as_of="2024-02-01 00:00:00")
     logged = s.spark.read.parquet(f"{root}/behaviour_alerts")
     return logged.select("session_id", "tag", "dst_display", "dst_ip", "severity", "severity_num", "batch_id")
 
 
+@query("s03_live_baseline", with_views("packets", FLOWS_SQL.strip() + """
+    , obs AS (SELECT session_id, dst_ip, CAST(sum(total_bytes) AS DOUBLE) AS b, min(start_time) AS seen FROM folded WHERE dst_ip <> '' GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY dst_ip ORDER BY session_id) AS n FROM obs)
+    SELECT dst_ip AS ip, CAST(count(*) AS INT) AS session_count, round(CASE WHEN count(*) = 1 THEN max(b) ELSE avg(b) FILTER (n > 1) END, 2) AS total_bytes_avg FROM r GROUP BY dst_ip"""))
+def s03_baseline(s):
+    """The baseline that the stream leaves equals that of its sessions, however they were cut into batches."""
+    root, source = fresh_path(s.spark, "live"), fresh_path(s.spark, "lines")
+    _clean_lines(s).repartition(12, "value").write.partitionBy("session_id").text(source)
+    raw = s.spark.readStream.schema("value STRING, session_id INT").option("maxFilesPerTrigger", 24).text(source)
+    known = s.spark.createDataFrame([], T.LASTING["known_destinations"])
+    ctx = Context(known, NETWORKS, "2026-06-01", _LIVE_TUNING)
+    live.start_flows(live.live_packets(raw, LOCAL_IPS, "60 days"), root, once=True, ctx=ctx).awaitTermination()
+    found = live.current_baseline(s.spark, root, known)
+    return found.select("ip", "session_count", F.round("total_bytes_avg", 2).alias("total_bytes_avg"))
+
+
 @query("s04_live_ids_alerts", with_views("alerts", """
     WITH p AS (SELECT * REPLACE (CASE WHEN id % 11 = 0 THEN 3 ELSE severity_num END AS severity_num, CASE WHEN id % 13 = 0 THEN 'Unknown' ELSE signature END AS signature) FROM alerts WHERE id % 7 <> 0 AND id % 19 <> 0),
     l AS (SELECT *, CASE severity_num WHEN 1 THEN 'CRITICAL' WHEN 2 THEN 'HIGH' WHEN 3 THEN 'MEDIUM' ELSE 'LOW' END AS s, signature LIKE '%BRUTE-FORCE SSH%' OR signature LIKE '%MALWARE%' OR signature LIKE '%EXPLOIT%' AS safe FROM p),

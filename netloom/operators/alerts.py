@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from netloom.config import read_yaml
+from netloom.operators.dns import named
 from netloom.functions.address import address_key, network_range
 from netloom.sources.networks import RateLimit, SuppressRule
 
@@ -170,10 +171,7 @@ def alerts_from_tags(
     if domains is None:
         flows = flows.withColumn("dst_display", F.col("dst_ip"))
     else:
-        names = domains.select(F.col("ip").alias("dst_ip"), "domain")
-        flows = flows.join(names, "dst_ip", "left").withColumn(
-            "dst_display", F.coalesce("domain", "dst_ip")
-        )
+        flows = named(flows, domains).withColumn("dst_display", F.coalesce("domain", "dst_ip"))
     found = flows.withColumn("f", F.explode("findings")).withColumn("tag", F.col("f.tag"))
     order = W.partitionBy("session_id", "dst_display", "tag").orderBy("id")
     first = found.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") == 1)

@@ -58,6 +58,29 @@ def update_baseline(known: DataFrame, flows: DataFrame) -> DataFrame:
     )
 
 
+def extend_baseline(known: DataFrame, observed: DataFrame) -> DataFrame:
+    """D9 with the observations ``session_id, ip, bytes, seen`` of any number of later sessions, one row each.
+
+    The rolling update is a sum in disguise: mean * (n - 1) is the sum of all observations but the first, so
+    only which one is first matters, and all sessions are taken in at once.
+    """
+    new = observed.groupBy("ip").agg(
+        F.count("*").alias("k"), F.sum("bytes").alias("total"), F.min_by("bytes", "session_id").alias("one"),
+        F.min("seen").alias("seen"),
+    )
+    n, k, total, mean = F.col("session_count"), F.col("k"), F.col("total"), F.col("total_bytes_avg")
+    return known.join(new, "ip", "full").select(
+        "ip",
+        F.coalesce("first_seen", "seen").alias("first_seen"),
+        (F.coalesce(n, F.lit(0)) + F.coalesce(k, F.lit(0))).cast("int").alias("session_count"),
+        F.when(k.isNull(), mean)
+        .when(n.isNotNull(), (mean * (n - 1) + total) / (n - 1 + k))
+        .when(k == 1, F.col("one").cast("double"))
+        .otherwise((total - F.col("one")) / (k - 1))
+        .alias("total_bytes_avg"),
+    )
+
+
 def known_among(ips: DataFrame, known: DataFrame) -> DataFrame:
     """Which of ``ips(ip)`` are in the baseline."""
     return ips.select("ip").distinct().join(known.select("ip"), "ip", "left_semi")

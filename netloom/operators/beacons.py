@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from netloom.config import Tuning
 from netloom.functions.address import is_multicast_key
 from netloom.functions.rounding import fixed_text
+from netloom.operators.dns import named
 from netloom.operators.trust import after, is_unusual, trust_tier
 from netloom.sources.networks import SEMI_TRUSTED, TRUSTED, Networks
 
@@ -43,10 +44,7 @@ def pair_groups(
         # a group is one address: no second aggregate is needed
         groups = pairs.withColumns({"dst_key": F.col("dst_ip"), "first_dst": after("dst_ip", "n")})
     else:
-        names = domains.select(F.col("ip").alias("dst_ip"), "domain")
-        pairs = pairs.join(names, "dst_ip", "left").withColumn(
-            "dst_key", F.coalesce("domain", "dst_ip")
-        )
+        pairs = named(pairs, domains).withColumn("dst_key", F.coalesce("domain", "dst_ip"))
         groups = pairs.groupBy(*scope, "src_ip", "dst_key").agg(
             F.sum("n").alias("n"),
             F.min_by("dst_ip", "first").alias("first_dst"),

@@ -38,6 +38,18 @@ def answers(info: Column) -> Column:
     return F.struct(folded["domain"].alias("domain"), folded["ips"].alias("ips"))
 
 
+def named(rows: DataFrame, domains: DataFrame) -> DataFrame:
+    """``rows`` with the ``domain`` of their ``dst_ip``, or null. Names that come with a session count in
+    that session alone, unless the rows have none; then the latest session's name counts."""
+    names = domains.withColumnRenamed("ip", "dst_ip")
+    if "session_id" not in domains.columns:
+        return rows.join(names.select("dst_ip", "domain"), "dst_ip", "left")
+    if "session_id" in rows.columns:
+        return rows.join(names.select("session_id", "dst_ip", "domain"), ["session_id", "dst_ip"], "left")
+    latest = names.groupBy("dst_ip").agg(F.max_by("domain", F.struct("session_id", "domain")).alias("domain"))
+    return rows.join(latest, "dst_ip", "left")
+
+
 def ip_domains(packets: DataFrame, per_session: bool = False) -> DataFrame:
     """(ip, domain), the last response of an address wins."""
     keys = ["session_id", "ip"] if per_session else ["ip"]

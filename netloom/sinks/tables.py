@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from netloom.operators import maintenance as M
-from netloom.operators.baseline import update_baseline
+from netloom.operators.baseline import extend_baseline, update_baseline
 from netloom.operators.reputation import upsert_reputation
 from netloom.schemas import (
     ALERTS, CONNECTIONS, IP_REPUTATION, KNOWN_DESTINATIONS, PROTOCOL_STATS, SESSIONS, TEXT_CACHE,
@@ -107,6 +107,12 @@ def update_known_destinations(flows: DataFrame, root: str) -> None:
     replace_table(update_baseline(known, flows), root, "known_destinations")
 
 
+def extend_known_destinations(observed: DataFrame, root: str) -> None:
+    """The stored baseline with the observations of any number of later sessions."""
+    known = read_table(observed.sparkSession, root, "known_destinations")
+    replace_table(extend_baseline(known, observed), root, "known_destinations")
+
+
 def store_reputation(checked: DataFrame, root: str) -> None:
     """H1: the stored checks with newer ones put in."""
     known = read_table(checked.sparkSession, root, "reputation")

@@ -19,6 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 from netloom.operators.alerts import (
     AlertRules, alerts_from_tags, apply_behaviour_rules, apply_ids_rules,
 )
+from netloom.operators.baseline import extend_baseline, observations
 from netloom.operators.detectors import Context, tag_flows
 from netloom.operators.dns import answers
 from netloom.operators.flows import aggregate_flows, decode_flows, flow_parts, merge_flows
@@ -75,9 +76,38 @@ def current_flows(spark: SparkSession, root: str) -> DataFrame:
 
 
 def current_domains(spark: SparkSession, root: str) -> DataFrame:
-    order = F.struct("session_id", "frame_number", "domain")
+    """The name last given to each address, by session: captures do not name each other's addresses."""
     pairs = spark.read.parquet(f"{root}/dns")
-    return pairs.groupBy("ip").agg(F.max_by("domain", order).alias("domain"))
+    newest = F.max_by("domain", F.struct("frame_number", "domain"))
+    return pairs.groupBy("session_id", "ip").agg(newest.alias("domain"))
+
+
+def observe_batch(spark: SparkSession, root: str, batch_id: int) -> None:
+    """What each session of a batch has sent so far, one ledger row per session and destination.
+
+    A row is the whole observation, not what the batch adds, and lies in the batch's folder; a retried
+    batch writes the same rows again, and a later one of the session takes their place.
+    """
+    _log(observations(_touched(spark, root, batch_id)), f"{root}/observed", batch_id)
+
+
+def current_baseline(spark: SparkSession, root: str, known: DataFrame, before: int | None = None) -> DataFrame:
+    """``known`` with the observations of the stream, those of batches below ``before`` if it is given.
+    Every session counts once, with its newest row."""
+    if not _exists(spark, f"{root}/observed"):
+        return known
+    ledger = spark.read.parquet(f"{root}/observed")
+    if before is not None:
+        ledger = ledger.filter(F.col("batch_id") < before)
+    newest = F.max_by(F.struct("bytes", "seen"), "batch_id")
+    rows = ledger.groupBy("session_id", "ip").agg(newest.alias("r")).select("session_id", "ip", "r.*")
+    return extend_baseline(known, rows)
+
+
+def _touched(spark: SparkSession, root: str, batch_id: int) -> DataFrame:
+    """Current flows of the sessions that a batch has parts of."""
+    parts = spark.read.parquet(f"{root}/flow_parts").filter(F.col("batch_id") == batch_id)
+    return current_flows(spark, root).join(parts.select("session_id").distinct(), "session_id", "left_semi")
 
 
 def flow_writer(root: str, on_batch: Callback | None = None) -> Callback:
@@ -110,8 +140,9 @@ def start_flows(
 ) -> StreamingQuery:
     """Run the packet pipeline; ``once`` reads what is there and ends.
 
-    With ``ctx`` each batch also replaces the stored snapshot of its sessions and logs the
-    alerts that were not raised before. The stored baseline is not updated here.
+    With ``ctx`` each batch also replaces the stored snapshot of its sessions, logs the alerts that were
+    not raised before, and then enters its observations in the ledger of the baseline. Detection
+    sees ``ctx.known`` and the ledger as it was before the batch.
     """
     log = flow_writer(root, on_batch)
 
@@ -120,6 +151,7 @@ def start_flows(
         if ctx is not None:
             store_snapshot(batch.sparkSession, root, batch_id)
             detect_now(batch.sparkSession, root, ctx, batch_id, rules, as_of)
+            observe_batch(batch.sparkSession, root, batch_id)
 
     writer = packets.writeStream.foreachBatch(write).option(
         "checkpointLocation", f"{root}/_checkpoint_flows"
@@ -130,22 +162,21 @@ def start_flows(
 
 def store_snapshot(spark: SparkSession, root: str, batch_id: int) -> None:
     """Replace the stored flows of the sessions that a batch has parts of."""
-    parts = spark.read.parquet(f"{root}/flow_parts").filter(F.col("batch_id") == batch_id)
-    flows = current_flows(spark, root).join(parts.select("session_id").distinct(), "session_id", "left_semi")
-    write_connections(flows, root)
+    write_connections(_touched(spark, root, batch_id), root)
 
 
 def detect_now(
     spark: SparkSession, root: str, ctx: Context, batch_id: int, rules: AlertRules = AlertRules(),
     as_of: str | None = None,
 ) -> None:
-    """S3: run all detectors over the snapshot and log alerts not raised before.
+    """S3: run all detectors over the flows of the batch's sessions and log alerts not raised before.
 
     An alert's identity is (session, destination, tag); the key counts as used
     even when a rule then drops the alert.
     """
     domains = ctx.domains if ctx.domains is not None else current_domains(spark, root)
-    tagged = tag_flows(current_flows(spark, root), dc.replace(ctx, domains=domains))
+    known = current_baseline(spark, root, ctx.known, before=batch_id)
+    tagged = tag_flows(_touched(spark, root, batch_id), dc.replace(ctx, domains=domains, known=known))
     raised = alerts_from_tags(tagged, domains, rules, as_of)
     keys = ["session_id", "dst_display", "tag"]
     if _exists(spark, f"{root}/alerted"):

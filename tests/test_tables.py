@@ -1,6 +1,6 @@
 import pytest
 
-from helpers import F, flow, flows, packet, packets
+from helpers import T0, F, flow, flows, packet, packets
 from netloom.functions.predicates import ConnectionFilter
 from netloom.operators.flows import build_flows, dedup_frames
 from netloom.operators.tls import propagate_tls
@@ -216,3 +216,53 @@ def test_each_flush_stores_the_snapshot_and_detects(spark, tmp_path):
     logged = [(r.dst_ip, r.tag) for r in spark.read.parquet(f"{root}/behaviour_alerts").collect()]
     assert len(logged) == len(set(logged)) and {t for _, t in logged} >= {"new_dest"}
     assert {d for d, _ in logged} == {"203.0.113.9", "203.0.113.20", "203.0.113.21"}
+
+
+def test_baseline_of_the_stream_is_a_ledger(spark, tmp_path):
+    """Cumulative rows per batch and session: a retry changes nothing, and a batch is judged by the baseline
+    that batches before it have left."""
+    from netloom.operators.baseline import baseline
+    from netloom.operators.detectors import Context
+    from netloom.sources.networks import Networks
+
+    root = str(tmp_path)
+    write = live.flow_writer(root)
+    known = spark.createDataFrame([("203.0.113.5", T0, 2, 50.0)], "ip string, first_seen timestamp_ntz, session_count int, total_bytes_avg double")
+    ctx = Context(known, Networks(), "2026-06-01")
+
+    def batch(number, rows):
+        write(packets(spark, rows), number)
+        live.detect_now(spark, root, ctx, number, as_of="2024-01-01")
+        live.observe_batch(spark, root, number)
+
+    def left(before=None):
+        rows = live.current_baseline(spark, root, known, before).collect()
+        return {r.ip: (r.session_count, r.total_bytes_avg) for r in rows}
+
+    one = [packet(1, dst="203.0.113.5", packet_length=100), packet(2, dst="203.0.113.6", dport=22, packet_length=10)]
+    batch(0, one)
+    assert left(0) == {"203.0.113.5": (2, 50.0)}
+    assert left() == {"203.0.113.5": (3, 75.0), "203.0.113.6": (1, 10.0)}
+    more = [packet(3, dst="203.0.113.5", packet_length=60), packet(4, dst="203.0.113.6", dport=22, packet_length=20)]
+    batch(1, more)
+    batch(1, more)  # a retry
+    assert left() == {"203.0.113.5": (3, 105.0), "203.0.113.6": (1, 30.0)} and left(1)["203.0.113.6"] == (1, 10.0)
+    other = [packet(1, session_id=2, dst="203.0.113.6", dport=22, packet_length=70), packet(2, session_id=3, dst="203.0.113.6", dport=22, packet_length=90)]
+    batch(2, other)
+    assert left()["203.0.113.6"] == (3, 80.0)
+    raised = {(r.batch_id, r.session_id, r.dst_ip) for r in spark.read.parquet(f"{root}/behaviour_alerts").where("tag = 'new_dest'").collect()}
+    assert raised == {(0, 1, "203.0.113.6")}
+    none = known.limit(0)
+    whole = baseline(live.current_flows(spark, root)).collect()
+    streamed = live.current_baseline(spark, root, none).collect()
+    assert {(r.ip, r.session_count, r.total_bytes_avg) for r in whole} == {(r.ip, r.session_count, r.total_bytes_avg) for r in streamed}
+
+
+def test_names_count_in_their_session(spark):
+    from netloom.operators.dns import named
+
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "session_id int, dst_ip string")
+    names = spark.createDataFrame([(1, "a", "x"), (2, "a", "y")], "session_id int, ip string, domain string")
+    assert sorted((r.session_id, r.domain) for r in named(rows, names).collect()) == [(1, "x"), (2, "y"), (3, None)]
+    assert {r.domain for r in named(rows.select("dst_ip"), names).collect()} == {"y", None}
+    assert {r.domain for r in named(rows, names.where("session_id = 1").drop("session_id")).collect()} == {"x", None}
