@@ -8,6 +8,8 @@ product; a query is done when its k-th best is nearer than the width that the wi
 for, since what is as near has by then collided often enough with high probability.
 """
 
+from statistics import NormalDist
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -17,15 +19,25 @@ from netloom.llm.store import written
 from netloom.llm.vectors import matrix, usable
 
 LINES = 96
-#: The first width (unit vectors are at most 2 apart) and its growth.
-FIRST, GROWTH = 0.3, 1.15
+#: The least first width, its growth, and the vectors that a query measures to choose its own first width.
+FIRST, GROWTH, MEASURED = 0.3, 1.06, 512
 #: Deviations below the mean number of collisions that still pass, for a vector as far as the width.
-SLACK = 1.9
+SLACK = 1.2
 #: Vectors of one sorted array, and queries that one task holds against it.
 BLOCK, QUERIES = 16_384, 4_096
 
 
-def search(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int, seed: int = 11) -> list[tuple]:
+def first_widths(unit: np.ndarray, wide: np.ndarray, k: int) -> np.ndarray:
+    """Where each query's windows begin: about where its k-th neighbour would be if distances were normal, by
+    their mean and deviation over evenly spaced vectors. It decides how much is counted, not what is found."""
+    n = len(wide)
+    some = wide[np.linspace(0, n - 1, min(n, MEASURED)).astype(np.int64)]
+    apart = np.sqrt(np.maximum(0, 2 - 2 * unit @ some[:, :unit.shape[1]].T))
+    z = NormalDist().inv_cdf(min(0.5, max(k, 1) / (n + 1)))
+    return np.clip(apart.mean(1) + z * apart.std(1), FIRST, 2.0)
+
+
+def search(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int, seed: int = 11, counters: dict | None = None) -> list[tuple]:
     """Query, id and inner product of the k best found for each query, best first.
 
     Largest inner products are nearest unit vectors once each vector gets one more component that
@@ -38,33 +50,33 @@ def search(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: i
     unit = q / np.linalg.norm(q, axis=1, keepdims=True)
     lines = np.random.default_rng(seed).normal(size=(dim + 1, LINES))
     on, at = (wide @ lines).T, unit @ lines[:dim]
-    order = np.argsort(on, axis=1, kind="stable").astype(np.int32)
-    widths = [FIRST]
-    while widths[-1] < 2:
-        widths.append(widths[-1] * GROWTH)
-    widths = np.array(widths)
-    low = np.empty((len(q), LINES, len(widths)), np.int32)
-    high = np.empty_like(low)
+    first = first_widths(unit, wide, k)
+    steps = max(1, int(np.ceil(np.log(2 / first.min()) / np.log(GROWTH))) + 1)
+    widths = np.minimum(first[:, None] * GROWTH ** np.arange(steps), 2.0)  # unit vectors are at most 2 apart
+    kind = np.uint16 if n < 1 << 16 else np.uint32
+    place = np.empty((LINES, n), kind)  # of each vector in the sorted array of each line
+    low = np.empty((len(q), steps, LINES, 1), kind)
+    wide_by = np.empty_like(low)
     for i in range(LINES):
-        values = on[i][order[i]]
-        low[:, i] = np.searchsorted(values, at[:, i:i + 1] - widths, "left") + i * n
-        high[:, i] = np.searchsorted(values, at[:, i:i + 1] + widths, "right") + i * n
-    flat = order.ravel()
+        order = np.argsort(on[i], kind="stable")
+        place[i, order] = np.arange(n, dtype=kind)
+        values = on[i][order]
+        left = np.searchsorted(values, at[:, i:i + 1] - widths, "left")
+        low[:, :, i, 0] = left
+        wide_by[:, :, i, 0] = np.searchsorted(values, at[:, i:i + 1] + widths, "right") - left
+    shifted, inside = np.empty_like(place), np.empty(place.shape, bool)
     share = 0.6826894921370859  # of a normal variable within one deviation
     needed = int(LINES * share - SLACK * np.sqrt(LINES * share * (1 - share)))
     out = []
     for j in range(len(q)):
-        counts, seen = np.zeros(n, np.int64), ids == qids[j]
+        seen = ids == qids[j]
         found, scores = [], []
         done = False
-        for w in range(len(widths)):
-            lo, hi = low[j, :, w].tolist(), high[j, :, w].tolist()
-            if w:
-                was_lo, was_hi = low[j, :, w - 1].tolist(), high[j, :, w - 1].tolist()
-                new = [flat[a:b] for a, b in zip(lo, was_lo, strict=True)] + [flat[a:b] for a, b in zip(was_hi, hi, strict=True)]
-            else:
-                new = [flat[a:b] for a, b in zip(lo, hi, strict=True)]
-            counts += np.bincount(np.concatenate(new), minlength=n)
+        for w in range(steps):
+            # places below the window wrap around to large numbers, so one comparison says who is inside
+            np.subtract(place, low[j, w], out=shifted)
+            np.less(shifted, wide_by[j, w], out=inside)
+            counts = inside.view(np.uint8).sum(axis=0, dtype=np.uint8)
             fresh = np.flatnonzero((counts >= needed) & ~seen)
             if len(fresh):
                 seen[fresh] = True
@@ -76,13 +88,15 @@ def search(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: i
                 kth = np.partition(best, have - k)[have - k]
                 # the distance, between unit vectors, of that inner product
                 apart = np.sqrt(max(0.0, 2 - 2 * kth / (np.linalg.norm(q[j]) * np.sqrt(top))))
-                if apart <= widths[w]:
+                if apart <= widths[j, w]:
                     done = True
                     break
         if not done and not seen.all():  # the widest window has everything
             rest = np.flatnonzero(~seen)
             found.append(rest)
             scores.append(x[rest] @ q[j])
+        if counters is not None:
+            counters["verified"] = counters.get("verified", 0) + sum(map(len, found))
         if found:
             f, s = np.concatenate(found), np.concatenate(scores)
             for i in np.lexsort((ids[f], -s))[:k].tolist():
