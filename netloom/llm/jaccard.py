@@ -267,7 +267,7 @@ BLOCKS = "b bigint, union array<bigint>, nodes array<bigint>, sizes array<bigint
 def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         made = [sketches(r.union, r.places, r.sizes).tobytes() for r in batch.itertuples(index=False)]
-        yield batch[["b", "nodes", "sizes"]].assign(sketch=made)
+        yield batch[["b", "sizes"]].assign(sketch=made)
 
 
 def linked(asks: tuple, told: tuple, percent: int) -> list[tuple[int, int]]:
@@ -313,46 +313,37 @@ def _within(percent: int):
     return run
 
 
-def _test(percent: int):
-    """Which sets of a block (of all, or those in ``only``) the sketches of another one do not rule out."""
+def _ask(percent: int):
+    """What a block asks another one, in few rows: those of its sets (all, or those in ``only``) whose sketches
+    do not rule out every set of the other. Rows and frames are of bounded size."""
+
+    def frame(rows: list) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["b", "part", "nodes", "sizes", "tokens"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             for row in batch.itertuples(index=False):
-                own, told = (np.frombuffer(x, np.uint64).reshape(-1, WORDS) for x in (row.sketch, row.t_sketch))
+                own = sketches(row.union, row.places, row.sizes)
+                told = np.frombuffer(row.t_sketch, np.uint64).reshape(-1, WORDS)
+                ends = np.cumsum(row.sizes)
                 pick = np.arange(len(row.nodes)) if row.only is None else np.flatnonzero(np.isin(row.nodes, row.only))
                 pick = [k for k in pick.tolist() if could_link(own[k], int(row.sizes[k]), told, row.t_sizes, percent)]
-                if pick:
-                    rows.append((row.qb, row.b, pick))
-            yield pd.DataFrame(rows, columns=["qb", "b", "pick"])
+                while pick:
+                    now = max(1, int(np.searchsorted(np.cumsum(row.sizes[pick]), FRAME, "right")))
+                    now, pick = pick[:now], pick[now:]
+                    tokens = np.concatenate([row.union[row.places[ends[k] - row.sizes[k]:ends[k]]] for k in now])
+                    mark = np.array([row.qb ^ now[0]], np.int64).view(np.uint64)
+                    rows.append((row.b, int(mix(mark)[0] % U(row.parts)), row.nodes[now], row.sizes[now], tokens))
+                    held += len(tokens)
+                    if held >= FRAME:
+                        yield frame(rows)
+                        rows, held = [], 0
+            yield frame(rows)
 
     return run
 
 
-def _ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """What a block asks another one, in few rows. Rows and frames are of bounded size."""
-
-    def frame(rows: list) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["b", "part", "nodes", "sizes", "tokens"])
-
-    for batch in batches:
-        rows, held = [], 0
-        for row in batch.itertuples(index=False):
-            ends, pick = np.cumsum(row.sizes), np.asarray(row.pick)
-            while len(pick):
-                now = max(1, int(np.searchsorted(np.cumsum(row.sizes[pick]), FRAME, "right")))
-                now, pick = pick[:now], pick[now:]
-                tokens = np.concatenate([row.union[row.places[ends[k] - row.sizes[k]:ends[k]]] for k in now.tolist()])
-                mark = np.array([row.qb ^ int(now[0])], np.int64).view(np.uint64)
-                rows.append((row.b, int(mix(mark)[0] % U(row.parts)), row.nodes[now], row.sizes[now], tokens))
-                held += len(tokens)
-                if held >= FRAME:
-                    yield frame(rows)
-                    rows, held = [], 0
-        yield frame(rows)
-
-
 def _open(percent: int):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         pairs = []
@@ -369,18 +360,15 @@ def _open(percent: int):
 def _across(jobs: DataFrame, matrix: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     """Links of the sets of block ``qb`` (those in ``only`` unless it is null) with the members of block
     ``b``. A block that is asked travels once for each ``BLOCK_SETS`` sets that ask."""
-    own = marks.select(F.col("b").alias("qb"), "nodes", "sizes", "sketch")
-    seen = marks.select("b", F.col("sizes").alias("t_sizes"), F.col("sketch").alias("t_sketch"))
-    jobs = jobs.join(seen, "b").join(own, "qb").mapInPandas(_test(percent), "qb bigint, b bigint, pick array<int>")
     jobs = written(jobs, "jobs")
-    # only blocks that ask or are asked are moved
-    parts = jobs.groupBy("b").agg(F.ceil(F.sum(F.size("pick")) / BLOCK_SETS).cast("bigint").alias("parts"))
-    asking = among(matrix.select(F.col("b").alias("qb"), "union", "nodes", "sizes", "places"), "qb", jobs)
-    asks = jobs.join(parts, "b").join(asking, "qb").mapInPandas(
-        _ask, "b bigint, part bigint, nodes array<bigint>, sizes array<bigint>, tokens array<bigint>"
+    parts = jobs.groupBy("b").agg(F.ceil(F.sum("asks") / BLOCK_SETS).cast("bigint").alias("parts"))
+    asking = matrix.select(F.col("b").alias("qb"), "union", "nodes", "sizes", "places")
+    seen = marks.select("b", F.col("sizes").alias("t_sizes"), F.col("sketch").alias("t_sketch"))
+    asks = jobs.select("qb", "b", "only").join(parts, "b").join(seen, "b").join(asking, "qb").mapInPandas(
+        _ask(percent), "b bigint, part bigint, nodes array<bigint>, sizes array<bigint>, tokens array<bigint>"
     )
-    told = parts.join(among(matrix, "b", jobs), "b").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
-    told = told.select("b", "part", "union", "nodes", "sizes", "places")
+    asks = written(asks, "asks")
+    told = asks.select("b", "part").distinct().join(matrix, "b").select("b", "part", "union", "nodes", "sizes", "places")
     told, asks = told.toDF(*told.columns), asks.toDF(*asks.columns)
     out = asks.groupBy("b", "part").cogroup(told.groupBy("b", "part")).applyInPandas(_open(percent), "a bigint, b bigint")
     return written(out, "jaccard-links")
@@ -437,8 +425,8 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         F.sequence(F.lit(0), F.size("tokens") - 1).alias("places"),
     )
     built = members.where("not alone").drop("alone").groupBy("b").applyInPandas(_blocks, BLOCKS)
-    matrix = alone.unionByName(written(built, "matrix"))  # lone sets are read from where they are
-    marks = written(matrix.mapInPandas(_sketched, "b bigint, nodes array<bigint>, sizes array<bigint>, sketch binary"), "marks")
+    matrix = written(alone.unionByName(built), "matrix")
+    marks = written(matrix.mapInPandas(_sketched, "b bigint, sizes array<bigint>, sketch binary"), "marks")
 
     # within each block, then every block with the largest one of the leading group
     inside = matrix.where(F.size("nodes") > 1).mapInPandas(_within(percent), "a bigint, b bigint")
@@ -464,7 +452,7 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         f"100 * high >= {percent} * tlow and 100 * thigh >= {percent} * low"
     ).where(
         f"asks > 1 or tasks > 1 or ({turned}) * {100 + percent} <= (high + thigh) * {100 - percent}"
-    ).select("qb", "b")
+    ).select("qb", "b", "asks")
     across = _across(first.withColumn("only", F.lit(None).cast("array<bigint>")), matrix, marks, percent)
 
     # sets that are still apart from the leading block's largest component meet all blocks of the key
@@ -493,7 +481,7 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         f"sets > 1 or ({bits}) * {100 + percent} <= (n + high) * {100 - percent}"
     )
     far = far.groupBy("qb", "b").agg(F.collect_set("node").alias("only"))
-    rest = _across(far, matrix, marks, percent)
+    rest = _across(far.withColumn("asks", F.size("only").cast("bigint")), matrix, marks, percent)
 
     copies = some.join(nodes.select("set1", "set2", "n", "node"), ["set1", "set2", "n"]).where("doc_id != node")
     found = components(within.unionAll(across).unionAll(rest).unionAll(
