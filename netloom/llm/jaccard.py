@@ -2,8 +2,8 @@
 
 Distinct shingle sets are partitioned into groups by size and smallest hash, so that similar
 sets mostly share a group; a group is cut into blocks of bounded size. A block is stored as
-the union of its members' shingles and a matrix of which member has which, and a sketch of each member. Before
-anything travels, a set is held against the sketches of the block it asks; what they cannot rule out is
+the union of its members' shingles and a matrix of which member has which, and a sketch of each member, which
+grows with it. Before anything travels, a set is held against the sketches of the block it asks; what they cannot rule out is
 held against the block's union: a member can only be similar if enough of the set lies in it. Only
 blocks that qualify are opened and their members compared exactly.
 
@@ -227,26 +227,50 @@ def _tokenizer(width: int, percent: int):
     return read
 
 
-#: 64-bit words of a set's sketch, and shingles of one row or frame that asks.
+#: Least 64-bit words of a set's sketch, and shingles of one row or frame that asks.
 WORDS, FRAME = 8, 250_000
 
 
+def sketch_words(sizes: np.ndarray) -> np.ndarray:
+    """Words of the sketches of sets of these sizes: a power of two with at least a bit a shingle, since a sketch
+    of fixed length is half full for every large set and rules nothing out."""
+    return np.left_shift(1, np.ceil(np.log2(np.maximum(np.asarray(sizes) / 64, WORDS))).astype(np.int64))
+
+
 def sketches(union: np.ndarray, places: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A parity sketch of each set of a block: each shingle turns one bit, so two sketches differ in no more
-    bits than their sets do in shingles."""
+    """A parity sketch of each set of a block, one after another: each shingle turns one bit, so two sketches
+    differ in no more bits than their sets do in shingles. Its halves laid over each other are the sketch of half
+    the length."""
+    words = sketch_words(sizes)
+    first = np.cumsum(words) - words
     spot = mix(np.asarray(union).view(np.uint64), 29)[places]
-    word, bit = spot >> U(61), U(1) << ((spot >> U(32)) & U(63))
-    starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-    return np.stack([np.bitwise_xor.reduceat(np.where(word == U(w), bit, U(0)), starts) for w in range(WORDS)], axis=1)
+    word = np.repeat(first, sizes) + ((spot >> U(6)).astype(np.int64) & np.repeat(words - 1, sizes))
+    out = np.zeros(words.sum(), np.uint64)
+    np.bitwise_xor.at(out, word, U(1) << (spot & U(63)))
+    return out
+
+
+def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    while sketch.shape[-1] > words:
+        half = sketch.shape[-1] // 2
+        sketch = sketch[..., :half] ^ sketch[..., half:]
+    return sketch
 
 
 def could_link(mine: np.ndarray, n: int, told: np.ndarray, sizes: np.ndarray, percent: int) -> bool:
-    """May a set of ``n`` shingles be similar to any of the sets with these sketches and sizes?"""
-    fits = (100 * n >= percent * sizes) & (100 * sizes >= percent * n)
-    if not fits.any():
-        return False
-    apart = np.bitwise_count(told[fits] ^ mine).sum(1, dtype=np.int64)
-    return bool((apart * (100 + percent) <= (n + sizes[fits]) * (100 - percent)).any())
+    """May the set of ``n`` shingles with the sketch ``mine`` be similar to any of the sets of these sizes, whose
+    sketches lie in ``told`` one after another?"""
+    fits = np.flatnonzero((100 * n >= percent * sizes) & (100 * sizes >= percent * n))
+    words = sketch_words(sizes)
+    first = np.cumsum(words) - words
+    for width in np.unique(words[fits]).tolist():
+        those = fits[words[fits] == width]
+        other = told[first[those][:, None] + np.arange(width)]
+        least = min(width, len(mine))
+        apart = np.bitwise_count(_folded(other, least) ^ _folded(mine, least)).sum(1, dtype=np.int64)
+        if (apart * (100 + percent) <= (n + sizes[those]) * (100 - percent)).any():
+            return True
+    return False
 
 
 def _blocks(rows: pd.DataFrame) -> pd.DataFrame:
@@ -267,7 +291,7 @@ BLOCKS = "b bigint, union array<bigint>, nodes array<bigint>, sizes array<bigint
 def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         made = [sketches(r.union, r.places, r.sizes).tobytes() for r in batch.itertuples(index=False)]
-        yield batch[["b", "sizes"]].assign(sketch=made)
+        yield batch[["b", "nodes", "sizes"]].assign(sketch=made)
 
 
 def linked(asks: tuple, told: tuple, percent: int) -> list[tuple[int, int]]:
@@ -313,37 +337,47 @@ def _within(percent: int):
     return run
 
 
-def _ask(percent: int):
-    """What a block asks another one, in few rows: those of its sets (all, or those in ``only``) whose sketches
-    do not rule out every set of the other. Rows and frames are of bounded size."""
-
-    def frame(rows: list) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["b", "part", "nodes", "sizes", "tokens"])
+def _test(percent: int):
+    """Which sets of a block (of all, or those in ``only``) the sketches of another one do not rule out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows, held = [], 0
+            rows = []
             for row in batch.itertuples(index=False):
-                own = sketches(row.union, row.places, row.sizes)
-                told = np.frombuffer(row.t_sketch, np.uint64).reshape(-1, WORDS)
-                ends = np.cumsum(row.sizes)
+                own, told = (np.frombuffer(x, np.uint64) for x in (row.sketch, row.t_sketch))
+                own = np.split(own, np.cumsum(sketch_words(row.sizes))[:-1])
                 pick = np.arange(len(row.nodes)) if row.only is None else np.flatnonzero(np.isin(row.nodes, row.only))
                 pick = [k for k in pick.tolist() if could_link(own[k], int(row.sizes[k]), told, row.t_sizes, percent)]
-                while pick:
-                    now = max(1, int(np.searchsorted(np.cumsum(row.sizes[pick]), FRAME, "right")))
-                    now, pick = pick[:now], pick[now:]
-                    tokens = np.concatenate([row.union[row.places[ends[k] - row.sizes[k]:ends[k]]] for k in now])
-                    mark = np.array([row.qb ^ now[0]], np.int64).view(np.uint64)
-                    rows.append((row.b, int(mix(mark)[0] % U(row.parts)), row.nodes[now], row.sizes[now], tokens))
-                    held += len(tokens)
-                    if held >= FRAME:
-                        yield frame(rows)
-                        rows, held = [], 0
-            yield frame(rows)
+                if pick:
+                    rows.append((row.qb, row.b, pick))
+            yield pd.DataFrame(rows, columns=["qb", "b", "pick"])
 
     return run
 
 
+def _ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What a block asks another one, in few rows. Rows and frames are of bounded size."""
+
+    def frame(rows: list) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["b", "part", "nodes", "sizes", "tokens"])
+
+    for batch in batches:
+        rows, held = [], 0
+        for row in batch.itertuples(index=False):
+            ends, pick = np.cumsum(row.sizes), np.asarray(row.pick)
+            while len(pick):
+                now = max(1, int(np.searchsorted(np.cumsum(row.sizes[pick]), FRAME, "right")))
+                now, pick = pick[:now], pick[now:]
+                tokens = np.concatenate([row.union[row.places[ends[k] - row.sizes[k]:ends[k]]] for k in now.tolist()])
+                mark = np.array([row.qb ^ int(now[0])], np.int64).view(np.uint64)
+                rows.append((row.b, int(mix(mark)[0] % U(row.parts)), row.nodes[now], row.sizes[now], tokens))
+                held += len(tokens)
+                if held >= FRAME:
+                    yield frame(rows)
+                    rows, held = [], 0
+        yield frame(rows)
+
+
 def _open(percent: int):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         pairs = []
@@ -360,15 +394,18 @@ def _open(percent: int):
 def _across(jobs: DataFrame, matrix: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     """Links of the sets of block ``qb`` (those in ``only`` unless it is null) with the members of block
     ``b``. A block that is asked travels once for each ``BLOCK_SETS`` sets that ask."""
-    jobs = written(jobs, "jobs")
-    parts = jobs.groupBy("b").agg(F.ceil(F.sum("asks") / BLOCK_SETS).cast("bigint").alias("parts"))
-    asking = matrix.select(F.col("b").alias("qb"), "union", "nodes", "sizes", "places")
+    own = marks.select(F.col("b").alias("qb"), "nodes", "sizes", "sketch")
     seen = marks.select("b", F.col("sizes").alias("t_sizes"), F.col("sketch").alias("t_sketch"))
-    asks = jobs.select("qb", "b", "only").join(parts, "b").join(seen, "b").join(asking, "qb").mapInPandas(
-        _ask(percent), "b bigint, part bigint, nodes array<bigint>, sizes array<bigint>, tokens array<bigint>"
+    jobs = jobs.join(seen, "b").join(own, "qb").mapInPandas(_test(percent), "qb bigint, b bigint, pick array<int>")
+    jobs = written(jobs, "jobs")
+    # only blocks that ask or are asked are moved
+    parts = jobs.groupBy("b").agg(F.ceil(F.sum(F.size("pick")) / BLOCK_SETS).cast("bigint").alias("parts"))
+    asking = among(matrix.select(F.col("b").alias("qb"), "union", "nodes", "sizes", "places"), "qb", jobs)
+    asks = jobs.join(parts, "b").join(asking, "qb").mapInPandas(
+        _ask, "b bigint, part bigint, nodes array<bigint>, sizes array<bigint>, tokens array<bigint>"
     )
-    asks = written(asks, "asks")
-    told = asks.select("b", "part").distinct().join(matrix, "b").select("b", "part", "union", "nodes", "sizes", "places")
+    told = parts.join(among(matrix, "b", jobs), "b").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    told = told.select("b", "part", "union", "nodes", "sizes", "places")
     told, asks = told.toDF(*told.columns), asks.toDF(*asks.columns)
     out = asks.groupBy("b", "part").cogroup(told.groupBy("b", "part")).applyInPandas(_open(percent), "a bigint, b bigint")
     return written(out, "jaccard-links")
@@ -425,8 +462,8 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         F.sequence(F.lit(0), F.size("tokens") - 1).alias("places"),
     )
     built = members.where("not alone").drop("alone").groupBy("b").applyInPandas(_blocks, BLOCKS)
-    matrix = written(alone.unionByName(built), "matrix")
-    marks = written(matrix.mapInPandas(_sketched, "b bigint, sizes array<bigint>, sketch binary"), "marks")
+    matrix = alone.unionByName(written(built, "matrix"))  # lone sets are read from where they are
+    marks = written(matrix.mapInPandas(_sketched, "b bigint, nodes array<bigint>, sizes array<bigint>, sketch binary"), "marks")
 
     # within each block, then every block with the largest one of the leading group
     inside = matrix.where(F.size("nodes") > 1).mapInPandas(_within(percent), "a bigint, b bigint")
@@ -452,7 +489,7 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         f"100 * high >= {percent} * tlow and 100 * thigh >= {percent} * low"
     ).where(
         f"asks > 1 or tasks > 1 or ({turned}) * {100 + percent} <= (high + thigh) * {100 - percent}"
-    ).select("qb", "b", "asks")
+    ).select("qb", "b")
     across = _across(first.withColumn("only", F.lit(None).cast("array<bigint>")), matrix, marks, percent)
 
     # sets that are still apart from the leading block's largest component meet all blocks of the key
@@ -481,7 +518,7 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         f"sets > 1 or ({bits}) * {100 + percent} <= (n + high) * {100 - percent}"
     )
     far = far.groupBy("qb", "b").agg(F.collect_set("node").alias("only"))
-    rest = _across(far.withColumn("asks", F.size("only").cast("bigint")), matrix, marks, percent)
+    rest = _across(far, matrix, marks, percent)
 
     copies = some.join(nodes.select("set1", "set2", "n", "node"), ["set1", "set2", "n"]).where("doc_id != node")
     found = components(within.unionAll(across).unionAll(rest).unionAll(

@@ -88,16 +88,26 @@ def test_similar_ids_with_several_texts(spark, monkeypatch):
 
 def test_sketches_never_rule_out_similar_sets():
     rng = np.random.default_rng(6)
-    for _ in range(300):
-        n = int(rng.integers(1, 200))
+    for k in range(300):
+        n = int(rng.integers(1, 200 if k % 2 else 5000))
         common = rng.integers(0, 2**63, n)
         extra = rng.integers(0, 2**63, n * 100 // 80 - n)
         cut = int(rng.integers(0, len(extra) + 1))
         union = np.concatenate([common, extra])
         places = np.concatenate([np.arange(n + cut), np.arange(n), np.arange(n + cut, len(union))])
         sizes = np.array([n + cut, len(union) - cut])
-        both = jaccard.sketches(union, places, sizes)
-        assert jaccard.could_link(both[0], int(sizes[0]), both[1:], sizes[1:], 80)
+        both, at = jaccard.sketches(union, places, sizes), int(jaccard.sketch_words(sizes)[0])
+        assert jaccard.could_link(both[:at], int(sizes[0]), both[at:], sizes[1:], 80)
+        assert jaccard.could_link(both[at:], int(sizes[1]), both[:at], sizes[:1], 80)
+
+
+def test_sketches_rule_out_large_sets_that_share_half():
+    rng = np.random.default_rng(7)
+    for n in (600, 3_000, 40_000, 300_000):
+        union = rng.integers(0, 2**63, 3 * n // 2)
+        places, sizes = np.concatenate([np.arange(n), np.arange(n // 2, 3 * n // 2)]), np.array([n, n])
+        both, at = jaccard.sketches(union, places, sizes), int(jaccard.sketch_words(sizes)[0])
+        assert not jaccard.could_link(both[:at], n, both[at:], sizes[1:], 80)
 
 
 def test_similar_pairs_share_a_signature():
