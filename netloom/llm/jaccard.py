@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 
 from netloom.llm.components import components
 from netloom.llm.shingles import U, mix, sets, texts_of
-from netloom.llm.store import among, column_or_null, written
+from netloom.llm.store import among, batches_of, column_or_null, written
 
 BLOCK_SETS, BLOCK_SHINGLES = 2_048, 500_000
 #: Signatures that one task joins.
 PER_PART = 1_500_000
+#: Rows that a Python worker is given at once.
+BATCH = "8MB"
 
 
 class Levels:
@@ -349,8 +351,8 @@ def _test(percent: int):
                 pick = np.arange(len(row.nodes)) if row.only is None else np.flatnonzero(np.isin(row.nodes, row.only))
                 pick = [k for k in pick.tolist() if could_link(own[k], int(row.sizes[k]), told, row.t_sizes, percent)]
                 if pick:
-                    rows.append((row.qb, row.b, pick))
-            yield pd.DataFrame(rows, columns=["qb", "b", "pick"])
+                    rows.append((row.qb, row.b, pick, int(row.sizes[pick].sum())))
+            yield pd.DataFrame(rows, columns=["qb", "b", "pick", "shingles"])
 
     return run
 
@@ -393,13 +395,16 @@ def _open(percent: int):
 
 def _across(jobs: DataFrame, matrix: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     """Links of the sets of block ``qb`` (those in ``only`` unless it is null) with the members of block
-    ``b``. A block that is asked travels once for each ``BLOCK_SETS`` sets that ask."""
+    ``b``. A block that is asked travels once for each ``BLOCK_SETS`` sets or ``BLOCK_SHINGLES`` shingles that ask."""
     own = marks.select(F.col("b").alias("qb"), "nodes", "sizes", "sketch")
     seen = marks.select("b", F.col("sizes").alias("t_sizes"), F.col("sketch").alias("t_sketch"))
-    jobs = jobs.join(seen, "b").join(own, "qb").mapInPandas(_test(percent), "qb bigint, b bigint, pick array<int>")
+    jobs = jobs.join(seen, "b").join(own, "qb").mapInPandas(
+        _test(percent), "qb bigint, b bigint, pick array<int>, shingles bigint")
     jobs = written(jobs, "jobs")
     # only blocks that ask or are asked are moved
-    parts = jobs.groupBy("b").agg(F.ceil(F.sum(F.size("pick")) / BLOCK_SETS).cast("bigint").alias("parts"))
+    parts = jobs.groupBy("b").agg(F.greatest(
+        F.ceil(F.sum(F.size("pick")) / BLOCK_SETS), F.ceil(F.sum("shingles") / BLOCK_SHINGLES)
+    ).cast("bigint").alias("parts"))
     asking = among(matrix.select(F.col("b").alias("qb"), "union", "nodes", "sizes", "places"), "qb", jobs)
     asks = jobs.join(parts, "b").join(asking, "qb").mapInPandas(
         _ask, "b bigint, part bigint, nodes array<bigint>, sizes array<bigint>, tokens array<bigint>"
@@ -420,6 +425,11 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     links nothing. Rows that repeat an id stand for one document with the links of all of them.
     Other columns play no part. Copies are compared once.
     """
+    with batches_of(docs.sparkSession, BATCH):
+        return _similar(docs, words, percent)
+
+
+def _similar(docs: DataFrame, words: int, percent: int) -> DataFrame:
     texts = docs.select(
         column_or_null(docs, "doc_id", "bigint").alias("doc_id"),
         column_or_null(docs, "text", "string").cast("binary").alias("text"),

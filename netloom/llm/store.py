@@ -1,5 +1,8 @@
 """Tables written between the steps of one job, and small column helpers."""
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +24,21 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def batches_of(spark: SparkSession, size: str) -> Iterator[None]:
+    """Arrow batches of ``size`` for what is written within: rows that hold long arrays fill a
+    batch of the usual size with more than two Python workers have room for."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def lower_ascii(column: Column) -> Column:
     """Lower case for A-Z alone."""
     return F.translate(column, UPPER, UPPER.lower())
