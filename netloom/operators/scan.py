@@ -79,8 +79,11 @@ def by_group_size(df: DataFrame, keys: list[str], order: str, operator, limit: i
 
     It is one plan: which groups are large is a table that rows are joined to, never a list on the
     driver. Where no group is large, adaptive execution finds that table empty and drops the join and
-    the ranges.
+    the ranges. The table is broadcast: it has less than a row for each ``limit`` rows of ``df``. A join
+    that shuffles would bring each group into one task, and windows over ranges, whose keys contain the
+    group's, would all run there.
     """
     large = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit).drop("_n")
+    large = F.broadcast(large)
     rest = operator(df.join(large, keys, "left_anti"), Plain(keys, order))
     return rest.unionByName(operator(df.join(large, keys, "left_semi"), Ranged(keys, order, limit)))

@@ -3,7 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from netloom.operators.scan import Running, by_group_size
 from netloom.operators.tcp import label_segments, relative_numbers
 
 SCHEMA = (
@@ -113,3 +115,24 @@ def test_sequence_numbers_wrap(spark):
     rows = [(1, 1, *base, "SYN", 2**32 - 5, 0, 1, 0, False, 2), (1, 2, *base, "ACK", 3, 0, 10, 0, False, None)]
     got = relative_numbers(spark.createDataFrame(rows, SCHEMA)).collect()
     assert {r.frame_number: (r.rel_seq, r.scaled_win) for r in got} == {1: (0, 1), 2: (8, 40)}
+
+
+def test_ranges_of_a_large_group_lie_in_several_tasks(spark):
+    """However the table of large groups is joined, none of them may come into one task."""
+    changed = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in changed}
+    rows = spark.range(4000).selectExpr("id div 10000 as session_id", "id as frame_number")
+
+    def operator(df, scan):
+        out = scan.run(df, {"sofar": Running("sum", F.lit(1), inclusive=True)})
+        return out.withColumn("task", F.spark_partition_id())
+
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        found = by_group_size(rows, ["session_id"], "frame_number", operator, limit=100).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert all(r.sofar == r.frame_number + 1 for r in found) and len(found) == 4000
+    assert len({r.task for r in found}) > 2
