@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window as W, functions as F
 
 from netloom.functions.packet import TRANSPORTS
 from netloom.functions.predicates import shown_in_feed
@@ -14,6 +14,10 @@ DIRECTION_CODES = ("INCOMING", "OUTGOING", "")
 STATES = ("SYN_SENT", "ESTABLISHED", "FIN", "RST")
 
 
+#: Repeated frame numbers that are still a small table beside the packets.
+FEW_REPEATED = 1_000_000
+
+
 def dedup_frames(packets: DataFrame, arrival: str | None = None) -> DataFrame:
     """One row per frame number of a session.
 
@@ -25,17 +29,30 @@ def dedup_frames(packets: DataFrame, arrival: str | None = None) -> DataFrame:
     as a table, and rows are joined to it as its size allows: the optimizer knows
     that size. The choice among copies is an aggregate, so copies collapse on the
     map side even when one number (0, for unreadable ones) holds a third of all
-    rows.
+    rows. Where more than ``FEW_REPEATED`` numbers repeat, the joins would move
+    every row, and twice; all rows go through the aggregate instead.
     """
+    return dedup_and_count(packets, arrival)[0]
+
+
+def dedup_and_count(packets: DataFrame, arrival: str | None = None) -> tuple[DataFrame, int]:
+    """``dedup_frames``, and the number of rows of ``packets``."""
     keys = ["session_id", "frame_number"]
     rest = [c for c in packets.columns if c not in keys and c != arrival]
-    counts = packets.groupBy(*keys).agg(F.count("*").alias("_n"))
+    seen = Observation()
+    counts = packets.groupBy(*keys).agg(F.count("*").alias("_n")).observe(seen, F.sum("_n").alias("rows"))
     repeated = stored(counts.filter(F.col("_n") > 1).select(*keys), "repeated")
-    single = packets.join(repeated, keys, "left_anti").select(*keys, *rest)
     row = F.struct(*rest)
     first = F.min(row) if arrival is None else F.min_by(row, F.struct(F.col(arrival), row))
-    copies = packets.join(repeated, keys, "left_semi").groupBy(*keys).agg(first.alias("_r"))
-    return single.unionByName(copies.select(*keys, "_r.*"))
+    if repeated.count() > FEW_REPEATED:
+        keyed = F.col("session_id").isNotNull() & F.col("frame_number").isNotNull()
+        single = packets.filter(~keyed).select(*keys, *rest)
+        copies = packets.filter(keyed)
+    else:
+        single = packets.join(repeated, keys, "left_anti").select(*keys, *rest)
+        copies = packets.join(repeated, keys, "left_semi")
+    copies = copies.groupBy(*keys).agg(first.alias("_r"))
+    return single.unionByName(copies.select(*keys, "_r.*")), seen.get["rows"] or 0
 
 
 def _flags_text(packets: DataFrame) -> Column:

@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from netloom.functions.packet import is_tls
 from netloom.operators.flows import (
-    FLOW_KEYS, aggregate_flows, decode_flows, dedup_frames, flow_keys, flow_parts, merge_flows,
+    FLOW_KEYS, aggregate_flows, decode_flows, dedup_and_count, flow_keys, flow_parts, merge_flows,
     running_counters,
 )
 from netloom.operators.tls import apply_versions, first_versions
-from netloom.session import stored
+from netloom.session import shuffled_in, stored
 
+#: Packets of one task where whole packets are shuffled.
+TASK_ROWS = 500_000
 VERSION_KEYS = ["session_id", "lo_ip", "lo_port", "hi_ip", "hi_port"]
 
 
@@ -74,9 +76,12 @@ def rebuild(packets: DataFrame, arrival: str | None = None) -> tuple[DataFrame,
 
     Packets without repeated frames are stored once in columns, and so are the
     flows; everything else is read from there. Counters by label come from the
-    flows, which carry the final labels.
+    flows, which carry the final labels. Where whole packets are shuffled, the
+    number of tasks follows the number of packets.
     """
-    clean = stored(dedup_frames(packets, arrival), "packets")
+    clean, rows = dedup_and_count(packets, arrival)
+    with shuffled_in(packets.sparkSession, rows // TASK_ROWS + 1):
+        clean = stored(clean, "packets")
     flows = stored(build_tls_flows(clean), "flows")
     labels = flows.groupBy("session_id", F.col("protocol").alias("name")).agg(
         F.sum("total_packets").alias("packets"), F.sum("total_bytes").alias("bytes")

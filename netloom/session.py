@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,6 +67,19 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffled_in(spark: SparkSession, parts: int) -> Iterator[None]:
+    """At least ``parts`` shuffle partitions for what is written within; adaptive execution merges small ones."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    if int(before) < parts:
+        spark.conf.set(name, str(parts))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage so that lost executors do not force a full recompute.
 

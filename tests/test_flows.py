@@ -3,7 +3,7 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from helpers import T0, packet, packets
+from helpers import T0, operators, packet, packets
 from netloom.operators.dns import ip_domains
 from netloom.operators.flows import build_flows, dedup_frames, packets_per_second, running_counters
 from netloom.operators.tls import propagate_tls
@@ -123,3 +123,30 @@ def test_tls_flows_equal_relabelling_every_packet(spark):
     assert sorted(map(str, flows.collect())) == expected
     again = running_counters(propagate_tls(df)).collect()
     assert sorted(map(str, counters.select(*again[0].__fields__).collect())) == sorted(map(str, again))
+
+
+def test_many_repeated_frames_are_moved_once(spark, monkeypatch):
+    """Beyond a small table of repeated numbers no join moves the rows; the result is the same, also for null keys."""
+    from netloom.operators import flows as O
+
+    rows = [packet(n, packet_length=n % 7 + k) for n in range(40) for k in range(3)]
+    rows += [packet(1, frame_number=None), packet(1, frame_number=None), packet(1, session_id=None), packet(50)]
+    df = packets(spark, rows).withColumn("arrival", -F.col("packet_length"))
+    for arrival in (None, "arrival"):
+        few = O.dedup_frames(df, arrival)
+        with monkeypatch.context() as m:
+            m.setattr(O, "FEW_REPEATED", 10)
+            many, count = O.dedup_and_count(df, arrival)
+        assert count == len(rows) and "Join" in operators(few) and "Join" not in operators(many)
+        assert sorted(map(str, many.select(*few.columns).collect())) == sorted(map(str, few.collect()))
+
+
+def test_rebuild_shuffles_packets_in_tasks_of_bounded_size(spark, monkeypatch):
+    from netloom.operators import rebuild as R
+
+    seen, store = {}, R.stored
+    monkeypatch.setattr(R, "TASK_ROWS", 10)
+    monkeypatch.setattr(R, "stored", lambda df, label: seen.update({label: spark.conf.get("spark.sql.shuffle.partitions")}) or store(df, label))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    R.rebuild(packets(spark, [packet(n) for n in range(100)] * 2))
+    assert seen["packets"] == "21" and spark.conf.get("spark.sql.shuffle.partitions") == before
