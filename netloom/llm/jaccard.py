@@ -416,6 +416,23 @@ def _across(jobs: DataFrame, matrix: DataFrame, marks: DataFrame, percent: int)
     return written(out, "jaccard-links")
 
 
+def _meetings(held: DataFrame, percent: int) -> DataFrame:
+    """Pairs of blocks under a key, ``qb`` with sets to ask, that may hold a link not known yet. What the blocks'
+    own figures rule out is left out before anything is moved: sizes that cannot fit, single sets whose sketches
+    are too far apart, blocks of one and the same component, a block with itself (compared already), and of two
+    single sets that both ask, the second time."""
+    told = held.drop("ref")
+    asking = held.where("parts > 1 or top != ref").select(
+        "key", "ref", *[F.col(c).alias("q" + c) for c in told.columns if c != "key"]
+    )
+    turned = " + ".join(f"bit_count(qt{c} ^ t{c})" for c in SKETCH)
+    return asking.join(told, "key").where("qb != b").where(
+        f"100 * qhigh >= {percent} * low and 100 * high >= {percent} * qlow and not (qparts = 1 and parts = 1 and qtop = top)"
+    ).where(
+        f"qsets > 1 or sets > 1 or ((qb < b or top = ref) and ({turned}) * {100 + percent} <= (qhigh + high) * {100 - percent})"
+    ).select("ref", "qb", *[c for c in told.columns if c != "key"]).distinct()
+
+
 def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, n_shingles, component_id``.
 
@@ -518,8 +535,7 @@ def _similar(docs: DataFrame, words: int, percent: int) -> DataFrame:
     ), "tops")
     keys = lead.where("blocks > 2").join(tops.select(F.col("b").alias("to"), F.col("top").alias("ref")), "to").select("key", "ref")
     held = written(every.select("key", "b").distinct().join(keys, "key").join(tops, "b"), "held")
-    asking = held.where("parts > 1 or top != ref").select("key", "ref", F.col("b").alias("qb"))
-    met = asking.join(held.drop("ref"), "key").drop("key").distinct()
+    met = _meetings(held, percent)
     # a single set is far enough if the sketches differ in more bits than similar sets could in shingles
     bits = " + ".join(f"bit_count({c} ^ t{c})" for c in SKETCH)
     far = met.join(state.withColumnRenamed("b", "qb"), "qb").where(

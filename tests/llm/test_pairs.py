@@ -258,3 +258,19 @@ def test_components_on_random_graphs(spark):
     want = roots(400, links)
     assert all(got.get(x, x) == want[x] for x in range(400))
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_only_blocks_that_can_hold_a_link_meet(spark):
+    """Many single sets under one key that are far apart make no pairs; close ones meet once, known ones not again."""
+    rng = np.random.default_rng(8)
+    sketch = [[int(x) for x in rng.integers(-2**63, 2**63, 4)] for _ in range(60)]
+    near = [sketch[0][0] ^ 1, *sketch[0][1:]]
+    row = lambda b, top, s, n=40, parts=1, count=1: (1, b, 999, top, parts, count, n, n, *s)
+    rows = [row(b, b, s) for b, s in enumerate(sketch)]
+    rows += [row(100, 100, near), row(101, 0, near), row(102, 102, near, n=400), row(103, 999, near), row(104, 104, sketch[5], parts=2, count=2)]
+    held = spark.createDataFrame(rows, "key int, b long, ref long, top long, parts long, sets long, low long, high long, ts0 long, ts1 long, ts2 long, ts3 long")
+    got = {(r.qb, r.b) for r in jaccard._meetings(held, 90).collect()}
+    singles = {p for p in got if 104 not in p}
+    assert singles == {(0, 100), (100, 101), (0, 103), (100, 103), (101, 103)}
+    others = {r[1] for r in rows} - {102, 104}
+    assert got - singles == {(104, b) for b in others} | {(b, 104) for b in others - {103}}
