@@ -433,6 +433,20 @@ def _meetings(held: DataFrame, percent: int) -> DataFrame:
     ).select("ref", "qb", *[c for c in told.columns if c != "key"]).distinct()
 
 
+def _still_apart(met: DataFrame, state: DataFrame, percent: int) -> DataFrame:
+    """For pairs of blocks the sets ``only`` of ``qb`` that ask: those outside of the key's leading component. A block's
+    sets meet its pairs as one array, since a row for each set and block would grow with the square of a family."""
+    crowd = state.groupBy(F.col("b").alias("qb")).agg(F.collect_list(F.struct("node", "n", "component", *SKETCH)).alias("crowd"))
+    # a single set is far enough if the sketches differ in more bits than similar sets could in shingles
+    turned = " + ".join(f"bit_count(x.{c} ^ t{c})" for c in SKETCH)
+    only = F.expr(f"""transform(filter(crowd, x ->
+        x.component != ref and not (parts = 1 and top = x.component)
+        and 100 * x.n >= {percent} * low and 100 * high >= {percent} * x.n
+        and (sets > 1 or ({turned}) * {100 + percent} <= (x.n + high) * {100 - percent})), x -> x.node)""")
+    far = met.join(crowd, "qb").select("qb", "b", only.alias("only")).where("size(only) > 0")
+    return far.groupBy("qb", "b").agg(F.array_distinct(F.flatten(F.collect_list("only"))).alias("only"))
+
+
 def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, n_shingles, component_id``.
 
@@ -535,19 +549,12 @@ def _similar(docs: DataFrame, words: int, percent: int) -> DataFrame:
     ), "tops")
     keys = lead.where("blocks > 2").join(tops.select(F.col("b").alias("to"), F.col("top").alias("ref")), "to").select("key", "ref")
     held = written(every.select("key", "b").distinct().join(keys, "key").join(tops, "b"), "held")
-    met = _meetings(held, percent)
-    # a single set is far enough if the sketches differ in more bits than similar sets could in shingles
-    bits = " + ".join(f"bit_count({c} ^ t{c})" for c in SKETCH)
-    far = met.join(state.withColumnRenamed("b", "qb"), "qb").where(
-        "component != ref and not (parts = 1 and top = component)"
-    ).where(f"100 * n >= {percent} * low and 100 * high >= {percent} * n").where(
-        f"sets > 1 or ({bits}) * {100 + percent} <= (n + high) * {100 - percent}"
-    )
-    far = far.groupBy("qb", "b").agg(F.collect_set("node").alias("only"))
+    far = _still_apart(_meetings(held, percent), state, percent)
     rest = _across(far, matrix, marks, percent)
 
     copies = some.join(nodes.select("set1", "set2", "n", "node"), ["set1", "set2", "n"]).where("doc_id != node")
-    found = components(within.unionAll(across).unionAll(rest).unionAll(
+    # what is known so far is held by its stars
+    found = components(so_far.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(rest).unionAll(
         copies.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     ))
     out = own.join(found, F.col("doc_id") == F.col("node"), "left")

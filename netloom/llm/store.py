@@ -68,7 +68,7 @@ def among(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
         _bitmap, "segment int, bits binary"
     )
     table = np.zeros(bits // 8, np.uint8)
-    for r in parts.toLocalIterator():  # at most FILTER_BITS / _SEGMENT rows of 8 kB
+    for r in parts.collect():  # at most FILTER_BITS / _SEGMENT rows of 8 kB, in one job and not one a partition
         at = r.segment * (_SEGMENT // 8)
         table[at:at + _SEGMENT // 8] = np.frombuffer(r.bits, np.uint8)
 

@@ -274,3 +274,28 @@ def test_only_blocks_that_can_hold_a_link_meet(spark):
     assert singles == {(0, 100), (100, 101), (0, 103), (100, 103), (101, 103)}
     others = {r[1] for r in rows} - {102, 104}
     assert got - singles == {(104, b) for b in others} | {(b, 104) for b in others - {103}}
+
+
+def test_sets_of_a_family_meet_blocks_as_one_row(spark):
+    """Which sets ask is as told set by set, and the join makes a row a pair of blocks, not one for each set and block."""
+    rng = np.random.default_rng(9)
+    state = [(k, int(rng.integers(90, 111)), k % 5, int(rng.integers(0, 6)), *[int(x) for x in rng.integers(0, 4, 4)]) for k in range(200)]
+    met = [
+        (int(rng.integers(0, 6)), qb, 100 + b, int(rng.integers(0, 6)), 1 + b % 2, 1 + b % 3, 95, 105, *[int(x) for x in rng.integers(0, 4, 4)])
+        for qb in range(5) for b in range(30)
+    ]
+    want = {}
+    for ref, qb, b, top, parts, sets, low, high, *far in met:
+        for node, n, own, component, *near in state:
+            if own != qb or component == ref or (parts == 1 and top == component):
+                continue
+            turned = sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(near, far, strict=True))
+            if 100 * n >= 90 * low and 100 * high >= 90 * n and (sets > 1 or turned * 190 <= (n + high) * 10):
+                want.setdefault((qb, b), set()).add(node)
+    state = spark.createDataFrame(state, "node long, n long, b long, component long, s0 long, s1 long, s2 long, s3 long")
+    met = spark.createDataFrame(met, "ref long, qb long, b long, top long, parts long, sets long, low long, high long, ts0 long, ts1 long, ts2 long, ts3 long")
+    far = jaccard._still_apart(met.unionAll(met.limit(20)), state, 90)
+    got = {(r.qb, r.b): r.only for r in far.collect()}
+    assert {k: set(v) for k, v in got.items()} == want and all(len(v) == len(set(v)) for v in got.values())
+    plan = far._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(struct(node" in plan[plan.index("Join"):]  # the sets are one row a block before they are joined
