@@ -81,3 +81,29 @@ def test_odd_tables_pass_every_stage(spark, rows):
     assert len(packed) == docs.count()
     if rows:
         assert np.isin([r.doc_id for r in docs.collect() if r.doc_id is not None], [1, 2]).all()
+
+
+def test_texts_reach_python_in_small_batches(spark, monkeypatch):
+    """Also in a plan that is run after its stage has returned."""
+    monkeypatch.setattr(toxicity, "learn", lambda docs, labels: None)
+    monkeypatch.setattr(toxicity, "score_texts", lambda docs, lexicon, name: docs.selectExpr("*", f"0.0 as {name}"))
+    monkeypatch.setattr(secrets, "learn", lambda docs: None)
+    monkeypatch.setattr(secrets, "scan", lambda docs, field, redact: docs)
+    monkeypatch.setattr(P.packing, "pack", lambda docs, tokenizer: docs)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.range(0, 30, 1, 1).selectExpr("id as doc_id", "repeat('word ', 200000) as text")
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
+
+    try:
+        for stage in (P.drop_toxic, P.redact_secrets, P.pack_sequences):
+            spark.conf.set(name, before)
+            stage(spark, docs.limit(2), FOLDER)
+            assert max(r.n for r in docs.mapInArrow(sizes, "n bigint").collect()) < 8 << 20, stage
+    finally:
+        spark.conf.set(name, before)
