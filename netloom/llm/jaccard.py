@@ -10,7 +10,9 @@ blocks that qualify are opened and their members compared exactly.
 Which groups are looked at at all follows from signatures. Two sets of a size class that are
 similar differ in at most H shingles; with the shingles dealt into more than H parts by hash,
 one part is equal in both. A set has one signature a part, and groups that share a signature are
-candidates; nothing similar is missed. Of groups that share one, all are compared with the
+candidates; nothing similar is missed. There are more parts than needed, so more than one is equal, and a set may
+leave out as many of its signatures as it has to spare: those most frequent in a sample, which come from passages
+that many texts share. Of groups that share one, all are compared with the
 most frequent of them first, then only sets that this has not connected with its largest
 component, so that a large family of near copies costs no pairs of all with all.
 """
@@ -29,6 +31,13 @@ from netloom.llm.store import among, batches_of, column_or_null, written
 BLOCK_SETS, BLOCK_SHINGLES = 2_048, 500_000
 #: Signatures that one task joins.
 PER_PART = 1_500_000
+#: Shingles of the texts that tell frequent signatures from others, and signatures known as frequent. They decide which ones
+#: are left out, never whether similar sets share one.
+SAMPLE, FREQUENT = 8_000_000, 1 << 19
+#: Bits of a signature by which its frequency is known.
+KNOWN = U((1 << 56) - 1)
+#: Parts more than needed, for each 100 that are.
+SPARE = 10
 #: Rows that a Python worker is given at once.
 BATCH = "8MB"
 
@@ -52,7 +61,7 @@ class Levels:
         more than ``spare`` are."""
         largest = starts[level + 1] - 1
         differ = 2 * largest * (100 - self.percent) // (100 + self.percent)
-        spare = 3 + differ * 3 // 100
+        spare = 3 + differ * SPARE // 100
         return differ + 1 + spare, spare
 
 
@@ -87,8 +96,15 @@ SKETCH = [f"s{w}" for w in range(4)]
 SETS = "doc_id bigint, n bigint, set1 bigint, set2 bigint, g bigint, " + ", ".join(f"{c} bigint" for c in SKETCH)
 
 
-def signatures(h: np.ndarray, bounds: np.ndarray, found: dict, levels: Levels) -> tuple[np.ndarray, np.ndarray]:
-    """All signatures, and the number of the text of each."""
+def signatures(
+    h: np.ndarray, bounds: np.ndarray, found: dict, levels: Levels, frequent: tuple[np.ndarray, np.ndarray] | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """All signatures, and the number of the text of each. With ``frequent`` (signatures, ascending, and how often each
+    was seen) without the most frequent ones of each set.
+
+    Similar sets have 1 + spare equal parts, at least 1 + spare - e of them not empty if one of the sets has e empty ones. In one
+    order of all signatures, the rarest that both have is followed by spare - e others of both, so it is not among
+    the last spare - e of either."""
     n, level = found["n"], found["level"]
     docs = np.flatnonzero(n)
     if not len(docs):
@@ -106,14 +122,30 @@ def signatures(h: np.ndarray, bounds: np.ndarray, found: dict, levels: Levels) -
         np.add.at(sums, key, value)
         empty = np.bincount(key, minlength=first[-1]) == 0
         owner = np.repeat(np.arange(len(docs)), parts)
-        keep = ~empty | (np.add.reduceat(empty, first[:-1], dtype=np.int64) > spare)[owner]
+        blank = np.add.reduceat(empty, first[:-1], dtype=np.int64)
+        keep = ~empty | (blank > spare)[owner]
         where = (np.arange(first[-1]) - first[:-1][owner])[keep]
         owner = owner[keep]
-        sigs.append(mix(sums[keep] + mix((where * 1024 + level[docs][owner] + up).astype(np.uint64), 17), 18))
+        sig = mix(sums[keep] + mix((where * 1024 + level[docs][owner] + up).astype(np.uint64), 17), 18)
+        if frequent is not None:
+            order = np.lexsort((sig, _seen(sig, frequent), owner))
+            sig = sig[order]  # the owners are in order as they are
+            ends = np.cumsum(np.bincount(owner, minlength=len(docs)))
+            keep = ends[owner] - np.arange(len(owner)) > np.maximum(spare - blank, 0)[owner]
+            sig, owner = sig[keep], owner[keep]
+        sigs.append(sig)
         owners.append(docs[owner])
     return np.concatenate(sigs), np.concatenate(owners)
 
 
+def _seen(sig: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    known, times = frequent
+    if not len(known):
+        return np.zeros(len(sig), np.int64)
+    at = np.minimum(np.searchsorted(known, sig & KNOWN), len(known) - 1)
+    return np.where(known[at] == sig & KNOWN, times[at], 0)
+
+
 def _reader(width: int, percent: int):
     def read(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -132,7 +164,7 @@ def _reader(width: int, percent: int):
     return read
 
 
-def _signer(width: int, percent: int, bits: int):
+def _signer(width: int, percent: int, bits: int, frequent: tuple[np.ndarray, np.ndarray] | None = None):
     def sign(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -145,7 +177,7 @@ def _signer(width: int, percent: int, bits: int):
                 sets_seen = np.stack([m["set1"], m["set2"], m["n"].astype(np.uint64)])
                 first = np.zeros(len(m["n"]), bool)
                 first[np.unique(sets_seen, axis=1, return_index=True)[1]] = True
-                sig, owner = signatures(h, bounds, m, levels)
+                sig, owner = signatures(h, bounds, m, levels, frequent)
                 keep = first[owner]
                 sig, g = sig[keep], m["g"][owner[keep]]
                 if not len(sig):
@@ -176,20 +208,49 @@ def _wide(parts: list[bytes], width: int) -> np.ndarray:
     return out.reshape(-1).view(np.uint64)
 
 
+def _runs(rows: pd.DataFrame, bits: int) -> tuple[np.ndarray, ...]:
+    """Distinct pairs of signature and group with their number, and where each signature begins and of how many groups it is."""
+    sig, g = _wide(list(rows["sig"]), 7 if bits <= 8 else 8), _wide(list(rows["g"]), 5)
+    order = np.lexsort((g, sig))
+    sig, g = sig[order], g[order]
+    new = np.ones(len(sig), bool)
+    new[1:] = (sig[1:] != sig[:-1]) | (g[1:] != g[:-1])
+    at = np.flatnonzero(new)
+    count = np.diff(np.append(at, len(sig)))
+    sig, g = sig[at], g[at]
+    run = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    return sig, g, count, run, np.diff(np.append(run, len(sig)))
+
+
+def _frequent(bits: int):
+    """Signatures of three groups and more, the most frequent of a part if there are many."""
+
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        sig, _, _, run, size = _runs(rows, bits)
+        pick = np.flatnonzero(size > 2)
+        pick = pick[np.argsort(-size[pick], kind="stable")[:max(1, FREQUENT >> bits)]]
+        return pd.DataFrame({"sig": [(sig[run[pick]] & KNOWN).tobytes()], "times": [size[pick].astype(np.int64).tobytes()]})
+
+    return count
+
+
+def frequent_signatures(texts: DataFrame, words: int, percent: int, bits: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent signatures and in how many groups of a sample of ``texts`` (of ``total`` shingles) each was seen."""
+    some = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(-(-total // SAMPLE) or 1)) == 0)
+    found = some.mapInArrow(_signer(words, percent, bits), "part bigint, sig binary, g binary").groupBy("part").applyInPandas(
+        _frequent(bits), "sig binary, times binary"
+    ).collect()  # FREQUENT signatures of 16 bytes at most
+    sig = np.frombuffer(b"".join(r.sig for r in found), np.uint64)
+    times = np.frombuffer(b"".join(r.times for r in found), np.int64)
+    order = np.lexsort((times, sig))
+    return sig[order], times[order]
+
+
 def _shared(bits: int):
     """Signatures of more than one group: one row a group, under the hash of the groups' set."""
 
     def join(rows: pd.DataFrame) -> pd.DataFrame:
-        sig, g = _wide(list(rows["sig"]), 7 if bits <= 8 else 8), _wide(list(rows["g"]), 5)
-        order = np.lexsort((g, sig))
-        sig, g = sig[order], g[order]
-        new = np.ones(len(sig), bool)
-        new[1:] = (sig[1:] != sig[:-1]) | (g[1:] != g[:-1])
-        at = np.flatnonzero(new)
-        count = np.diff(np.append(at, len(sig)))
-        sig, g = sig[at], g[at]
-        run = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        size = np.diff(np.append(run, len(sig)))
+        sig, g, count, run, size = _runs(rows, bits)
         key = np.add.reduceat(mix(g, 21), run)
         pick = np.flatnonzero(size > 1)
         pick = pick[np.unique(key[pick], return_index=True)[1]]
@@ -430,7 +491,7 @@ def _meetings(held: DataFrame, percent: int) -> DataFrame:
         f"100 * qhigh >= {percent} * low and 100 * high >= {percent} * qlow and not (qparts = 1 and parts = 1 and qtop = top)"
     ).where(
         f"qsets > 1 or sets > 1 or ((qb < b or top = ref) and ({turned}) * {100 + percent} <= (qhigh + high) * {100 - percent})"
-    ).select("ref", "qb", *[c for c in told.columns if c != "key"]).distinct()
+    ).select("ref", "qb", "b").distinct().join(told.drop("key").distinct(), "b")
 
 
 def _still_apart(met: DataFrame, state: DataFrame, percent: int) -> DataFrame:
@@ -476,7 +537,9 @@ def _similar(docs: DataFrame, words: int, percent: int) -> DataFrame:
     total = own.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     signed = total * 4 * (100 - percent) // (100 + percent) + 1
     bits = max(6, min(20, int(signed // PER_PART).bit_length()))
-    shared = texts.where("doc_id is not null").mapInArrow(_signer(words, percent, bits), "part bigint, sig binary, g binary")
+    known = texts.where("doc_id is not null")
+    frequent = frequent_signatures(known, words, percent, bits, total)
+    shared = known.mapInArrow(_signer(words, percent, bits, frequent), "part bigint, sig binary, g binary")
     shared = shared.groupBy("part").applyInPandas(_shared(bits), "key bigint, g bigint, seen bigint")
     shared = written(shared.groupBy("key", "g").agg(F.max("seen").alias("seen")), "shared")
 

@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from netloom.llm import jaccard, near_vectors, nearest, shingles, suffixes
+from netloom.llm import jaccard, near_vectors, nearest, shingles, store, suffixes
 from netloom.llm.components import components
 
 
@@ -128,6 +128,49 @@ def test_similar_pairs_share_a_signature():
                 assert set(sig[owner == 0]) & set(sig[owner == 1])
 
 
+def test_similar_pairs_share_a_signature_that_both_keep():
+    """Whatever signatures count as frequent, similar sets that leave out the most frequent of theirs keep one in common."""
+    rng = np.random.default_rng(10)
+    left_out = 0
+    for percent in (80, 90):
+        levels = jaccard.Levels(percent)
+        for n in (1, 5, 9, 10, 19, 57, 300, 2_000):
+            for k in range(20):
+                common = rng.integers(0, 2**63, n, dtype=np.uint64)
+                extra = n * 100 // percent - n
+                a = rng.integers(0, extra + 1)
+                x = np.concatenate([common, rng.integers(0, 2**63, a, dtype=np.uint64)])
+                y = np.concatenate([common, rng.integers(0, 2**63, extra - a, dtype=np.uint64)])
+                h, bounds = np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)])
+                m = jaccard.measures(h, bounds, levels)
+                every, owner = jaccard.signatures(h, bounds, m, levels)
+                both = np.intersect1d(every[owner == 0], every[owner == 1])
+                known = np.unique(both[: (0, 3, len(both))[k % 3]] & jaccard.KNOWN)
+                sig, owner = jaccard.signatures(h, bounds, m, levels, (known, rng.integers(3, 6, len(known))))
+                assert set(sig[owner == 0]) & set(sig[owner == 1])
+                left_out += len(every) - len(sig)
+    assert left_out > 1_000
+
+
+def test_passages_in_many_texts_make_few_candidates(spark, monkeypatch):
+    """Texts that share passages but are not similar don't meet one another under the passages' signatures."""
+    rng = np.random.default_rng(11)
+    passages = [[f"p{x}" for x in rng.integers(0, 10**6, 25)] for _ in range(4)]
+    texts = []
+    for _ in range(150):
+        parts = [[f"w{x}" for x in rng.integers(0, 10**6, 100)] for _ in range(5)]
+        texts.append([w for k, p in enumerate(parts) for w in p + (passages[k] if k < 4 else [])])
+    texts += [edited(rng, t, 2) for t in texts[:10]]
+    made = {}
+    monkeypatch.setattr(jaccard, "written", lambda df, label: made.setdefault((label, len(made)), store.written(df, label)))
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.similar(docs, 5, 80).collect()}
+    assert got == {k: k - 150 if k >= 150 else k for k in range(160)}
+    shared = next(df for (label, _), df in made.items() if label == "shared")
+    pairs = shared.groupBy("key").count().selectExpr("sum(count * count)").first()[0]
+    assert pairs < 2_000
+
+
 def test_shingle_sizes_on_random_bytes():
     rng = np.random.default_rng(2)
     texts = ["".join(rng.choice(["a", "B", "é", " ", "\n", "\x0b", "c "], rng.integers(0, 30))) for _ in range(400)]
