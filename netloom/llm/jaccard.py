@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from netloom.llm.components import components
 from netloom.llm.shingles import U, mix, sets, texts_of
-from netloom.llm.store import among, batches_of, column_or_null, written
+from netloom.llm.store import among, batches_of, column_or_null, shuffles_dropped, written
 
 BLOCK_SETS, BLOCK_SHINGLES = 2_048, 500_000
 #: Signatures that one task joins.
@@ -34,6 +34,8 @@ PER_PART = 1_500_000
 #: Shingles of the texts that tell frequent signatures from others, and signatures known as frequent. They decide which ones
 #: are left out, never whether similar sets share one.
 SAMPLE, FREQUENT = 8_000_000, 1 << 19
+#: Of so many texts one is in the sample at least: in a thinner one, passages that make many pairs would not be seen.
+SPARSEST = 16
 #: Bits of a signature by which its frequency is known.
 KNOWN = U((1 << 56) - 1)
 #: Parts more than needed, for each 100 that are.
@@ -81,19 +83,12 @@ def measures(h: np.ndarray, bounds: np.ndarray, levels: Levels) -> dict[str, np.
     # 40 bits; groups that meet by chance are one group, which only costs comparisons
     out["g"] = (mix(out.pop("least") + level.astype(np.uint64), 14) >> U(24)).astype(np.int64)
     out["level"] = level
-    # parity sketch: each shingle turns one of 256 bits, so sketches differ in no more bits than sets do in shingles
-    spot = mix(h, 19)
-    word, bit = spot >> U(62), U(1) << ((spot >> U(32)) & U(63))
-    for w in range(4):
-        value = np.zeros(len(n), np.uint64)
-        if len(full):
-            value[full] = np.bitwise_xor.reduceat(np.where(word == U(w), bit, U(0)), at)
-        out[f"s{w}"] = value
     return out
 
 
+#: The words of a set's sketch folded to 256 bits.
 SKETCH = [f"s{w}" for w in range(4)]
-SETS = "doc_id bigint, n bigint, set1 bigint, set2 bigint, g bigint, " + ", ".join(f"{c} bigint" for c in SKETCH)
+SETS = "doc_id bigint, n bigint, set1 bigint, set2 bigint, g bigint, sketch binary, " + ", ".join(f"{c} bigint" for c in SKETCH)
 
 
 def signatures(
@@ -155,11 +150,16 @@ def _reader(width: int, percent: int):
             for at, to, data, offsets in texts_of(batch.column("text")):
                 h, bounds = sets(data, offsets, width)
                 m = measures(h, bounds, levels)
+                words = sketch_words(m["n"])
+                first = np.cumsum(words) - words
+                told = sketches(h >> U(1), slice(None), m["n"])
+                short = [np.bitwise_xor.reduceat(told[w::4], first // 4) for w in range(4)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(at, to - at), pa.array(m["n"].astype(np.int64)),
                      pa.array(m["set1"].view(np.int64)), pa.array(m["set2"].view(np.int64)), pa.array(m["g"]),
-                     *[pa.array(m[c].view(np.int64)) for c in SKETCH]],
-                    names=["doc_id", "n", "set1", "set2", "g", *SKETCH])
+                     pa.array([x.tobytes() for x in np.split(told, first[1:])], pa.binary()),
+                     *[pa.array(x.view(np.int64)) for x in short]],
+                    names=["doc_id", "n", "set1", "set2", "g", "sketch", *SKETCH])
 
     return read
 
@@ -236,7 +236,7 @@ def _frequent(bits: int):
 
 def frequent_signatures(texts: DataFrame, words: int, percent: int, bits: int, total: int) -> tuple[np.ndarray, np.ndarray]:
     """Frequent signatures and in how many groups of a sample of ``texts`` (of ``total`` shingles) each was seen."""
-    some = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(-(-total // SAMPLE) or 1)) == 0)
+    some = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(min(-(-total // SAMPLE), SPARSEST) or 1)) == 0)
     found = some.mapInArrow(_signer(words, percent, bits), "part bigint, sig binary, g binary").groupBy("part").applyInPandas(
         _frequent(bits), "sig binary, times binary"
     ).collect()  # FREQUENT signatures of 16 bytes at most
@@ -320,20 +320,29 @@ def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
     return sketch
 
 
-def could_link(mine: np.ndarray, n: int, told: np.ndarray, sizes: np.ndarray, percent: int) -> bool:
-    """May the set of ``n`` shingles with the sketch ``mine`` be similar to any of the sets of these sizes, whose
-    sketches lie in ``told`` one after another?"""
+def _apart(mine: np.ndarray, told: np.ndarray) -> np.ndarray:
+    """Bits in which sketches differ, row by row; the longer ones are folded to the length of the others."""
+    least = min(mine.shape[-1], told.shape[-1])
+    return np.bitwise_count(_folded(told, least) ^ _folded(mine, least)).sum(-1, dtype=np.int64)
+
+
+def near_sets(mine: np.ndarray, n: int, told: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the sets of these sizes, whose sketches lie in ``told`` one after another, may be similar to the set
+    of ``n`` shingles with the sketch ``mine``?"""
     fits = np.flatnonzero((100 * n >= percent * sizes) & (100 * sizes >= percent * n))
     words = sketch_words(sizes)
     first = np.cumsum(words) - words
+    out = [fits[:0]]
     for width in np.unique(words[fits]).tolist():
         those = fits[words[fits] == width]
-        other = told[first[those][:, None] + np.arange(width)]
-        least = min(width, len(mine))
-        apart = np.bitwise_count(_folded(other, least) ^ _folded(mine, least)).sum(1, dtype=np.int64)
-        if (apart * (100 + percent) <= (n + sizes[those]) * (100 - percent)).any():
-            return True
-    return False
+        apart = _apart(mine, told[first[those][:, None] + np.arange(width)])
+        out.append(those[apart * (100 + percent) <= (n + sizes[those]) * (100 - percent)])
+    return np.concatenate(out)
+
+
+def could_link(mine: np.ndarray, n: int, told: np.ndarray, sizes: np.ndarray, percent: int) -> bool:
+    """May the set be similar to any of those in ``told``?"""
+    return len(near_sets(mine, n, told, sizes, percent)) > 0
 
 
 def _blocks(rows: pd.DataFrame) -> pd.DataFrame:
@@ -351,12 +360,6 @@ def _blocks(rows: pd.DataFrame) -> pd.DataFrame:
 BLOCKS = "b bigint, union array<bigint>, nodes array<bigint>, sizes array<bigint>, places array<int>"
 
 
-def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        made = [sketches(r.union, r.places, r.sizes).tobytes() for r in batch.itertuples(index=False)]
-        yield batch[["b", "nodes", "sizes"]].assign(sketch=made)
-
-
 def linked(asks: tuple, told: tuple, percent: int) -> list[tuple[int, int]]:
     """Links between members of two blocks that connect what was not connected yet: as many as are
     needed for the same components as all links. A block is its union, nodes, sizes and places."""
@@ -400,20 +403,45 @@ def _within(percent: int):
     return run
 
 
+def _singles(batch: pd.DataFrame, percent: int) -> np.ndarray:
+    """Pairs of blocks of one set each that the sketches do not rule out."""
+    n, m = (np.fromiter((x[0] for x in batch[c]), np.int64, len(batch)) for c in ("sizes", "t_sizes"))
+    keep = (100 * n >= percent * m) & (100 * m >= percent * n)
+    mine, told = sketch_words(n), sketch_words(m)
+    for x, y in np.unique(np.stack([mine[keep], told[keep]]), axis=1).T.tolist():
+        those = np.flatnonzero(keep & (mine == x) & (told == y))
+        a, b = (
+            np.frombuffer(b"".join(batch[c].iloc[k][0] for k in those), np.uint64).reshape(-1, w)
+            for c, w in (("sketch", x), ("t_sketch", y))
+        )
+        keep[those] = _apart(a, b) * (100 + percent) <= (n + m)[those] * (100 - percent)
+    return keep
+
+
 def _test(percent: int):
-    """Which sets of a block (of all, or those in ``only``) the sketches of another one do not rule out."""
+    """Which sets of a block (of all, or those in ``only``) the sketches of another one do not rule out, and which of
+    the other one's are left for them. Of a block with itself, sets that may be similar to another one."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for row in batch.itertuples(index=False):
-                own, told = (np.frombuffer(x, np.uint64) for x in (row.sketch, row.t_sketch))
-                own = np.split(own, np.cumsum(sketch_words(row.sizes))[:-1])
+            single = ((batch["nodes"].map(len) == 1) & (batch["t_nodes"].map(len) == 1)).to_numpy()
+            pairs = batch[single]
+            for row in pairs[_singles(pairs, percent)].itertuples(index=False):
+                if row.only is None or row.nodes[0] in row.only:
+                    rows.append((row.qb, row.b, row.nodes, row.t_nodes, int(row.sizes[0])))
+            for row in batch[~single].itertuples(index=False):
+                own = [np.frombuffer(x, np.uint64) for x in row.sketch]
+                told = np.frombuffer(b"".join(row.t_sketch), np.uint64)
                 pick = np.arange(len(row.nodes)) if row.only is None else np.flatnonzero(np.isin(row.nodes, row.only))
-                pick = [k for k in pick.tolist() if could_link(own[k], int(row.sizes[k]), told, row.t_sizes, percent)]
-                if pick:
-                    rows.append((row.qb, row.b, pick, int(row.sizes[pick].sum())))
-            yield pd.DataFrame(rows, columns=["qb", "b", "pick", "shingles"])
+                left = [near_sets(own[k], int(row.sizes[k]), told, row.t_sizes, percent) for k in pick.tolist()]
+                if row.qb == row.b:
+                    left = [x[x != k] for k, x in zip(pick.tolist(), left, strict=True)]
+                pick = pick[[len(x) > 0 for x in left]]
+                if len(pick):
+                    hits = np.unique(np.concatenate(left))
+                    rows.append((row.qb, row.b, np.unique(row.nodes[pick]), np.unique(row.t_nodes[hits]), int(row.sizes[pick].sum())))
+            yield pd.DataFrame(rows, columns=["qb", "b", "pick", "hits", "shingles"])
 
     return run
 
@@ -427,7 +455,7 @@ def _ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows, held = [], 0
         for row in batch.itertuples(index=False):
-            ends, pick = np.cumsum(row.sizes), np.asarray(row.pick)
+            ends, pick = np.cumsum(row.sizes), np.flatnonzero(np.isin(row.nodes, row.pick))
             while len(pick):
                 now = max(1, int(np.searchsorted(np.cumsum(row.sizes[pick]), FRAME, "right")))
                 now, pick = pick[:now], pick[now:]
@@ -454,23 +482,48 @@ def _open(percent: int):
     return run
 
 
-def _across(jobs: DataFrame, matrix: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """Links of the sets of block ``qb`` (those in ``only`` unless it is null) with the members of block
-    ``b``. A block that is asked travels once for each ``BLOCK_SETS`` sets or ``BLOCK_SHINGLES`` shingles that ask."""
+def _tested(jobs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """Of pairs of blocks ``qb, b`` (and sets of ``qb`` in ``only`` unless it is null) those that sketches do not rule out,
+    with the sets of ``qb`` that ask (``pick``) and those of ``b`` that may answer (``hits``)."""
     own = marks.select(F.col("b").alias("qb"), "nodes", "sizes", "sketch")
-    seen = marks.select("b", F.col("sizes").alias("t_sizes"), F.col("sketch").alias("t_sketch"))
-    jobs = jobs.join(seen, "b").join(own, "qb").mapInPandas(
-        _test(percent), "qb bigint, b bigint, pick array<int>, shingles bigint")
-    jobs = written(jobs, "jobs")
-    # only blocks that ask or are asked are moved
+    seen = marks.select("b", *[F.col(c).alias("t_" + c) for c in ("nodes", "sizes", "sketch")])
+    return written(jobs.join(seen, "b").join(own, "qb").mapInPandas(
+        _test(percent), "qb bigint, b bigint, pick array<bigint>, hits array<bigint>, shingles bigint"
+    ), "jobs")
+
+
+def _matrix(jobs: DataFrame, placed: DataFrame, known: DataFrame, words: int, percent: int) -> DataFrame:
+    """Blocks of the sets that ask or may answer; shingles of others are not read from their texts."""
+    wanted = jobs.select(F.col("qb").alias("b"), F.explode("pick").alias("node")).unionAll(
+        jobs.select("b", F.explode("hits").alias("node"))
+    ).distinct()
+    homes = written(placed.join(wanted, ["b", "node"]).select("b", "node", "set1", "set2"), "homes")
+    texts = among(known.withColumnRenamed("doc_id", "node"), "node", homes)
+    blocks = homes.groupBy("b").agg((F.count("*") == 1).alias("alone"))
+    read = homes.join(blocks, "b").join(texts, "node").select("b", "node", "set1", "set2", "alone", "text")
+    read = read.mapInArrow(_tokenizer(words, percent), "b bigint, node bigint, alone boolean, tokens array<bigint>")
+    members = written(read, "members")
+    n = F.size("tokens").cast("bigint")
+    alone = members.where("alone").select(
+        "b", F.col("tokens").alias("union"), F.array("node").alias("nodes"), F.array(n).alias("sizes"),
+        F.sequence(F.lit(0), F.size("tokens") - 1).alias("places"),
+    )
+    built = members.where("not alone").drop("alone").groupBy("b").applyInPandas(_blocks, BLOCKS)
+    return alone.unionByName(written(built, "matrix"))  # lone sets are read from where they are
+
+
+def _across(jobs: DataFrame, matrix: DataFrame, percent: int) -> DataFrame:
+    """Links of the sets of block ``qb`` that ask with the members of block ``b``. A block that is asked travels
+    once for each ``BLOCK_SETS`` sets or ``BLOCK_SHINGLES`` shingles that ask."""
+    jobs = jobs.where("qb != b")
     parts = jobs.groupBy("b").agg(F.greatest(
         F.ceil(F.sum(F.size("pick")) / BLOCK_SETS), F.ceil(F.sum("shingles") / BLOCK_SHINGLES)
     ).cast("bigint").alias("parts"))
-    asking = among(matrix.select(F.col("b").alias("qb"), "union", "nodes", "sizes", "places"), "qb", jobs)
-    asks = jobs.join(parts, "b").join(asking, "qb").mapInPandas(
+    asking = matrix.select(F.col("b").alias("qb"), "union", "nodes", "sizes", "places")
+    asks = jobs.select("qb", "b", "pick").join(parts, "b").join(asking, "qb").mapInPandas(
         _ask, "b bigint, part bigint, nodes array<bigint>, sizes array<bigint>, tokens array<bigint>"
     )
-    told = parts.join(among(matrix, "b", jobs), "b").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    told = parts.join(matrix, "b").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
     told = told.select("b", "part", "union", "nodes", "sizes", "places")
     told, asks = told.toDF(*told.columns), asks.toDF(*asks.columns)
     out = asks.groupBy("b", "part").cogroup(told.groupBy("b", "part")).applyInPandas(_open(percent), "a bigint, b bigint")
@@ -517,7 +570,7 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     links nothing. Rows that repeat an id stand for one document with the links of all of them.
     Other columns play no part. Copies are compared once.
     """
-    with batches_of(docs.sparkSession, BATCH):
+    with batches_of(docs.sparkSession, BATCH), shuffles_dropped(docs.sparkSession):
         return _similar(docs, words, percent)
 
 
@@ -555,23 +608,14 @@ def _similar(docs: DataFrame, words: int, percent: int) -> DataFrame:
     )
     placed = written(placed, "placed")
     blocks = written(placed.groupBy("g", "b").count(), "blocks")
-    text_of = among(texts.where("doc_id is not null").withColumnRenamed("doc_id", "node"), "node", placed)
-    homes = placed.join(blocks.select("b", "count"), "b").select("b", "node", "set1", "set2", (F.col("count") == 1).alias("alone"))
-    read = homes.join(text_of, "node").select("b", "node", "set1", "set2", "alone", "text")
-    read = read.mapInArrow(_tokenizer(words, percent), "b bigint, node bigint, alone boolean, tokens array<bigint>")
-    members = written(read, "members")
-    n = F.size("tokens").cast("bigint")
-    alone = members.where("alone").select(
-        "b", F.col("tokens").alias("union"), F.array("node").alias("nodes"), F.array(n).alias("sizes"),
-        F.sequence(F.lit(0), F.size("tokens") - 1).alias("places"),
-    )
-    built = members.where("not alone").drop("alone").groupBy("b").applyInPandas(_blocks, BLOCKS)
-    matrix = alone.unionByName(written(built, "matrix"))  # lone sets are read from where they are
-    marks = written(matrix.mapInPandas(_sketched, "b bigint, nodes array<bigint>, sizes array<bigint>, sketch binary"), "marks")
-
-    # within each block, then every block with the largest one of the leading group
-    inside = matrix.where(F.size("nodes") > 1).mapInPandas(_within(percent), "a bigint, b bigint")
-    within = written(inside, "jaccard-links")
+    told = own.select(F.col("doc_id").alias("node"), "set1", "set2", "n", "sketch")
+    told = placed.select("b", "node", "set1", "set2", "n").join(told, ["node", "set1", "set2", "n"]).distinct()
+    told = told.groupBy("b").agg(F.sort_array(F.collect_list(F.struct("node", "n", "sketch"))).alias("sets"))
+    marks = written(told.select(
+        "b", F.col("sets.node").alias("nodes"), F.col("sets.n").alias("sizes"), F.col("sets.sketch").alias("sketch")
+    ), "marks")
+
+    # within each block, and every block with the largest one of the leading group
     heads = blocks.groupBy("g").agg(F.max_by("b", F.struct("count", "b")).alias("head"))
     every = shared.select("key", "g", "seen").unionAll(
         live.where("cut > 1").select(F.xxhash64("g").alias("key"), "g", F.lit(1).cast("bigint"))
@@ -593,8 +637,12 @@ def _similar(docs: DataFrame, words: int, percent: int) -> DataFrame:
         f"100 * high >= {percent} * tlow and 100 * thigh >= {percent} * low"
     ).where(
         f"asks > 1 or tasks > 1 or ({turned}) * {100 + percent} <= (high + thigh) * {100 - percent}"
-    ).select("qb", "b")
-    across = _across(first.withColumn("only", F.lit(None).cast("array<bigint>")), matrix, marks, percent)
+    ).select("qb", "b").unionAll(blocks.where("count > 1").select(F.col("b").alias("qb"), "b"))
+    jobs = _tested(first.withColumn("only", F.lit(None).cast("array<bigint>")), marks, percent)
+    matrix = _matrix(jobs, placed, known, words, percent)
+    inside = matrix.where(F.size("nodes") > 1).mapInPandas(_within(percent), "a bigint, b bigint")
+    within = written(inside, "jaccard-links")
+    across = _across(jobs, matrix, percent)
 
     # sets that are still apart from the leading block's largest component meet all blocks of the key
     so_far = components(within.unionAll(across))
@@ -613,7 +661,8 @@ def _similar(docs: DataFrame, words: int, percent: int) -> DataFrame:
     keys = lead.where("blocks > 2").join(tops.select(F.col("b").alias("to"), F.col("top").alias("ref")), "to").select("key", "ref")
     held = written(every.select("key", "b").distinct().join(keys, "key").join(tops, "b"), "held")
     far = _still_apart(_meetings(held, percent), state, percent)
-    rest = _across(far, matrix, marks, percent)
+    jobs = _tested(far, marks, percent)
+    rest = _across(jobs, _matrix(jobs, placed, known, words, percent), percent)
 
     copies = some.join(nodes.select("set1", "set2", "n", "node"), ["set1", "set2", "n"]).where("doc_id != node")
     # what is known so far is held by its stars

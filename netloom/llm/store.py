@@ -39,6 +39,21 @@ def batches_of(spark: SparkSession, size: str) -> Iterator[None]:
         spark.conf.set(_BATCH, before)
 
 
+_DROP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a job within go when it has ended. Otherwise those of all jobs stay on the disks until the driver happens
+    to collect its garbage. For jobs that write tables; none of them is run again."""
+    before = spark.conf.get(_DROP, "false")
+    spark.conf.set(_DROP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_DROP, before)
+
+
 def lower_ascii(column: Column) -> Column:
     """Lower case for A-Z alone."""
     return F.translate(column, UPPER, UPPER.lower())

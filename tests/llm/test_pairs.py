@@ -2,8 +2,10 @@
 
 import hashlib
 import re
+import time
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from netloom.llm import jaccard, near_vectors, nearest, shingles, store, suffixes
@@ -171,6 +173,63 @@ def test_passages_in_many_texts_make_few_candidates(spark, monkeypatch):
     assert pairs < 2_000
 
 
+def test_shingles_are_stored_of_sets_that_sketches_leave(spark, monkeypatch):
+    """Texts that share a passage with one other meet it, but no shingles of theirs are written; shuffle files go with their job."""
+    rng = np.random.default_rng(12)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    texts = []
+    for _ in range(60):
+        passage = words(120)
+        texts += [words(80) + passage, passage + words(80)]
+    texts += [edited(rng, t, 2) for t in texts[:10]]
+    made = []
+    monkeypatch.setattr(jaccard, "written", lambda df, label: made.append((label, store.written(df, label))) or made[-1][1])
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {str(f) for f in str(disk.getAllFiles().mkString(",")).split(",") if "/shuffle_" in f}
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    before = shuffled()
+    found = jaccard.similar(docs, 5, 80)
+    for _ in range(50):  # they are removed without waiting
+        if shuffled() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffled() <= before
+    assert {r.doc_id: r.component_id for r in found.collect()} == {k: k - 120 if k >= 120 else k for k in range(130)}
+    placed = next(df for label, df in made if label == "placed")
+    assert placed.count() > 100  # they share signatures
+    assert {r.node for label, df in made if label == "members" for r in df.collect()} == {*range(10), *range(120, 130)}
+
+
+def test_frequent_signatures_are_found_in_any_number_of_texts(spark):
+    """The sample grows with the texts: a passage of hundreds is seen however many shingles there are in all."""
+    rng = np.random.default_rng(13)
+    passage = " ".join(f"p{x}" for x in rng.integers(0, 10**6, 60))
+    rows = [(k, passage + " " + " ".join(f"w{x}" for x in rng.integers(0, 10**6, 60))) for k in range(800)]
+    texts = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("doc_id", "cast(text as binary) text")
+    for total in (10**4, 10**12):
+        known, times = jaccard.frequent_signatures(texts, 5, 80, 6, total)
+        assert len(known) and times.max() > 10
+
+
+def test_single_sets_are_tested_together_as_one_by_one():
+    rng = np.random.default_rng(14)
+    rows = []
+    for _ in range(400):
+        n = int(rng.choice([3, 30, 500, 700, 3_000]))
+        common, a, b = (rng.integers(0, 2**63, k) for k in (n, rng.integers(0, n // 3 + 1), rng.integers(0, n // 3 + 1)))
+        x, y = np.concatenate([common, a]), np.concatenate([common, b])
+        told = [jaccard.sketches(z, slice(None), np.array([len(z)])) for z in (x, y)]
+        rows.append((1, 2, None, [7], [len(x)], [told[0].tobytes()], [8], [len(y)], [told[1].tobytes()]))
+    batch = pd.DataFrame(rows, columns=["qb", "b", "only", "nodes", "sizes", "sketch", "t_nodes", "t_sizes", "t_sketch"])
+    want = [
+        jaccard.could_link(np.frombuffer(r.sketch[0], np.uint64), r.sizes[0], np.frombuffer(r.t_sketch[0], np.uint64), np.array(r.t_sizes), 80)
+        for r in batch.itertuples()
+    ]
+    assert 50 < sum(want) < 350
+    assert jaccard._singles(batch, 80).tolist() == want
+    assert jaccard._singles(batch[:0], 80).tolist() == []
+
+
 def test_shingle_sizes_on_random_bytes():
     rng = np.random.default_rng(2)
     texts = ["".join(rng.choice(["a", "B", "é", " ", "\n", "\x0b", "c "], rng.integers(0, 30))) for _ in range(400)]
