@@ -41,7 +41,7 @@ KNOWN = U((1 << 56) - 1)
 #: Parts more than needed, for each 100 that are.
 SPARE = 10
 #: Rows that a Python worker is given at once.
-BATCH = "8MB"
+BATCH = "4MB"
 
 
 class Levels:
@@ -498,7 +498,8 @@ def _matrix(jobs: DataFrame, placed: DataFrame, known: DataFrame, words: int, pe
         jobs.select("b", F.explode("hits").alias("node"))
     ).distinct()
     homes = written(placed.join(wanted, ["b", "node"]).select("b", "node", "set1", "set2"), "homes")
-    texts = among(known.withColumnRenamed("doc_id", "node"), "node", homes)
+    # dealt out even where the join would be a broadcast, so that no task has a Python worker for the filter and one for the shingles
+    texts = among(known.withColumnRenamed("doc_id", "node"), "node", homes).repartition("node")
     blocks = homes.groupBy("b").agg((F.count("*") == 1).alias("alone"))
     read = homes.join(blocks, "b").join(texts, "node").select("b", "node", "set1", "set2", "alone", "text")
     read = read.mapInArrow(_tokenizer(words, percent), "b bigint, node bigint, alone boolean, tokens array<bigint>")

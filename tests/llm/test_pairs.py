@@ -182,8 +182,15 @@ def test_shingles_are_stored_of_sets_that_sketches_leave(spark, monkeypatch):
         passage = words(120)
         texts += [words(80) + passage, passage + words(80)]
     texts += [edited(rng, t, 2) for t in texts[:10]]
-    made = []
-    monkeypatch.setattr(jaccard, "written", lambda df, label: made.append((label, store.written(df, label))) or made[-1][1])
+    made, plans = [], []
+
+    def written(df, label):
+        if label == "members":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        made.append((label, store.written(df, label)))
+        return made[-1][1]
+
+    monkeypatch.setattr(jaccard, "written", written)
     disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
     shuffled = lambda: {str(f) for f in str(disk.getAllFiles().mkString(",")).split(",") if "/shuffle_" in f}
     docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id bigint, text string")
@@ -198,6 +205,8 @@ def test_shingles_are_stored_of_sets_that_sketches_leave(spark, monkeypatch):
     placed = next(df for label, df in made if label == "placed")
     assert placed.count() > 100  # they share signatures
     assert {r.node for label, df in made if label == "members" for r in df.collect()} == {*range(10), *range(120, 130)}
+    for plan in plans:  # the filter of texts and the shingles lie in different tasks, whatever the join
+        assert plan.index("MapInArrow") < plan.index("RepartitionByExpression [node") < plan.rindex("ArrowEvalPython")
 
 
 def test_frequent_signatures_are_found_in_any_number_of_texts(spark):
